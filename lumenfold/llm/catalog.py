@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from lumenfold.llm import bpe, exact_dedup, quality, sharding, simhash
+from lumenfold.llm import bpe, exact_dedup, mixing, quality, secrets, sharding, simhash
 
-MODULES = [sharding, simhash, bpe, quality, exact_dedup]
+MODULES = [sharding, secrets, simhash, bpe, quality, exact_dedup, mixing]
 
 
 def queries() -> dict:
