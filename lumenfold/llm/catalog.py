@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from lumenfold.llm import bpe, exact_dedup, mixing, quality, secrets, sharding, simhash
+from lumenfold.llm import bpe, exact_dedup, mixing, pseudonyms, quality, secrets, sharding, simhash, substring_dedup
 
-MODULES = [sharding, secrets, simhash, bpe, quality, exact_dedup, mixing]
+MODULES = [substring_dedup, sharding, secrets, simhash, bpe, quality, exact_dedup, pseudonyms, mixing]
 
 
 def queries() -> dict:

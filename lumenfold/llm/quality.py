@@ -93,11 +93,12 @@ def added_rules(text: Column, words: Column) -> list[Rule]:
 
 def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejection per cost, both means over at most sample_rows documents; ties by name. On an empty table, as given."""
-    sample = docs.limit(sample_rows)
-    means = sample.agg(*[c for k, r in enumerate(rules) for c in (F.avg(r.fails.cast("double")).alias(f"r{k}"), F.avg(r.cost.cast("double")).alias(f"c{k}"))]).first()
-    if means["r0"] is None:
+    outcomes = docs.select(*[c for k, r in enumerate(rules) for c in (r.fails.cast("double").alias(f"r{k}"), r.cost.cast("double").alias(f"c{k}"))])
+    sample = outcomes.limit(sample_rows).collect()  # two numbers a rule; Spark reads partitions only until there are enough
+    if not sample:
         return rules
-    gain = {r.name: means[f"r{k}"] / max(means[f"c{k}"], 1e-9) for k, r in enumerate(rules)}
+    mean = lambda c: sum(row[c] for row in sample) / len(sample)
+    gain = {r.name: mean(f"r{k}") / max(mean(f"c{k}"), 1e-9) for k, r in enumerate(rules)}
     return sorted(rules, key=lambda r: (-gain[r.name], r.name))
 
 
