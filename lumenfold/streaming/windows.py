@@ -1,0 +1,46 @@
+"""Count-based windows over a message stream, with keyed state."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+OUT = "chan bigint, pass bigint, n int, first_seq bigint, last_seq bigint, total double"
+STATE = "seen bigint, seqs array<bigint>, vals array<double>"
+
+
+def count_windows(stream: DataFrame, length: int, step: int) -> DataFrame:
+    """Of (chan, arrival, seq, val): after every step messages of a channel, the last (up to length). Step divides length; state is one window a channel."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, seqs, vals = state.get if state.exists else (0, [], [])
+        seqs, vals, out = list(seqs), list(vals), []
+        for seq, val in pd.concat(list(batches)).sort_values("arrival")[["seq", "val"]].itertuples(index=False):
+            seqs, vals, seen = [*seqs, seq][-length:], [*vals, val][-length:], seen + 1
+            if seen % step == 0:
+                out.append((key[0], seen // step - 1, len(seqs), seqs[0], seqs[-1], float(sum(vals))))
+        state.update((seen, [int(x) for x in seqs], [float(x) for x in vals]))
+        yield pd.DataFrame(out, columns=["chan", "pass", "n", "first_seq", "last_seq", "total"])
+
+    return stream.groupBy("chan").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def message_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The events table as a stream, file by file; a pattern, as Spark streams folders and patterns but no single file."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path.replace(".parquet", "*.parquet")).select(F.col("user_id").alias("chan"), F.col("ts").alias("arrival"), F.col("event_id").alias("seq"), F.col("value").alias("val"))
+
+
+def replayed(windows: DataFrame) -> DataFrame:
+    """What a stream gives once all its input is there, by way of a Parquet sink in the shared folder."""
+    spark = windows.sparkSession
+    top = f"{spark.conf.get('spark.checkpoint.dir', '') or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/stream-{uuid.uuid4().hex}"
+    query = windows.writeStream.format("parquet").option("checkpointLocation", f"{top}/state").option("path", f"{top}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(windows.schema).parquet(f"{top}/out")
