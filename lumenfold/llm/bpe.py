@@ -43,38 +43,46 @@ class Codec:
         self.of_byte = [0] * 256
         for c, b in of_char.items():
             self.of_byte[b] = vocab[c]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # pairs as left << 32 | right; the rank tells the merged id
+        self.rank: dict[int, int] = {}
+        self.merged_id: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
+            self.rank[vocab[a] << 32 | vocab[b]] = rank
+            self.merged_id.append(vocab[a + b])
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.pieces = regex.compile(PIECES)
         self.cache: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[int]:
-        """The ids of one piece: the pair of lowest rank (leftmost of equals) merges first; entries whose pair has changed since are stale."""
+        """The ids of one piece: the pair of lowest rank (leftmost of equals) merges first.
+
+        Queue entries are rank << 32 | left place. As a rank names one pair, an entry is stale unless the pair that now
+        starts at its place has its rank; places merged away hold -1, which no pair has.
+        """
         ids = [self.of_byte[b] for b in data]
-        n, merges = len(ids), self.merges
+        n, get, push, pop = len(ids), self.rank.get, heapq.heappush, heapq.heappop
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(*found, k, k + 1) for k in range(n - 1) if (found := merges.get((ids[k], ids[k + 1])))]
+        queue = [rank << 32 | k for k in range(n - 1) if (rank := get(ids[k] << 32 | ids[k + 1])) is not None]
         heapq.heapify(queue)
-        alive = [True] * n
-        # an entry: rank, merged id, left and right place. It is stale when either place is gone or its symbol has changed.
         while queue:
-            rank, new, left, right = heapq.heappop(queue)
-            if not (alive[left] and alive[right]) or after[left] != right or merges.get((ids[left], ids[right])) != (rank, new):
+            entry = pop(queue)
+            rank, left = entry >> 32, entry & 0xFFFFFFFF
+            right = after[left]
+            if right >= n or ids[left] < 0 or get(ids[left] << 32 | ids[right]) != rank:
                 continue
-            ids[left], alive[right] = new, False
-            following = after[left] = after[right]
+            ids[left] = new = self.merged_id[rank]
+            ids[right] = -1
+            after[left] = following = after[right]
             if following < n:
                 before[following] = left
-                if found := merges.get((new, ids[following])):
-                    heapq.heappush(queue, (*found, left, following))
+                if (rank := get(new << 32 | ids[following])) is not None:
+                    push(queue, rank << 32 | left)
             previous = before[left]
-            if previous >= 0 and (found := merges.get((ids[previous], new))):
-                heapq.heappush(queue, (*found, previous, left))
-        return [i for i, here in zip(ids, alive, strict=True) if here]
+            if previous >= 0 and (rank := get(ids[previous] << 32 | new)) is not None:
+                push(queue, rank << 32 | previous)
+        return [i for i in ids if i >= 0]
 
     def packed(self, piece: str) -> bytes:
         found = np.asarray(self.merged(piece.encode()), dtype="<u4").tobytes()

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from lumenfold.llm.bpe import codec, default_vocabulary
 from lumenfold.llm.common import documents, stash
 
-RADIX, DIM, HIDDEN, CONTEXT, STRIDE, BUCKETS = 15, 16, 32, 32, 24, 4096
-HEAVY, FAN_IN, BATCH, RATE, SEED = 10_000, 16, 256, 0.05, 5
+RADIX, DIM, HIDDEN, CONTEXT, STRIDE, BUCKETS = 15, 16, 32, 16, 12, 4096
+HEAVY, FAN_IN, BATCH, RATE, SEED = 10_000, 16, 512, 0.05, 5
 END = 50_257  # the id after the vocabulary's; starts and ends a text
 LEVELS = 4
 
@@ -103,7 +103,8 @@ def start_weights() -> dict[str, np.ndarray]:
     return {n: (rng.standard_normal(s) * (0.5 if n in ("emb", "pos") else 0.01 if n[:3] == "pre" else 0.6 / math.sqrt(s[0]))).astype(np.float32) for n, s in shapes.items()}
 
 
-MASK = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
+PAST = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
+HIGHEST = np.float32(40)  # scores are cut there, so that exponentials stay finite without a pass for the maximum
 
 
 def bucket(ids: np.ndarray) -> np.ndarray:
@@ -112,61 +113,77 @@ def bucket(ids: np.ndarray) -> np.ndarray:
 
 def forward(w: dict, bias: list[np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, dict]:
     """Natural log probabilities (windows, CONTEXT) of the targets, and what backward() needs."""
-    x = w["emb"][bucket(inputs)] + w["pos"]
-    q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-    a = q @ k.transpose(0, 2, 1) * np.float32(1 / math.sqrt(DIM)) + MASK
-    a -= a.max(2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
-    av = a @ v
-    y = x + av @ w["o"]
+    n, t = inputs.shape
+    x = w["emb"].take(bucket(inputs).reshape(-1), 0).reshape(n, t, DIM) + w["pos"]
+    flat = x.reshape(-1, DIM)
+    q, k, v = ((flat @ w[c]).reshape(n, t, DIM) for c in "qkv")
+    a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+    a *= np.float32(1 / math.sqrt(DIM))
+    np.exp(np.minimum(a, HIGHEST, out=a), out=a)
+    a *= PAST
+    a /= a @ np.ones((t, 1), np.float32)
+    av = (a @ v).reshape(-1, DIM)
+    y = flat + av @ w["o"]
     hidden = np.maximum(y @ w["w1"], 0)
-    z = (y + hidden @ w["w2"]).reshape(-1, DIM)
+    z = y + hidden @ w["w2"]
     total, parts, prefix = np.zeros(len(z), np.float32), [], digits(targets.reshape(-1))
-    rows = np.arange(len(z))
+    rows, ones = np.arange(len(z)) * RADIX, np.ones((RADIX, 1), np.float32)
     for level in range(LEVELS):
-        u = z + w[f"pre{level}"][prefix[level]] if level else z
-        logits = u @ w[f"out{level}"] + bias[level][prefix[level]]
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        s = p.sum(1, keepdims=True)
-        digit = prefix[level + 1] % RADIX
-        total += logits[rows, digit] - np.log(s[:, 0])
-        parts.append((u, p / s, digit))
+        u = z + w[f"pre{level}"].take(prefix[level], 0) if level else z
+        p = u @ w[f"out{level}"]
+        p += bias[level].take(prefix[level], 0)
+        np.minimum(p, HIGHEST, out=p)
+        at = rows + prefix[level + 1] % RADIX
+        total += p.reshape(-1).take(at)
+        np.exp(p, out=p)
+        s = p @ ones
+        total -= np.log(s[:, 0])
+        p /= s
+        parts.append((u, p, at))
     return total.reshape(targets.shape), {"x": x, "q": q, "k": k, "v": v, "a": a, "av": av, "y": y, "hidden": hidden, "parts": parts, "prefix": prefix, "inputs": inputs}
 
 
+def summed(place: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Rows added up by place."""
+    out = np.empty((n, rows.shape[1]), np.float32)
+    for j, column in enumerate(np.ascontiguousarray(rows.T)):
+        out[:, j] = np.bincount(place, column, n)
+    return out
+
+
 def backward(w: dict, c: dict, weight: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the weighted negative log likelihood."""
     g: dict[str, np.ndarray] = {}
     n, t = weight.shape
     dz = np.zeros((n * t, DIM), np.float32)
-    rows, flat = np.arange(n * t), weight.reshape(-1, 1)
-    for level, (u, p, digit) in enumerate(c["parts"]):
-        p[rows, digit] -= 1
+    flat = weight.reshape(-1, 1)
+    for level, (u, p, at) in enumerate(c["parts"]):
+        p.reshape(-1)[at] -= 1
         p *= flat
         g[f"out{level}"] = u.T @ p
         du = p @ w[f"out{level}"].T
         if level:
-            g[f"pre{level}"] = np.zeros_like(w[f"pre{level}"])
-            np.add.at(g[f"pre{level}"], c["prefix"][level], du)
+            g[f"pre{level}"] = summed(c["prefix"][level], du, RADIX**level)
         dz += du
-    dh = (dz @ w["w2"].T) * (c["hidden"].reshape(-1, HIDDEN) > 0)
-    g["w2"], g["w1"] = c["hidden"].reshape(-1, HIDDEN).T @ dz, c["y"].reshape(-1, DIM).T @ dh
-    dy = (dz + dh @ w["w1"].T).reshape(n, t, DIM)
-    g["o"] = c["av"].reshape(-1, DIM).T @ dy.reshape(-1, DIM)
-    dav = dy @ w["o"].T
-    da = dav @ c["v"].transpose(0, 2, 1)
-    ds = c["a"] * (da - (da * c["a"]).sum(2, keepdims=True)) * np.float32(1 / math.sqrt(DIM))
-    dv, dq, dk = c["a"].transpose(0, 2, 1) @ dav, ds @ c["k"], ds.transpose(0, 2, 1) @ c["q"]
+    dh = (dz @ w["w2"].T) * (c["hidden"] > 0)
+    g["w2"], g["w1"] = c["hidden"].T @ dz, c["y"].T @ dh
+    dy = dz + dh @ w["w1"].T
+    g["o"] = c["av"].T @ dy
+    dav = (dy @ w["o"].T).reshape(n, t, DIM)
+    across = lambda m: np.ascontiguousarray(m.transpose(0, 2, 1))
+    ds = dav @ across(c["v"])
+    ds -= (ds * c["a"]) @ np.ones((t, 1), np.float32)
+    ds *= c["a"]
+    ds *= np.float32(1 / math.sqrt(DIM))
+    dv, dq, dk = across(c["a"]) @ dav, ds @ c["k"], across(ds) @ c["q"]
     x = c["x"].reshape(-1, DIM)
     dx = dy
     for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = x.T @ d.reshape(-1, DIM)
+        d = d.reshape(-1, DIM)
+        g[name] = x.T @ d
         dx = dx + d @ w[name].T
-    g["pos"] = dx.sum(0)
-    g["emb"] = np.zeros_like(w["emb"])
-    np.add.at(g["emb"], bucket(c["inputs"]).reshape(-1), dx.reshape(-1, DIM))
+    g["pos"] = dx.reshape(n, t, DIM).sum(0)
+    g["emb"] = summed(bucket(c["inputs"]).reshape(-1), dx, BUCKETS)
     return g
 
 
