@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import sys
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -16,7 +18,7 @@ from lumenfold.llm.common import documents, text_or_empty
 
 #: Fixed: how byte-level vocabularies cut a text before merging. White space as Unicode has it.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-CACHED, CACHED_LONG = 200_000, 48  # pieces kept in a worker, and their length at most; others are encoded each time
+CACHED, CACHED_LONG = 800_000, 32  # pieces kept in a worker, and their length at most; others are encoded each time
 
 
 def default_vocabulary() -> str:
@@ -85,7 +87,10 @@ class Codec:
         return [i for i in ids if i >= 0]
 
     def packed(self, piece: str) -> bytes:
-        found = np.asarray(self.merged(piece.encode()), dtype="<u4").tobytes()
+        ids = array("I", self.merged(piece.encode()))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        found = ids.tobytes()
         if len(piece) <= CACHED_LONG:
             if len(self.cache) >= CACHED:
                 self.cache.clear()

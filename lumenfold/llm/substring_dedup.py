@@ -187,7 +187,7 @@ def cut(window: int):
                     at = hi
                 kept.append(text[at:])
                 out.append((len(text), runs, b"".join(kept)))
-            yield pd.DataFrame({"id": frame.id, "n_bytes": [x[0] for x in out], "removed": [[{"start": a, "end": b} for a, b in x[1]] for x in out], "kept": [x[2] for x in out]})
+            yield pd.DataFrame({"key": frame.key, "n_bytes": [x[0] for x in out], "removed": [[{"start": a, "end": b} for a, b in x[1]] for x in out], "kept": [x[2] for x in out]})
 
     return run
 
@@ -199,14 +199,18 @@ def repeats(rows: DataFrame) -> tuple[Column, Column]:
     return first, F.min("seg").over(whole) != F.max("seg").over(whole)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, id, text as bytes): keys are unique and ordered as documents are. Ids serve where they are unique and not null; else rows are sorted by (id, nulls last, text) and numbered."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(key, text as bytes), and (key, id) where ids can't be keys: keys are unique and ordered as documents are.
+
+    Ids serve where they are unique and not null; else rows are sorted by (id, nulls last, text) and numbered.
+    """
     own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
     odd = own.groupBy("id").count().filter("id IS NULL OR count > 1").limit(1).count()
     if not odd:
-        return own.select(F.col("id").cast("bigint").alias("key"), "id", "text")
+        return own.select(F.col("id").cast("bigint").alias("key"), "text").filter("key IS NOT NULL"), None
     ordered = own.orderBy(F.col("id").asc_nulls_last(), "text")
-    return stash(ordered.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "ordered-documents")
+    numbered = stash(ordered.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "ordered-documents")
+    return numbered.select("key", "text").filter("key IS NOT NULL"), numbered.select("key", "id")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -216,18 +220,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     that share an id count as documents of their own, in the order of their texts, so a repeated row loses what the
     first has. Texts shorter than window keep all. An empty table gives an empty result. Other columns are ignored.
     """
-    own = keyed(docs, id_col, text_col)
-    rows = own.select("key", "text").mapInPandas(named_segments(window), NAMED)
+    own, ids = keyed(docs, id_col, text_col)  # one exchange of the texts by key serves both joins below
+    rows = own.mapInPandas(named_segments(window), NAMED)
     again, contested = repeats(rows)
     judged = rows.withColumn("again", again).withColumn("contested", contested)
     found = stash(judged.select("key", "lo", "n", (F.col("known") | F.col("again")).alias("dup"), "contested").filter("dup OR contested"), "segments")
     spans = F.collect_list(F.struct("lo", "n")).alias("spans")
     open_spans = found.filter("NOT dup").groupBy("key").agg(spans)
-    windows = own.select("key", "text").join(open_spans, "key").mapInPandas(single_windows(window), NAMED)
+    windows = own.join(open_spans, "key").mapInPandas(single_windows(window), NAMED)
     buckets = windows.withColumn("again", F.row_number().over(Window.partitionBy("name", "seg").orderBy("key", "lo")) > 1)
     dup = found.filter("dup").select("key", "lo", "n").unionByName(buckets.filter("known OR again").select("key", "lo", "n"))
     per_doc = dup.groupBy("key").agg(spans)
-    return own.join(per_doc, "key", "left").select("id", "text", "spans").mapInPandas(cut(window), "id bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary").withColumnRenamed("id", id_col)
+    done = own.join(per_doc, "key", "left").mapInPandas(cut(window), "key bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary")
+    return done.withColumnRenamed("key", id_col) if ids is None else done.join(ids, "key").select(F.col("id").alias(id_col), "n_bytes", "removed", "kept")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
