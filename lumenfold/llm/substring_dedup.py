@@ -4,7 +4,7 @@ A byte goes if a `window`-byte string that covers it also starts earlier (smalle
 earlier). As in difference-cover construction, a sparse sample of positions is ranked (named) first, such that any two
 equal windows hold a sampled position at the same offset; suffixes are then sorted bucket by bucket, and long ties fall
 to the names of the sample. The sample here is chosen by content: the position of the smallest GRAM-byte hash in
-each window (about 3 % of positions, where a cover by residues would take 14 %, and insertions don't shift it).
+each window (about 4 % of positions, where a cover by residues would take 14 %, and insertions don't shift it).
 
 1. All windows with the same sampled position form a segment, named by (hash of the gram, hash of all its bytes). Equal
    segments meet in one bucket; all but the earliest repeat whole. A batch first settles its own repeats, so a hot
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from lumenfold.llm.common import documents, stash, text_or_empty
 
-WINDOW, GRAM, SEED = 100, 32, 7
+WINDOW, GRAM, SEED = 100, 48, 7
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,7 +106,13 @@ def settled(a: np.ndarray, b: np.ndarray, key: np.ndarray, lo: np.ndarray) -> np
     return first
 
 
-NAMED = "name bigint, seg bigint, key bigint, lo int, n int, known boolean"
+#: at: first window << 32 | number of windows << 1 | known to repeat; in order of the first window.
+NAMED = "name bigint, seg bigint, key bigint, at bigint"
+LO, N, KNOWN = "int(shiftright(at, 32))", "int(shiftright(at, 1) & 2147483647)", "at & 1 = 1"
+
+
+def packed(lo: np.ndarray, n: np.ndarray, known: int) -> np.ndarray:
+    return lo.astype(np.int64) << 32 | n.astype(np.int64) << 1 | known
 
 
 def rows_of(parts: list[tuple]) -> Iterator[pd.DataFrame]:
@@ -115,7 +121,7 @@ def rows_of(parts: list[tuple]) -> Iterator[pd.DataFrame]:
         return
     a, b, key, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     first = settled(a, b, key, lo)
-    yield pd.DataFrame({"name": a[first], "seg": b[first], "key": key[first], "lo": lo[first], "n": n[first], "known": False})
+    yield pd.DataFrame({"name": a[first], "seg": b[first], "key": key[first], "at": packed(lo[first], n[first], 0)})
     key, lo, n = key[~first], lo[~first], n[~first]
     order = np.lexsort((lo, key))
     key, lo, n = key[order], lo[order], n[order]
@@ -123,7 +129,7 @@ def rows_of(parts: list[tuple]) -> Iterator[pd.DataFrame]:
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] > (lo + n)[:-1])])
         start = np.flatnonzero(new)
         stop = np.concatenate([start[1:], [len(key)]]) - 1
-        yield pd.DataFrame({"name": key[start] * 1000003 + lo[start], "seg": np.zeros(len(start), np.int64), "key": key[start], "lo": lo[start], "n": lo[stop] + n[stop] - lo[start], "known": True})
+        yield pd.DataFrame({"name": key[start] * 1000003 + lo[start], "seg": np.zeros(len(start), np.int64), "key": key[start], "at": packed(lo[start], lo[stop] + n[stop] - lo[start], 1)})
 
 
 BATCH = 8_000_000  # bytes of text that settle their repeats together, at least
@@ -194,7 +200,7 @@ def cut(window: int):
 
 def repeats(rows: DataFrame) -> tuple[Column, Column]:
     """(not the earliest of its name and segment; its name has several segments), as windows over rows dealt by name."""
-    first = F.row_number().over(Window.partitionBy("name", "seg").orderBy("key", "lo")) > 1
+    first = F.row_number().over(Window.partitionBy("name", "seg").orderBy("key", "at")) > 1
     whole = Window.partitionBy("name")
     return first, F.min("seg").over(whole) != F.max("seg").over(whole)
 
@@ -224,12 +230,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = own.mapInPandas(named_segments(window), NAMED)
     again, contested = repeats(rows)
     judged = rows.withColumn("again", again).withColumn("contested", contested)
-    found = stash(judged.select("key", "lo", "n", (F.col("known") | F.col("again")).alias("dup"), "contested").filter("dup OR contested"), "segments")
+    found = stash(judged.select("key", F.expr(LO).alias("lo"), F.expr(N).alias("n"), (F.expr(KNOWN) | F.col("again")).alias("dup"), "contested").filter("dup OR contested"), "segments")
     spans = F.collect_list(F.struct("lo", "n")).alias("spans")
     open_spans = found.filter("NOT dup").groupBy("key").agg(spans)
     windows = own.join(open_spans, "key").mapInPandas(single_windows(window), NAMED)
-    buckets = windows.withColumn("again", F.row_number().over(Window.partitionBy("name", "seg").orderBy("key", "lo")) > 1)
-    dup = found.filter("dup").select("key", "lo", "n").unionByName(buckets.filter("known OR again").select("key", "lo", "n"))
+    buckets = windows.withColumn("again", F.row_number().over(Window.partitionBy("name", "seg").orderBy("key", "at")) > 1)
+    dup = found.filter("dup").select("key", "lo", "n").unionByName(buckets.filter(F.expr(KNOWN) | F.col("again")).select("key", F.expr(LO).alias("lo"), F.expr(N).alias("n")))
     per_doc = dup.groupBy("key").agg(spans)
     done = own.join(per_doc, "key", "left").mapInPandas(cut(window), "key bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary")
     return done.withColumnRenamed("key", id_col) if ids is None else done.join(ids, "key").select(F.col("id").alias(id_col), "n_bytes", "removed", "kept")
