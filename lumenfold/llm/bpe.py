@@ -37,7 +37,7 @@ def byte_symbols() -> dict[str, int]:
 class Codec:
     """Encodes texts to packed ids (little-endian unsigned 32-bit) and decodes them."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int = CACHED) -> None:
         spec = json.load(open(path, encoding="utf-8"))
         vocab, of_char = spec["model"]["vocab"], byte_symbols()
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -56,6 +56,7 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.pieces = regex.compile(PIECES)
         self.cache: dict[str, bytes] = {}
+        self.kept = kept
 
     def merged(self, data: bytes) -> list[int]:
         """The ids of one piece: the pair of lowest rank (leftmost of equals) merges first.
@@ -92,7 +93,7 @@ class Codec:
             ids.byteswap()
         found = ids.tobytes()
         if len(piece) <= CACHED_LONG:
-            if len(self.cache) >= CACHED:
+            if len(self.cache) >= self.kept:
                 self.cache.clear()
             self.cache[piece] = found
         return found
@@ -113,8 +114,8 @@ class Codec:
 
 
 @functools.cache
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, kept: int = CACHED) -> Codec:
+    return Codec(path, kept)
 
 
 def encoded(text: Column, path: str | None = None) -> Column:

@@ -27,6 +27,7 @@ from lumenfold.llm.common import documents, stash
 
 RADIX, DIM, HIDDEN, CONTEXT, STRIDE, BUCKETS = 15, 16, 32, 16, 12, 4096
 HEAVY, FAN_IN, BATCH, RATE, SEED = 10_000, 16, 512, 0.05, 5
+KEPT = 200_000  # words, and pieces of words, kept in a worker
 END = 50_257  # the id after the vocabulary's; starts and ends a text
 LEVELS = 4
 
@@ -35,14 +36,15 @@ class Words:
     """Words of texts and their subword ids, kept for the words seen most recently."""
 
     def __init__(self, path: str) -> None:
-        self.codec, self.known = codec(path), {}
+        self.codec, self.known = codec(path, KEPT), {}
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
+    def ids(self, words: list[bytes]) -> bytes:
+        """Unsigned 32-bit ids, little-endian."""
         get = self.known.get
-        return np.frombuffer(b"".join([get(w) or self.encode(w) for w in words]), "<u4").astype(np.int64)
+        return b"".join([get(w) or self.encode(w) for w in words])
 
     def encode(self, word: bytes) -> bytes:
-        if len(self.known) >= 200_000:
+        if len(self.known) >= KEPT:
             self.known.clear()
         out = self.codec.encode(" " + word.decode("utf-8", "replace"))
         if len(word) <= 64:
@@ -50,35 +52,47 @@ class Words:
         return out
 
 
+def encoded(path: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows with their subword ids, so that no later pass runs the merges again."""
+        own = Words(path)
+        for frame in frames:
+            yield frame.assign(ids=[narrow(own.ids(x.lower().split())) for x in frame.text])
+
+    return run
+
+
+def narrow(ids: bytes) -> bytes:
+    """Ids in two bytes each; those of END's vocabulary all fit."""
+    return np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+
+
+def wide(ids: bytes) -> np.ndarray:
+    return np.frombuffer(bytes(ids), "<u2").astype(np.int64)
+
+
 def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - 2**63
 
 
-def counted(path: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Word counts (by hash), subword counts (by id) and documents of the training rows, summed over a few batches."""
-        own, words, docs = Words(path), Counter(), 0
-
-        def rows() -> pd.DataFrame:
-            hashes = [word_hash(w) for w in words]
-            ids = np.zeros(END + 1, np.int64)
-            for w, c in words.items():
-                np.add.at(ids, own.ids([w]), c)
-            ids[END] += docs
-            there = np.flatnonzero(ids)
-            return pd.DataFrame({"h": pd.array([*hashes, *[None] * len(there)], "Int64"), "id": pd.array([*[None] * len(hashes), *there.tolist()], "Int64"), "c": [*words.values(), *ids[there].tolist()]})
+def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Word counts (by hash), subword counts (by id) and documents of the training rows, summed over a few batches."""
+    words, ids = Counter(), np.zeros(END + 1, np.int64)
 
-        for frame in frames:
-            for text, held in zip(frame.text, frame.held_out, strict=True):
-                if not held:
-                    words.update(text.lower().split())
-                    docs += 1
-            if len(words) > 400_000:
-                yield rows()
-                words, docs = Counter(), 0
-        yield rows()
+    def rows() -> pd.DataFrame:
+        hashes, there = [word_hash(w) for w in words], np.flatnonzero(ids)
+        return pd.DataFrame({"h": pd.array([*hashes, *[None] * len(there)], "Int64"), "id": pd.array([*[None] * len(hashes), *there.tolist()], "Int64"), "c": [*words.values(), *ids[there].tolist()]})
 
-    return run
+    for frame in frames:
+        for text, own, held in zip(frame.text, frame.ids, frame.held_out, strict=True):
+            if not held:
+                words.update(text.lower().split())
+                np.add.at(ids, wide(own), 1)
+                ids[END] += 1
+        if len(words) > 400_000:
+            yield rows()
+            words, ids = Counter(), np.zeros(END + 1, np.int64)
+    yield rows()
 
 
 def digits(ids: np.ndarray) -> list[np.ndarray]:
@@ -230,19 +244,19 @@ def unpacked(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def trained(path: str, bias: list[np.ndarray]):
+def trained(bias: list[np.ndarray]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """One pass of Adagrad over the training rows of a partition."""
-        own, w, seen, place = Words(path), start_weights(), 0, 0
+        w, seen, place = start_weights(), 0, 0
         squares = {n: np.full_like(x, 1e-6) for n, x in w.items()}
 
         def texts() -> Iterator[tuple[int, np.ndarray]]:
             nonlocal place
             for frame in frames:
                 place = int(frame.place.iloc[0]) if len(frame) else place
-                for text, held in zip(frame.text, frame.held_out, strict=True):
+                for ids, held in zip(frame.ids, frame.held_out, strict=True):
                     if not held:
-                        yield 0, own.ids(text.lower().split())
+                        yield 0, wide(ids)
 
         for inputs, targets, fresh, _ in batches(texts(), CONTEXT):
             n = int(fresh.sum())
@@ -262,9 +276,9 @@ def averaged(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"place": [int(frame.place.iloc[0])], "n": [int(frame.n.sum())], "weights": [(total / frame.n.sum()).astype(np.float32).tobytes()]})
 
 
-def fit(rows: DataFrame, path: str, bias: list[np.ndarray]) -> dict[str, np.ndarray]:
-    """The averaged weights over rows (text, held_out); starting weights where nothing is to be learnt."""
-    copies = stash(rows.withColumn("place", F.spark_partition_id().cast("long")).mapInPandas(trained(path, bias), WEIGHTS), "weights")
+def fit(rows: DataFrame, bias: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """The averaged weights over rows (ids, held_out); starting weights where nothing is to be learnt."""
+    copies = stash(rows.withColumn("place", F.spark_partition_id().cast("long")).mapInPandas(trained(bias), WEIGHTS), "weights")
     last = copies.agg(F.max("place")).first()[0]
     if last is None:
         return start_weights()
@@ -274,13 +288,12 @@ def fit(rows: DataFrame, path: str, bias: list[np.ndarray]) -> dict[str, np.ndar
     return unpacked(bytes(copies.select("weights").first()[0]))
 
 
-def scored(path: str, bias: list[np.ndarray], weights: dict[str, np.ndarray], heavy: dict[int, float]):
+def scored(bias: list[np.ndarray], weights: dict[str, np.ndarray], heavy: dict[int, float]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Words(path)
         for frame in frames:
             lines = [x.lower().split() for x in frame.text]
             score = np.zeros(len(lines))
-            for inputs, targets, fresh, row in batches(((k, own.ids(x)) for k, x in enumerate(lines)), STRIDE):
+            for inputs, targets, fresh, row in batches(((k, wide(x)) for k, x in enumerate(frame.ids)), STRIDE):
                 logp, _ = forward(weights, bias, inputs, targets)
                 np.add.at(score, row, np.where(fresh, logp, 0).sum(1, dtype=float))
             base, known, rest = [], [], []
@@ -311,7 +324,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     path = path or default_vocabulary()
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 1, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), held.alias("held_out"))
-    found = stash(rows.select("text", "held_out").mapInPandas(counted(path), "h bigint, id int, c bigint"), "word-counts")
+    rows = stash(rows.mapInPandas(encoded(path), "id bigint, text binary, held_out boolean, ids binary"), "encoded")
+    found = stash(rows.select("text", "ids", "held_out").mapInPandas(counted, "h bigint, id int, c bigint"), "word-counts")
     counts = stash(found.filter("h IS NOT NULL").groupBy("h").agg(F.sum("c").alias("c")), "words")
     of_id = np.zeros(END + 1)
     for r in found.filter("id IS NOT NULL").groupBy("id").agg(F.sum("c").alias("c")).collect():  # as many rows as the vocabulary at most
@@ -323,9 +337,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     value = lambda c: math.log10((c + 0.5) / low)
     heavy = {r.h: value(r.c) for r in counts.filter(F.col("c") * HEAVY >= n).collect()}  # HEAVY rows at most
     bias = biases(of_id)
-    weights = fit(rows.select("text", "held_out"), path, bias)
+    weights = fit(rows.select("ids", "held_out"), bias)
     schema = "id bigint, held_out boolean, n_tokens bigint, base double, known bigint, rest array<struct<h:bigint,tf:bigint>>, score double"
-    own = stash(rows.mapInPandas(scored(path, bias, weights, heavy), schema).withColumn("rid", F.monotonically_increasing_id()), "scores")
+    own = stash(rows.mapInPandas(scored(bias, weights, heavy), schema).withColumn("rid", F.monotonically_increasing_id()), "scores")
     rare = own.select("rid", F.inline("rest")).join(counts, "h", "left").groupBy("rid").agg(F.sum(F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(low))).alias("rare"), F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("n_rare"))
     return own.drop("rest").join(rare, "rid", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("n_rare", F.lit(0)) + F.lit(1 if ends else 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
