@@ -28,6 +28,7 @@ from lumenfold.llm.common import documents, stash
 RADIX, DIM, HIDDEN, CONTEXT, STRIDE, BUCKETS = 15, 16, 32, 16, 12, 4096
 HEAVY, FAN_IN, BATCH, RATE, SEED = 10_000, 16, 512, 0.05, 5
 KEPT = 200_000  # words, and pieces of words, kept in a worker
+ROWS = 250  # documents whose rare words a worker lists at a time
 END = 50_257  # the id after the vocabulary's; starts and ends a text
 LEVELS = 4
 
@@ -290,7 +291,7 @@ def fit(rows: DataFrame, bias: list[np.ndarray]) -> dict[str, np.ndarray]:
 
 def scored(bias: list[np.ndarray], weights: dict[str, np.ndarray], heavy: dict[int, float]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (f.iloc[k : k + ROWS] for f in frames for k in range(0, len(f), ROWS)):
             lines = [x.lower().split() for x in frame.text]
             score = np.zeros(len(lines))
             for inputs, targets, fresh, row in batches(((k, wide(x)) for k, x in enumerate(frame.ids)), STRIDE):
