@@ -3,123 +3,176 @@
 Training covers every training document: each input partition trains its own copy from common starting weights over
 all its documents, and the copies are averaged, weighted by their tokens, through a tree of groups of FAN_IN. What the
 copies start from are subword counts of all training documents, which set the output's biases. A subword id is
-predicted digit by digit (four digits in base RADIX), so that probabilities sum to one at the cost of 4 * RADIX
-exponentials a token. Scoring slides windows of CONTEXT positions by STRIDE; each token is scored once, by the first window that holds it.
+predicted by its class, of RADIX ** LEVELS, digit by digit, and its share of the class's count: probabilities sum to one
+at the cost of LEVELS * RADIX exponentials a token. Scoring slides windows of CONTEXT positions by STRIDE; each token is scored once, by the first window that holds it.
+
+Texts are encoded once. Subword ids concatenate to the words, so later passes read only them.
 
 The base score needs exact counts of all words. Words with at least a HEAVY-th of all tokens (so at most HEAVY of
-them) are looked up in the map; only the others travel, as (row, word hash, count), to their counts and back as one sum a row.
+them) are looked up in a broadcast array; only the others travel, as (row, word hash, count), to their counts and back as one sum a row.
 """
 
 from __future__ import annotations
 
+import base64
+import ctypes
+import functools
 import math
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import tiktoken
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.bpe import codec, default_vocabulary
 from lumenfold.llm.common import documents, stash
 
-RADIX, DIM, HIDDEN, CONTEXT, STRIDE, BUCKETS = 15, 16, 32, 16, 12, 4096
-HEAVY, FAN_IN, BATCH, RATE, SEED = 10_000, 16, 512, 0.05, 5
-KEPT = 200_000  # words, and pieces of words, kept in a worker
-ROWS = 250  # documents whose rare words a worker lists at a time
-END = 50_257  # the id after the vocabulary's; starts and ends a text
-LEVELS = 4
+RADIX, LEVELS, DIM, CONTEXT, STRIDE, BUCKETS = 16, 3, 16, 16, 14, 4096
+HEAVY, FAN_IN, LEAST, BATCH, RATE, SEED = 1_000_000, 16, 32, 512, 0.1, 5
+KEPT = 150_000  # words kept in a worker
+ROWS = 250  # documents that a worker unpacks at a time
+COUNTED = 300_000  # distinct words that a worker counts before it passes them on
+END = 50_256  # the id after the vocabulary's; starts and ends a text
+
+
+def default_ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 class Words:
-    """Words of texts and their subword ids, kept for the words seen most recently."""
+    """Words of texts and their subword ids (two bytes each), kept for the words seen most recently."""
 
     def __init__(self, path: str) -> None:
-        self.codec, self.known = codec(path, KEPT), {}
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.subwords = [b""] * (END + 1)
+        for token, i in ranks.items():
+            self.subwords[i] = token
+        self.codec = tiktoken.Encoding("subwords", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+        self.known: dict[bytes, bytes] = {}
 
     def ids(self, words: list[bytes]) -> bytes:
-        """Unsigned 32-bit ids, little-endian."""
         get = self.known.get
         return b"".join([get(w) or self.encode(w) for w in words])
 
     def encode(self, word: bytes) -> bytes:
+        """The ids of a word and the space before it, as one piece."""
         if len(self.known) >= KEPT:
             self.known.clear()
-        out = self.codec.encode(" " + word.decode("utf-8", "replace"))
-        if len(word) <= 64:
+        ids = self.codec._encode_single_piece(b" " + word)
+        out = struct.pack(f"<{len(ids)}H", *ids)
+        if len(word) <= 32:
             self.known[word] = out
         return out
 
+    def words(self, ids: np.ndarray) -> list[bytes]:
+        return b"".join([self.subwords[i] for i in ids.tolist()]).split()
 
-def encoded(path: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The rows with their subword ids, so that no later pass runs the merges again."""
-        own = Words(path)
-        for frame in frames:
-            yield frame.assign(ids=[narrow(own.ids(x.lower().split())) for x in frame.text])
+    def starts(self) -> np.ndarray:
+        """Which ids begin a word, or end a text."""
+        return np.array([x[:1] in (b" ", b"") for x in self.subwords])
 
-    return run
 
+@functools.cache
+def words_of(path: str) -> Words:
+    return Words(path)
 
-def narrow(ids: bytes) -> bytes:
-    """Ids in two bytes each; those of END's vocabulary all fit."""
-    return np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
+
+
+def encoded(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = words_of(path)
+        for b in slices(batches):
+            ids = [own.ids(x.as_py().lower().split()) for x in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(ids, pa.binary())], ["id", "held_out", "ids"])
+
+    return run
 
-def wide(ids: bytes) -> np.ndarray:
-    return np.frombuffer(bytes(ids), "<u2").astype(np.int64)
+
+def texts_of(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), "<u2").astype(np.int64) for x in b.column("ids")]
 
 
 def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - 2**63
 
 
-def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Word counts (by hash), subword counts (by id) and documents of the training rows, summed over a few batches."""
-    words, ids = Counter(), np.zeros(END + 1, np.int64)
-
-    def rows() -> pd.DataFrame:
-        hashes, there = [word_hash(w) for w in words], np.flatnonzero(ids)
-        return pd.DataFrame({"h": pd.array([*hashes, *[None] * len(there)], "Int64"), "id": pd.array([*[None] * len(hashes), *there.tolist()], "Int64"), "c": [*words.values(), *ids[there].tolist()]})
+def counted(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Word counts (by hash) and subword counts (by id) of the training rows, summed over a few batches."""
+        own, words, ids = words_of(path), Counter(), np.zeros(END + 1, np.int64)
 
-    for frame in frames:
-        for text, own, held in zip(frame.text, frame.ids, frame.held_out, strict=True):
-            if not held:
-                words.update(text.lower().split())
-                np.add.at(ids, wide(own), 1)
-                ids[END] += 1
-        if len(words) > 400_000:
-            yield rows()
+        def rows() -> Iterator[pa.RecordBatch]:
+            nonlocal words, ids
+            there = np.flatnonzero(ids)
+            n, m = len(words), len(there)
+            h = pa.array(map(word_hash, words), pa.int64(), size=n)
+            yield pa.RecordBatch.from_arrays([h, pa.nulls(n, pa.int32()), pa.array(words.values(), pa.int64(), size=n)], ["h", "id", "c"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(there, pa.int32()), pa.array(ids[there])], ["h", "id", "c"])
             words, ids = Counter(), np.zeros(END + 1, np.int64)
-    yield rows()
+
+        for b in slices(batches):
+            texts = [x for x, held in zip(texts_of(b), b.column("held_out").to_pylist(), strict=True) if not held]
+            for text in texts:
+                words.update(own.words(text))
+            ids += np.bincount(np.concatenate([*texts, np.full(len(texts), END)]), minlength=END + 1)
+            if len(words) > COUNTED:
+                yield from rows()
+        yield from rows()
+
+    return run
 
 
-def digits(ids: np.ndarray) -> list[np.ndarray]:
-    """The ids' prefixes of 0, 1, 2, 3 and 4 digits, as numbers."""
-    return [ids // RADIX ** (LEVELS - k) for k in range(LEVELS + 1)]
+def codes(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each id's class: the first digit tells words' beginnings from the rest; frequent ids are dealt out over the classes in turn."""
+    out = np.zeros(len(counts), np.int64)
+    first = min(max(round(RADIX * counts[starts].sum() / max(counts.sum(), 1)), 1), RADIX - 1)
+    for chosen, low, n in ((starts, 0, first), (~starts, first, RADIX - first)):
+        own = np.flatnonzero(chosen)
+        rank = np.empty(len(own), np.int64)
+        rank[np.argsort(-counts[own], kind="stable")] = np.arange(len(own))
+        code, rank = low + rank % n, rank // n
+        for _ in range(LEVELS - 1):
+            code, rank = code * RADIX + rank % RADIX, rank // RADIX
+        out[own] = code
+    return out
 
 
-def biases(counts: np.ndarray) -> list[np.ndarray]:
-    """Log shares of each next digit given the digits before it."""
-    whole = np.zeros(RADIX**LEVELS)
-    whole[: len(counts)] = counts + 0.1
+def biases(counts: np.ndarray, code: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Log shares of each next digit given the digits before it, and of each id in its class."""
+    whole = np.bincount(code, counts + 0.1, RADIX**LEVELS)
     out = []
     for k in range(LEVELS):
         level = whole.reshape(RADIX**k, RADIX, -1).sum(2) + 1e-9
         out.append(np.log(level / level.sum(1, keepdims=True)).astype(np.float32))
-    return out
+    return out, np.log((counts + 0.1) / whole[code]).astype(np.float32)
 
 
 def start_weights() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    shapes = {"emb": (BUCKETS, DIM), "pos": (CONTEXT, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "w1": (DIM, HIDDEN), "w2": (HIDDEN, DIM)} | {f"out{k}": (DIM, RADIX) for k in range(LEVELS)} | {f"pre{k}": (RADIX**k, DIM) for k in range(1, LEVELS)}
-    return {n: (rng.standard_normal(s) * (0.5 if n in ("emb", "pos") else 0.01 if n[:3] == "pre" else 0.6 / math.sqrt(s[0]))).astype(np.float32) for n, s in shapes.items()}
+    shapes = {"emb": (BUCKETS, DIM), "pos": (CONTEXT, DIM), "qkv": (DIM, 3 * DIM), "o": (DIM, DIM)} | {f"out{k}": (DIM, RADIX) for k in range(LEVELS)} | {f"gate{k}": (RADIX**k, DIM) for k in range(1, LEVELS)}
+    return {n: (rng.standard_normal(s) * (0.5 if n in ("emb", "pos") else 0.6 / math.sqrt(s[0])) if n[:4] != "gate" else 1 + 0.3 * rng.standard_normal(s)).astype(np.float32) for n, s in shapes.items()}
 
 
 PAST = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
 HIGHEST = np.float32(40)  # scores are cut there, so that exponentials stay finite without a pass for the maximum
+SCALE = np.float32(1 / math.sqrt(DIM))
+
+
+def keep_freed_memory() -> None:
+    """Has the C library keep arrays' freed memory: else each new array of over 128 kB takes fresh pages, which costs as much as the arithmetic."""
+    if tune := getattr(ctypes.CDLL(None), "mallopt", None):
+        tune(-3, 1 << 24)  # M_MMAP_THRESHOLD
+        tune(-1, 1 << 26)  # M_TRIM_THRESHOLD
 
 
 def bucket(ids: np.ndarray) -> np.ndarray:
@@ -127,109 +180,102 @@ def bucket(ids: np.ndarray) -> np.ndarray:
 
 
 def forward(w: dict, bias: list[np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Natural log probabilities (windows, CONTEXT) of the targets, and what backward() needs."""
+    """Natural log probabilities (windows, CONTEXT) of the targets' codes after the input buckets, and what backward() needs."""
     n, t = inputs.shape
-    x = w["emb"].take(bucket(inputs).reshape(-1), 0).reshape(n, t, DIM) + w["pos"]
-    flat = x.reshape(-1, DIM)
-    q, k, v = ((flat @ w[c]).reshape(n, t, DIM) for c in "qkv")
-    a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-    a *= np.float32(1 / math.sqrt(DIM))
+    x = (w["emb"].take(inputs.reshape(-1), 0).reshape(n, t, DIM) + w["pos"]).reshape(-1, DIM)
+    qkv = (x @ w["qkv"]).reshape(n, t, 3 * DIM)
+    q, k, v = (qkv[:, :, i * DIM : (i + 1) * DIM] for i in range(3))
+    a = q @ k.transpose(0, 2, 1)
+    a *= SCALE
     np.exp(np.minimum(a, HIGHEST, out=a), out=a)
     a *= PAST
-    a /= a @ np.ones((t, 1), np.float32)
+    low = a.reshape(-1, t) @ np.ones(t, np.float32)
     av = (a @ v).reshape(-1, DIM)
-    y = flat + av @ w["o"]
-    hidden = np.maximum(y @ w["w1"], 0)
-    z = y + hidden @ w["w2"]
-    total, parts, prefix = np.zeros(len(z), np.float32), [], digits(targets.reshape(-1))
-    rows, ones = np.arange(len(z)) * RADIX, np.ones((RADIX, 1), np.float32)
+    av /= low[:, None]
+    z = x + av @ w["o"]
+    code = targets.reshape(-1)
+    total, parts, rows, ones = np.zeros(len(z), np.float32), [], np.arange(0, len(z) * RADIX, RADIX), np.ones(RADIX, np.float32)
     for level in range(LEVELS):
-        u = z + w[f"pre{level}"].take(prefix[level], 0) if level else z
+        prefix = code // RADIX ** (LEVELS - level)
+        gate = w[f"gate{level}"].take(prefix, 0) if level else None
+        u = z * gate if level else z
         p = u @ w[f"out{level}"]
-        p += bias[level].take(prefix[level], 0)
+        p += bias[level].take(prefix, 0) if level else bias[0]
         np.minimum(p, HIGHEST, out=p)
-        at = rows + prefix[level + 1] % RADIX
+        at = rows + code // RADIX ** (LEVELS - 1 - level) % RADIX
         total += p.reshape(-1).take(at)
         np.exp(p, out=p)
         s = p @ ones
-        total -= np.log(s[:, 0])
-        p /= s
-        parts.append((u, p, at))
-    return total.reshape(targets.shape), {"x": x, "q": q, "k": k, "v": v, "a": a, "av": av, "y": y, "hidden": hidden, "parts": parts, "prefix": prefix, "inputs": inputs}
+        total -= np.log(s)
+        parts.append((u, p, at, s, prefix, gate))
+    return total.reshape(targets.shape), {"x": x, "q": q, "k": k, "v": v, "a": a, "low": low, "av": av, "z": z, "parts": parts, "inputs": inputs}
 
 
 def summed(place: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Rows added up by place."""
-    out = np.empty((n, rows.shape[1]), np.float32)
-    for j, column in enumerate(np.ascontiguousarray(rows.T)):
-        out[:, j] = np.bincount(place, column, n)
-    return out
+    if n <= RADIX:
+        return (place[:, None] == np.arange(n)).astype(np.float32).T @ rows
+    at = place[:, None] * DIM + np.arange(DIM)
+    return np.bincount(at.reshape(-1), rows.reshape(-1), n * DIM).reshape(n, DIM).astype(np.float32)
 
 
 def backward(w: dict, c: dict, weight: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the weighted negative log likelihood."""
     g: dict[str, np.ndarray] = {}
     n, t = weight.shape
-    dz = np.zeros((n * t, DIM), np.float32)
-    flat = weight.reshape(-1, 1)
-    for level, (u, p, at) in enumerate(c["parts"]):
-        p.reshape(-1)[at] -= 1
-        p *= flat
+    dz, flat = np.zeros((n * t, DIM), np.float32), weight.reshape(-1)
+    for level, (u, p, at, s, prefix, gate) in enumerate(c["parts"]):
+        p *= (flat / s)[:, None]
+        p.reshape(-1)[at] -= flat
         g[f"out{level}"] = u.T @ p
         du = p @ w[f"out{level}"].T
         if level:
-            g[f"pre{level}"] = summed(c["prefix"][level], du, RADIX**level)
+            g[f"gate{level}"] = summed(prefix, du * c["z"], RADIX**level)
+            du *= gate
         dz += du
-    dh = (dz @ w["w2"].T) * (c["hidden"] > 0)
-    g["w2"], g["w1"] = c["hidden"].T @ dz, c["y"].T @ dh
-    dy = dz + dh @ w["w1"].T
-    g["o"] = c["av"].T @ dy
-    dav = (dy @ w["o"].T).reshape(n, t, DIM)
-    across = lambda m: np.ascontiguousarray(m.transpose(0, 2, 1))
-    ds = dav @ across(c["v"])
-    ds -= (ds * c["a"]) @ np.ones((t, 1), np.float32)
+    g["o"] = c["av"].T @ dz
+    dav = dz @ w["o"].T
+    # with low the sum of a: av = (a @ v) / low, so da = (dav . v - dav . av) / low
+    mean = (dav * c["av"]) @ np.ones(DIM, np.float32)
+    dav /= c["low"][:, None]
+    mean /= c["low"]
+    dav = dav.reshape(n, t, DIM)
+    ds = dav @ c["v"].transpose(0, 2, 1)
+    ds -= mean.reshape(n, t, 1)
     ds *= c["a"]
-    ds *= np.float32(1 / math.sqrt(DIM))
-    dv, dq, dk = across(c["a"]) @ dav, ds @ c["k"], across(ds) @ c["q"]
-    x = c["x"].reshape(-1, DIM)
-    dx = dy
-    for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        d = d.reshape(-1, DIM)
-        g[name] = x.T @ d
-        dx = dx + d @ w[name].T
+    d = np.empty((n, t, 3 * DIM), np.float32)
+    d[:, :, 2 * DIM :] = c["a"].transpose(0, 2, 1) @ dav
+    ds *= SCALE
+    d[:, :, :DIM] = ds @ c["k"]
+    d[:, :, DIM : 2 * DIM] = ds.transpose(0, 2, 1) @ c["q"]
+    d = d.reshape(-1, 3 * DIM)
+    g["qkv"] = c["x"].T @ d
+    dx = dz + d @ w["qkv"].T
     g["pos"] = dx.reshape(n, t, DIM).sum(0)
-    g["emb"] = summed(bucket(c["inputs"]).reshape(-1), dx, BUCKETS)
+    g["emb"] = summed(c["inputs"].reshape(-1), dx, BUCKETS)
     return g
 
 
-def windows(ids: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, fresh) of one text: fresh marks targets that no earlier window holds."""
-    line = np.concatenate([[END], ids, [END]])
-    n = len(line) - 1
-    starts = np.arange(0, max(1, n - (CONTEXT - stride)), stride)
-    at = starts[:, None] + np.arange(CONTEXT)
-    fresh = (at < n) & ((np.arange(CONTEXT) >= CONTEXT - stride) | (starts[:, None] == 0))
-    at = np.minimum(at, n - 1)
-    return line[at], line[at + 1], fresh
-
-
-def batches(texts: Iterator[tuple[int, np.ndarray]], stride: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(inputs, targets, fresh, row) of about BATCH windows at a time."""
-    held, n = [], 0
-    for row, ids in texts:
-        made = windows(ids, stride)
-        for k in range(0, len(made[0]), BATCH):
-            part = [x[k : k + BATCH] for x in made]
-            held.append((*part, np.full(len(part[0]), row)))
-            n += len(part[0])
-            if n >= BATCH:
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                held, n = [], 0
-    if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+def windows(texts: list[np.ndarray], stride: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(inputs, targets, fresh, place of the text) of up to BATCH windows at a time: fresh marks targets that no earlier window holds."""
+    if not texts:
+        return
+    line = np.concatenate([x for text in texts for x in ([END], text)] + [[END]])
+    n = np.array([len(x) + 1 for x in texts])
+    many = np.maximum(1, -(-(n - (CONTEXT - stride)) // stride))
+    row = np.repeat(np.arange(len(texts)), many)
+    start = (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * stride
+    before, step = np.cumsum(n) - n, np.arange(CONTEXT)
+    for k in range(0, len(row), BATCH):
+        own, first = row[k : k + BATCH], start[k : k + BATCH, None]
+        at, last = first + step, n[own, None]
+        fresh = (at < last) & ((step >= CONTEXT - stride) | (first == 0))
+        at = np.minimum(at, last - 1) + before[own, None]
+        yield line.take(at), line.take(at + 1), fresh, own
 
 
 WEIGHTS = "place bigint, n bigint, weights binary"
+COLUMNS = ["place", "n", "weights"]
 
 
 def packed(w: dict[str, np.ndarray]) -> bytes:
@@ -245,72 +291,84 @@ def unpacked(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def trained(bias: list[np.ndarray]):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def trained(bias: list[np.ndarray], code: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One pass of Adagrad over the training rows of a partition."""
-        w, seen, place = start_weights(), 0, 0
+        keep_freed_memory()
+        w, seen, place, hashed = start_weights(), 0, 0, bucket(np.arange(END + 1))
         squares = {n: np.full_like(x, 1e-6) for n, x in w.items()}
 
-        def texts() -> Iterator[tuple[int, np.ndarray]]:
-            nonlocal place
-            for frame in frames:
-                place = int(frame.place.iloc[0]) if len(frame) else place
-                for ids, held in zip(frame.ids, frame.held_out, strict=True):
-                    if not held:
-                        yield 0, wide(ids)
-
-        for inputs, targets, fresh, _ in batches(texts(), CONTEXT):
-            n = int(fresh.sum())
-            _, cache = forward(w, bias, inputs, targets)
-            for name, g in backward(w, cache, fresh.astype(np.float32) / max(n, 1)).items():
-                squares[name] += g * g
-                w[name] -= RATE * g / np.sqrt(squares[name])
-            seen += n
+        for b in slices(batches):
+            place = b.column("place")[0].as_py()
+            texts = [x for x, held in zip(texts_of(b), b.column("held_out").to_pylist(), strict=True) if not held]
+            for part in windows(texts, CONTEXT):
+                k = 0
+                while k < len(part[0]):  # steps start small and grow with what has been seen
+                    size = min(BATCH, max(LEAST, seen // (32 * CONTEXT)))
+                    inputs, targets, fresh = (x[k : k + size] for x in part[:3])
+                    k += size
+                    n = int(fresh.sum())
+                    _, cache = forward(w, bias, hashed.take(inputs), code.take(targets))
+                    for name, g in backward(w, cache, fresh.astype(np.float32) / np.float32(n)).items():
+                        squares[name] += g * g
+                        w[name] -= np.float32(RATE) * g / np.sqrt(squares[name])
+                    seen += n
         if seen:
-            yield pd.DataFrame({"place": [place], "n": [seen], "weights": [packed(w)]})
+            yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([seen]), pa.array([packed(w)])], COLUMNS)
 
     return run
 
 
-def averaged(frame: pd.DataFrame) -> pd.DataFrame:
-    total = sum(n * np.frombuffer(bytes(w), np.float32).astype(float) for n, w in zip(frame.n, frame.weights, strict=True))
-    return pd.DataFrame({"place": [int(frame.place.iloc[0])], "n": [int(frame.n.sum())], "weights": [(total / frame.n.sum()).astype(np.float32).tobytes()]})
+def averaged(table: pa.Table) -> pa.Table:
+    total, n = np.zeros(sum(x.size for x in start_weights().values())), 0
+    for own, data in zip(table.column("n").to_pylist(), table.column("weights"), strict=True):
+        total += own * np.frombuffer(data.as_py(), np.float32).astype(float)
+        n += own
+    return pa.table([[table.column("place")[0].as_py()], [n], [(total / n).astype(np.float32).tobytes()]], COLUMNS)
 
 
-def fit(rows: DataFrame, bias: list[np.ndarray]) -> dict[str, np.ndarray]:
+def fit(rows: DataFrame, bias: list[np.ndarray], code: np.ndarray) -> dict[str, np.ndarray]:
     """The averaged weights over rows (ids, held_out); starting weights where nothing is to be learnt."""
-    copies = stash(rows.withColumn("place", F.spark_partition_id().cast("long")).mapInPandas(trained(bias), WEIGHTS), "weights")
+    copies = stash(rows.withColumn("place", F.spark_partition_id().cast("long")).mapInArrow(trained(bias, code), WEIGHTS), "weights")
     last = copies.agg(F.max("place")).first()[0]
     if last is None:
         return start_weights()
     while last > 0:
-        copies = copies.withColumn("place", F.floor(F.col("place") / FAN_IN)).groupBy("place").applyInPandas(averaged, WEIGHTS)
+        copies = copies.withColumn("place", F.floor(F.col("place") / FAN_IN)).groupBy("place").applyInArrow(averaged, WEIGHTS)
         last //= FAN_IN
     return unpacked(bytes(copies.select("weights").first()[0]))
 
 
-def scored(bias: list[np.ndarray], weights: dict[str, np.ndarray], heavy: dict[int, float]):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in (f.iloc[k : k + ROWS] for f in frames for k in range(0, len(f), ROWS)):
-            lines = [x.lower().split() for x in frame.text]
-            score = np.zeros(len(lines))
-            for inputs, targets, fresh, row in batches(((k, wide(x)) for k, x in enumerate(frame.ids)), STRIDE):
-                logp, _ = forward(weights, bias, inputs, targets)
-                np.add.at(score, row, np.where(fresh, logp, 0).sum(1, dtype=float))
-            base, known, rest = [], [], []
-            for words in lines:
-                total, n, others = 0.0, 0, []
-                for word, c in Counter(words).items():
-                    h = word_hash(word)
-                    if (v := heavy.get(h)) is None:
-                        others.append({"h": h, "tf": c})
-                    else:
-                        total += v * c
-                        n += c
-                base.append(total)
-                known.append(n)
-                rest.append(others)
-            yield pd.DataFrame({"id": frame.id, "held_out": frame.held_out, "n_tokens": [len(x) + 1 for x in lines], "base": base, "known": known, "rest": rest, "score": score / math.log(10)})
+def scored(path: str, bias: list[np.ndarray], share: np.ndarray, code: np.ndarray, weights: dict[str, np.ndarray], hashes: np.ndarray, values: np.ndarray):
+    """hashes, in order, and values: the words that are looked up here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
+        own, hashed = words_of(path), bucket(np.arange(END + 1))
+        for b in slices(batches):
+            texts = texts_of(b)
+            score = np.zeros(len(texts))
+            for inputs, targets, fresh, row in windows(texts, STRIDE):
+                logp, _ = forward(weights, bias, hashed.take(inputs), code.take(targets))
+                logp += share.take(targets)
+                score += np.bincount(row, np.where(fresh, logp, 0).sum(1, dtype=float), len(texts))
+            n_tokens, distinct, h, tf = [], [], [], []
+            for text in texts:
+                words = own.words(text)
+                bag = Counter(words)
+                n_tokens.append(len(words) + 1)
+                distinct.append(len(bag))
+                h += map(word_hash, bag)
+                tf += bag.values()
+            h, tf, row = np.array(h, np.int64), np.array(tf, np.int64), np.repeat(np.arange(len(texts)), distinct)
+            at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
+            found = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
+            base = np.bincount(row[found], values[at[found]] * tf[found], len(texts)) if len(hashes) else np.zeros(len(texts))
+            known, rest = np.bincount(row[found], tf[found], len(texts)).astype(np.int64), ~found
+            starts = np.concatenate([[0], np.cumsum(np.bincount(row[rest], minlength=len(texts)))]).astype(np.int32)
+            others = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array(h[rest]), pa.array(tf[rest])], ["h", "tf"]))
+            columns = {"id": b.column("id"), "held_out": b.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "base": pa.array(base), "known": pa.array(known), "rest": others, "score": pa.array(score / math.log(10))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
@@ -322,11 +380,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is only an end. Repeated rows are scored, and learnt from, each. An empty table gives an empty result; without any
     training row all words are unknown and the model is the starting one. Words are told apart by 64-bit hashes.
     """
-    path = path or default_vocabulary()
+    path = path or default_ranks()
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 1, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), held.alias("held_out"))
-    rows = stash(rows.mapInPandas(encoded(path), "id bigint, text binary, held_out boolean, ids binary"), "encoded")
-    found = stash(rows.select("text", "ids", "held_out").mapInPandas(counted, "h bigint, id int, c bigint"), "word-counts")
+    rows = stash(rows.mapInArrow(encoded(path), "id bigint, held_out boolean, ids binary"), "encoded")
+    found = stash(rows.select("ids", "held_out").mapInArrow(counted(path), "h bigint, id int, c bigint"), "word-counts")
     counts = stash(found.filter("h IS NOT NULL").groupBy("h").agg(F.sum("c").alias("c")), "words")
     of_id = np.zeros(END + 1)
     for r in found.filter("id IS NOT NULL").groupBy("id").agg(F.sum("c").alias("c")).collect():  # as many rows as the vocabulary at most
@@ -335,16 +393,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = (whole.n or 0) + ends, whole.v + (1 if ends else 0)
     low = n + 0.5 * (v + 1)
-    value = lambda c: math.log10((c + 0.5) / low)
-    heavy = {r.h: value(r.c) for r in counts.filter(F.col("c") * HEAVY >= n).collect()}  # HEAVY rows at most
-    bias = biases(of_id)
-    weights = fit(rows.select("ids", "held_out"), bias)
+    value = lambda c: np.log10((c + 0.5) / low)
+    heavy = counts.filter(F.col("c") * HEAVY >= n).toPandas().sort_values("h")  # HEAVY rows at most
+    code = codes(of_id, words_of(path).starts())
+    bias, share = biases(of_id, code)
+    weights = fit(rows.select("ids", "held_out"), bias, code)
     schema = "id bigint, held_out boolean, n_tokens bigint, base double, known bigint, rest array<struct<h:bigint,tf:bigint>>, score double"
-    own = stash(rows.mapInPandas(scored(bias, weights, heavy), schema).withColumn("rid", F.monotonically_increasing_id()), "scores")
+    own = stash(rows.mapInArrow(scored(path, bias, share, code, weights, heavy.h.to_numpy(np.int64), value(heavy.c.to_numpy(float))), schema).withColumn("rid", F.monotonically_increasing_id()), "scores")
     rare = own.select("rid", F.inline("rest")).join(counts, "h", "left").groupBy("rid").agg(F.sum(F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(low))).alias("rare"), F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("n_rare"))
     return own.drop("rest").join(rare, "rid", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("n_rare", F.lit(0)) + F.lit(1 if ends else 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare", F.lit(0.0)) + F.lit(value(ends))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("rare", F.lit(0.0)) + F.lit(float(value(ends)))).alias("base_score"), "score",
     )
 
 

@@ -151,20 +151,61 @@ def test_lm(docs, odd, empty):
 
 def test_lm_is_a_distribution():
     """Over all next ids, probabilities sum to one."""
-    bias, w = lm_scoring.biases(np.random.default_rng(0).random(lm_scoring.END + 1)), lm_scoring.start_weights()
-    t = lm_scoring.CONTEXT
-    every = np.arange(lm_scoring.RADIX**lm_scoring.LEVELS)
-    every = np.concatenate([every, np.zeros(-len(every) % t, np.int64)])
-    inputs = np.full((len(every) // t, t), lm_scoring.END)
+    rng, t, n = np.random.default_rng(0), lm_scoring.CONTEXT, lm_scoring.END + 1
+    counts, w = rng.random(n) * (rng.random(n) < 0.5), lm_scoring.start_weights()
+    code = lm_scoring.codes(counts, rng.random(n) < 0.6)
+    bias, share = lm_scoring.biases(counts, code)
+    every = np.arange(n + -n % t) % n
+    inputs = np.full((len(every) // t, t), 7)
     w["pos"][:] = w["pos"][0]
-    logp, _ = lm_scoring.forward(w, bias, inputs, every.reshape(-1, t))
-    assert np.exp(logp.reshape(-1)[: lm_scoring.RADIX**lm_scoring.LEVELS].astype(float)).sum() == pytest.approx(1, abs=1e-3)
+    logp, _ = lm_scoring.forward(w, bias, inputs, code[every].reshape(-1, t))
+    assert np.exp((logp.reshape(-1) + share[every])[:n].astype(float)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_gradients():
+    """Against differences of the loss."""
+    rng = np.random.default_rng(3)
+    w, counts = {k: x.astype(float) for k, x in lm_scoring.start_weights().items()}, rng.random(lm_scoring.END + 1)
+    code = lm_scoring.codes(counts, rng.random(len(counts)) < 0.5)
+    bias, _ = lm_scoring.biases(counts, code)
+    inputs, targets, weight = rng.integers(0, lm_scoring.BUCKETS, (3, lm_scoring.CONTEXT)), code[rng.integers(0, len(code), (3, lm_scoring.CONTEXT))], rng.random((3, lm_scoring.CONTEXT))
+    loss = lambda: -(lm_scoring.forward(w, bias, inputs, targets)[0] * weight).sum()
+    grads = lm_scoring.backward(w, lm_scoring.forward(w, bias, inputs, targets)[1], weight)
+    assert set(grads) == set(w)
+    for name, g in grads.items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        own, step = w[name][at], 0.02
+        w[name][at] = own + step
+        above = loss()
+        w[name][at] = own - step
+        below = loss()
+        w[name][at] = own
+        assert (above - below) / (2 * step) == pytest.approx(g[at], rel=0.05, abs=1e-3), name
+
+
+def test_lm_learns(spark):
+    """Held-out texts of a language in which each word sets the next one: context must beat any unigram score."""
+    line = "red blue green gold pink grey".split()
+    texts = spark.range(0, 1500, 1, 2).selectExpr("id AS doc_id", f"concat_ws(' ', transform(sequence(0, 200), k -> element_at(array({', '.join(map(repr, line))}), int((id + k) % 6) + 1))) AS text")
+    got = lm_scoring.score_documents(texts).filter("held_out").selectExpr("sum(score) / sum(n_tokens) AS own", "sum(base_score) / sum(n_tokens) AS base").first()
+    assert got.own > got.base / 3
 
 
 def test_windows_score_each_token_once():
-    for n in (0, 1, 15, 16, 17, 100):
-        inputs, targets, fresh = lm_scoring.windows(np.arange(n), lm_scoring.STRIDE)
-        assert targets[fresh].tolist() == [*range(n), lm_scoring.END]
+    texts = [np.arange(n) for n in (0, 1, 13, 14, 15, 16, 17, 100, 20_000)]
+    for stride in (lm_scoring.STRIDE, lm_scoring.CONTEXT):
+        seen = {k: [] for k in range(len(texts))}
+        for inputs, targets, fresh, row in lm_scoring.windows(texts, stride):
+            for k, i, t, f in zip(row, inputs, targets, fresh):
+                seen[k] += t[f].tolist()
+                assert all(b == a + 1 or b == lm_scoring.END or a == lm_scoring.END for a, b in zip(i[f], t[f]))
+        assert seen == {k: [*range(len(x)), lm_scoring.END] for k, x in enumerate(texts)}
+
+
+def test_subwords_give_the_words_back():
+    own = lm_scoring.Words(lm_scoring.default_ranks())
+    words = [b"plain", b"'t", b"\xff\xfe", "日本語".encode(), b"x" * 500, "\u00a0\u3000é".encode(), b"<|endoftext|>"]
+    assert own.words(np.frombuffer(own.ids(words) * 2, "<u2")) == words * 2
 
 
 def test_mixing(spark, docs, odd, empty):
