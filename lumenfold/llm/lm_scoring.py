@@ -18,7 +18,7 @@ import base64
 import ctypes
 import functools
 import math
-import struct
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import documents, stash
 
-RADIX, LEVELS, DIM, CONTEXT, STRIDE, BUCKETS = 16, 3, 16, 16, 14, 4096
+RADIX, LEVELS, DIM, CONTEXT, STRIDE, BUCKETS = 24, 2, 12, 16, 14, 4096
 HEAVY, FAN_IN, LEAST, BATCH, RATE, SEED = 1_000_000, 16, 32, 512, 0.1, 5
-KEPT = 150_000  # words kept in a worker
+KEPT = 400_000  # words kept in a worker
 ROWS = 250  # documents that a worker unpacks at a time
-COUNTED = 300_000  # distinct words that a worker counts before it passes them on
+COUNTED = 200_000  # distinct words that a worker counts before it passes them on
 END = 50_256  # the id after the vocabulary's; starts and ends a text
 
 
@@ -66,7 +66,7 @@ class Words:
         if len(self.known) >= KEPT:
             self.known.clear()
         ids = self.codec._encode_single_piece(b" " + word)
-        out = struct.pack(f"<{len(ids)}H", *ids)
+        out = array("H", ids).tobytes()
         if len(word) <= 32:
             self.known[word] = out
         return out
@@ -88,50 +88,50 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
 
 
-def encoded(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = words_of(path)
-        for b in slices(batches):
-            ids = [own.ids(x.as_py().lower().split()) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(ids, pa.binary())], ["id", "held_out", "ids"])
-
-    return run
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) - 2**63
 
 
-def texts_of(b: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), "<u2").astype(np.int64) for x in b.column("ids")]
+ENCODED = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("h", pa.int64()), ("token", pa.int32()), ("c", pa.int64())])
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - 2**63
+def encoded(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows with their subword ids; and, as rows without ids, word counts (by hash h) and subword counts (by token) of the training rows, summed over a few batches."""
+        own, counts, tokens = words_of(path), Counter(), np.zeros(END + 1, np.int64)
 
+        def padded(n: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in ENCODED], schema=ENCODED)
 
-def counted(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Word counts (by hash) and subword counts (by id) of the training rows, summed over a few batches."""
-        own, words, ids = words_of(path), Counter(), np.zeros(END + 1, np.int64)
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            nonlocal words, ids
-            there = np.flatnonzero(ids)
-            n, m = len(words), len(there)
-            h = pa.array(map(word_hash, words), pa.int64(), size=n)
-            yield pa.RecordBatch.from_arrays([h, pa.nulls(n, pa.int32()), pa.array(words.values(), pa.int64(), size=n)], ["h", "id", "c"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(there, pa.int32()), pa.array(ids[there])], ["h", "id", "c"])
-            words, ids = Counter(), np.zeros(END + 1, np.int64)
+        def summed_up() -> Iterator[pa.RecordBatch]:
+            nonlocal counts, tokens
+            n, there = len(counts), np.flatnonzero(tokens)
+            yield padded(n, h=pa.array(map(word_hash, counts), pa.int64(), size=n), c=pa.array(counts.values(), pa.int64(), size=n))
+            yield padded(len(there), token=pa.array(there, pa.int32()), c=pa.array(tokens[there]))
+            counts, tokens = Counter(), np.zeros(END + 1, np.int64)
 
         for b in slices(batches):
-            texts = [x for x, held in zip(texts_of(b), b.column("held_out").to_pylist(), strict=True) if not held]
-            for text in texts:
-                words.update(own.words(text))
-            ids += np.bincount(np.concatenate([*texts, np.full(len(texts), END)]), minlength=END + 1)
-            if len(words) > COUNTED:
-                yield from rows()
-        yield from rows()
+            ids, learnt = [], []
+            for text, held in zip(b.column("text"), b.column("held_out").to_pylist(), strict=True):
+                words = text.as_py().lower().split()
+                ids.append(own.ids(words))
+                if not held:
+                    counts.update(words)
+                    learnt.append(ids[-1])
+            tokens += np.bincount(np.frombuffer(b"".join(learnt), "u2"), minlength=END + 1)
+            tokens[END] += len(learnt)
+            yield padded(b.num_rows, id=b.column("id"), held_out=b.column("held_out"), ids=pa.array(ids, pa.binary()))
+            if len(counts) > COUNTED:
+                yield from summed_up()
+        yield from summed_up()
 
     return run
 
 
+def texts_of(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), "u2").astype(np.int64) for x in b.column("ids")]
+
+
 def codes(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Each id's class: the first digit tells words' beginnings from the rest; frequent ids are dealt out over the classes in turn."""
     out = np.zeros(len(counts), np.int64)
@@ -213,7 +213,7 @@ def forward(w: dict, bias: list[np.ndarray], inputs: np.ndarray, targets: np.nda
 
 def summed(place: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Rows added up by place."""
-    if n <= RADIX:
+    if n <= 16:
         return (place[:, None] == np.arange(n)).astype(np.float32).T @ rows
     at = place[:, None] * DIM + np.arange(DIM)
     return np.bincount(at.reshape(-1), rows.reshape(-1), n * DIM).reshape(n, DIM).astype(np.float32)
@@ -383,12 +383,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     path = path or default_ranks()
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 1, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), held.alias("held_out"))
-    rows = stash(rows.mapInArrow(encoded(path), "id bigint, held_out boolean, ids binary"), "encoded")
-    found = stash(rows.select("ids", "held_out").mapInArrow(counted(path), "h bigint, id int, c bigint"), "word-counts")
+    found = stash(rows.mapInArrow(encoded(path), "id bigint, held_out boolean, ids binary, h bigint, token int, c bigint"), "encoded")
+    rows = found.filter("ids IS NOT NULL").select("id", "held_out", "ids")
     counts = stash(found.filter("h IS NOT NULL").groupBy("h").agg(F.sum("c").alias("c")), "words")
     of_id = np.zeros(END + 1)
-    for r in found.filter("id IS NOT NULL").groupBy("id").agg(F.sum("c").alias("c")).collect():  # as many rows as the vocabulary at most
-        of_id[r.id] = r.c
+    for r in found.filter("token IS NOT NULL").groupBy("token").agg(F.sum("c").alias("c")).collect():  # as many rows as the vocabulary at most
+        of_id[r.token] = r.c
     ends = int(of_id[END])
     whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = (whole.n or 0) + ends, whole.v + (1 if ends else 0)
