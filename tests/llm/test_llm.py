@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lumenfold.llm import bpe, catalog, exact_dedup, lm_scoring, mixing, pseudonyms, quality, secrets, sharding, simhash, substring_dedup
+from lumenfold.llm import bpe, catalog, exact_dedup, lm_scoring, mixing, near_copies, pseudonyms, quality, secrets, sharding, simhash, substring_dedup
 
 DATA = "/root/testdata/sf0.001"
 
@@ -89,6 +89,27 @@ def test_simhash_chunks(spark):
     assert roots[0] == roots[1]
 
 
+def test_near_copies(spark):
+    """Against all pairs: five-word shingles, similarity of 0.8; whole groups and chunks of them."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for base in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        texts.append(words)
+        for cut in rng.integers(0, 24, 4):
+            texts.append(words[: len(words) - int(cut)] + [f"new{x}" for x in rng.integers(0, 9999, int(cut) // 3)])
+    texts = [" ".join(x) for x in texts] + ["", "one two", "One  two", "one three"]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    near = np.array([[a == b or len(a & b) >= 0.8 * len(a | b) > 0 for b in sets] for a in sets])
+    label = np.arange(len(texts))
+    while (new := np.array([label[row].min() for row in near])).tolist() != label.tolist():
+        label = new
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(set(label.tolist())) < len(texts) - 100
+    for chunk in (2, 1024):
+        assert sorted(r.doc_id for r in near_copies.drop_near_copies(df, chunk=chunk).collect()) == sorted(set(label.tolist()))
+
+
 def test_bpe(docs, odd, empty):
     own, path = bpe.encode_documents(odd).toPandas(), bpe.default_vocabulary()
     ours, theirs = bpe.Codec(path), Tokenizer.from_file(path)
