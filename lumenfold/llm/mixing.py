@@ -135,16 +135,20 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
 
 def thin(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """docs thinned to the targets, each at most once; all columns stay. The budget keeps the first domain whole, as far as its tokens go; rows that share an id stay or go together, one of them."""
+    """docs thinned to the targets, each at most once; all columns stay. The budget keeps the first domain whole, as far as its tokens go.
+
+    Rows are told apart by id and text: those that agree in both stay or go together, one of them; rows that share an id, or have none, are drawn each for itself.
+    """
     model = fit_classifier(docs, labels)
-    own = docs.select("doc_id", posteriors(text_or_empty(), model).alias("m")).select("doc_id", "m.*")
+    sha = F.unhex(F.sha2(text_or_empty(), 256))
+    own = docs.select("doc_id", sha.alias("sha"), posteriors(text_or_empty(), model).alias("m")).select("doc_id", "sha", "m.*")
     members = stash(own, "members")
     first = members.agg(F.sum(F.col("n_tokens") * F.get("p", F.lit(0)))).first()[0] or 0.0
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
     steps, start = fit_rates(members, targets, min(first / targets[DOMAINS[0]], float(total)), 1.0)
-    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("copies")), F.lit(2**32)) / F.lit(float(2**32))
-    kept = members.filter(draw < rate(F.col("p"), steps, start, 1.0)).select(F.col("doc_id").alias("id")).distinct()
-    return keep_rows(docs, [("id", F.col("doc_id"))], kept)
+    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "sha", F.lit("copies")), F.lit(2**32)) / F.lit(float(2**32))
+    kept = members.filter(draw < rate(F.col("p"), steps, start, 1.0)).select(F.col("doc_id").alias("id"), "sha").distinct()
+    return keep_rows(docs, [("id", F.col("doc_id")), ("sha", sha)], kept)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

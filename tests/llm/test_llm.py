@@ -239,6 +239,20 @@ def test_mixing(spark, docs, odd, empty):
     assert mixing.mix(odd, labels).count() == 11 and mixing.mix(empty, labels).count() == 0
 
 
+def test_stages_keep_null_and_repeated_ids(spark, docs, odd):
+    """Documents are told apart by id and text, not by the id alone."""
+    kept = near_copies.drop_near_copies(odd).collect()
+    assert [r.doc_id for r in kept].count(None) == 0 and sorted(r.doc_id for r in kept) == [1, 3, 5, 7, 8, 9]  # the row without an id has 16 of 19 shingles in common with 7
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    same = spark.createDataFrame([(i, words(k)) for k, i in enumerate([None] * 5 + [7] * 5)] + [(7, words(0) + " end"), (None, words(5) + " end"), (None, words(1))], "doc_id long, text string")
+    # a component keeps the smallest id, so text 0 goes for its near copy that has an id, and text 5 keeps its own
+    assert sorted(r.text for r in near_copies.drop_near_copies(same).collect()) == sorted([words(0) + " end"] + [words(k) for k in range(1, 10)])
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    clean = docs.selectExpr("CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 1 ELSE doc_id END AS doc_id", "text")
+    got = [r.doc_id for r in mixing.thin(clean, labels).collect()]
+    assert min(sum(i is None for i in got), sum(i == 1 for i in got)) > 0.5 * sum(i not in (None, 1) for i in got) > 5
+
+
 def test_pipeline(spark, docs):
     ids = docs
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
