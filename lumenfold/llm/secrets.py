@@ -41,7 +41,7 @@ def parts(text: Column) -> Column:
 
         def found(v: Column) -> Column:
             long_enough = F.length(v) >= least
-            return long_enough & (F.length(v) <= 128) & v.rlike("[A-Z]") & v.rlike("[a-z]") & v.rlike("[0-9]") if kind == "weak" else long_enough
+            return long_enough & v.rlike("[A-Z]") & v.rlike("[a-z]") & v.rlike("[0-9]") if kind == "weak" else long_enough
 
         gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
         # whole matches and the counted group side by side; their number is one less than that of the gaps

@@ -68,6 +68,14 @@ def test_secrets_odd(odd, empty, spark):
     assert kinds == {1: ["access", "linked"], 2: ["access"], 3: [], 4: ["linked"], 5: ["access", "assign"]}
 
 
+def test_secrets_long_parts(spark):
+    """A weak part has no upper length: session tokens and long keys are parts of credentials."""
+    token = "aB3x" * 100
+    one = spark.createDataFrame([(1, f"AKIA{'Z9' * 8} {token}"), (2, f"{token} https://host.example"), (3, token), (4, f"AKIA{'Z9' * 8} {'. ' * 300}{token}")], "doc_id int, text string")
+    spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind == "linked"] for r in secrets.find_secrets(one).collect()}
+    assert spans == {1: [("linked", 21, 421)], 2: [("linked", 0, 400)], 3: [], 4: []}
+
+
 def test_simhash(docs, odd, empty, spark):
     table = docs.toPandas()
     fp = np.array([simhash.fingerprint((x or "").encode()) for x in table.text], np.uint64)
