@@ -52,6 +52,11 @@ def center_or(center: Column, n: Column, rule: str) -> Column:
     return {"reconstruct": F.when(center > 0, center).otherwise(half + 1), "distribute": F.when(center == 0, half).otherwise(center), "serialise": F.coalesce(center, half)}[rule]
 
 
+def center_override(center: Column, given: float) -> Column:
+    """The center given for a run, cut to a whole number, unless that is 0: then the message's own."""
+    return F.lit(float(int(given))) if int(given) else center
+
+
 def mov(center: Column, n: Column) -> Column:
     """Shift of the detector to the center, for the simultaneous solver."""
     return n.cast("double") / 2 - center + F.lit(1e-6)
@@ -88,6 +93,24 @@ def transposed(px: Column, side: int) -> Column:
     return F.transform(px, lambda v, k: F.get(px, (k % side) * side + F.floor(k / side).cast("int")))
 
 
+def swapped_axes(px: Column, sizes: tuple[int, int, int], one: int, two: int) -> Column:
+    """A flat volume (sizes of axes 0, 1, 2) with two axes swapped; the same two pairs in either order."""
+    order = [0, 1, 2]
+    order[one], order[two] = order[two], order[one]
+    stride = (sizes[1] * sizes[2], sizes[2], 1)
+    a, b, c = (sizes[k] for k in order)
+    place = lambda k: [F.floor(k / (b * c)), F.floor(k / c) % b, k % c]
+    source = lambda k: sum((x * stride[o] for x, o in zip(place(k), order, strict=True)), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(a * b * c - 1)), lambda k: F.get(px, source(k)))
+
+
+def halved(px: Column, side: int) -> Column:
+    """A square image at half the side: means of 2 x 2 pixels, an odd last row or column left out."""
+    half, at = side // 2, lambda k, dy, dx: F.get(px, ((F.floor(k / (side // 2)) * 2 + dy) * side + (k % (side // 2)) * 2 + dx).cast("int"))
+    mean = lambda k: (at(k, 0, 0) + at(k, 0, 1) + at(k, 1, 0) + at(k, 1, 1)) / 4.0
+    return F.transform(F.sequence(F.lit(0), F.lit(half * half - 1)), mean)
+
+
 def in_circle(x: Column, y: Column, n: int, ratio: float = 0.95) -> Column:
     """Whether a pixel's center is in the circle of `ratio` times the half side."""
     c = (n - 1) / 2

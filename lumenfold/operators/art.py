@@ -2,41 +2,76 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.raytrace import MARGIN, by_slice, projections, segments, traced
+from lumenfold.plans.cut import cut
+
+
+def shift(n: int, center: float) -> float:
+    """The detector's shift to the center: off whole numbers by at least MARGIN, then by half a pixel (scalars.mov_sequential)."""
+    mov = (n - 1) * 0.5 - center
+    return (mov + MARGIN if mov - math.floor(mov) < MARGIN else mov) + 0.5
+
+
+def art_segments(rays: DataFrame, n: int, center: float | None = None) -> DataFrame:
+    """The sequential solver's system: its shift, crossings at least MARGIN inside, pixels numbered y + n * x."""
+    return segments(rays, n, shift(n, n / 2 if center is None else center), MARGIN, by_column=True)
+
 
-def art(rays: DataFrame, system: DataFrame, n: int, iterations: int = 1, image: DataFrame | None = None) -> DataFrame:
+def art(rays: DataFrame, n: int, iterations: int = 1, image: DataFrame | None = None, center: float | None = None) -> DataFrame:
     """(slice, pix, val): for each projection and column in order, (ray - simulated) / sum of squares goes back along the ray.
 
-    image: where to go on from (a checkpoint); else zeros. A slice's rays, each with its segments as arrays, fit one task.
+    rays: (proj, theta, slice, col, val). image: where to go on from (a checkpoint); else zeros. center: the detector's
+    middle if None. Each iteration is one pass of the sorted rays through the tasks of their slices, which hold one
+    projection and one image; the image is cut between iterations.
     """
-    traced = system.groupBy("proj", "col").agg(F.sort_array(F.collect_list(F.struct("seg", "pix", "leng"))).alias("s"))
-    lines = rays.join(traced, ["proj", "col"]).select("slice", "proj", "col", "val", F.col("s.pix").alias("pix"), F.col("s.leng").alias("leng"), F.lit(None).cast("array<double>").alias("start"))
-    if image is not None:
-        whole = image.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("pix", "val"))).alias("v"))
-        lines = lines.unionByName(whole.select("slice", F.lit(-1).cast("bigint").alias("proj"), F.lit(0).alias("col"), F.lit(0.0).alias("val"), F.col("v.pix").alias("pix"), F.col("v.val").alias("leng"), F.lit(None).cast("array<double>").alias("start")))
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["proj", "col"])
-        own, work = np.zeros(n * n), []
-        for proj, val, pix, leng in zip(frame.proj, frame.val, frame.pix, frame.leng, strict=True):
-            pix, leng = np.asarray(pix, np.int64), np.asarray(leng, float)
+    mov = shift(n, n / 2 if center is None else center)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own, pixels = None, np.zeros(0), np.arange(n * n, dtype=np.int32)
+        for number, proj, theta, _, col, val in projections(frames):
+            if number != at:
+                if at is not None:
+                    yield pd.DataFrame({"slice": at, "pix": pixels, "val": own})
+                at, own = number, np.zeros(n * n)
             if proj < 0:
-                own[pix] = leng
-            elif (norm := float(leng @ leng)) > 0:
-                work.append((val, pix, leng, norm))
-        for _ in range(iterations):
-            for val, pix, leng, norm in work:
-                np.add.at(own, pix, (val - own[pix] @ leng) / norm * leng)
-        return pd.DataFrame({"slice": int(frame["slice"].iloc[0]), "pix": np.arange(n * n, dtype=np.int32), "val": own})
+                own[col] = val
+                continue
+            pix, leng = traced(theta, col, n, mov, MARGIN, by_column=True)
+            norm = (leng * leng).sum(1)
+            for k in np.flatnonzero(norm).tolist():
+                p, d = pix[k], leng[k]
+                np.add.at(own, p, (val[k] - own[p] @ d) / norm[k] * d)
+        if at is not None:
+            yield pd.DataFrame({"slice": at, "pix": pixels, "val": own})
 
-    return lines.drop("start").groupBy("slice").applyInPandas(fold, "slice int, pix int, val double")
+    for k in range(iterations):
+        image = by_slice(rays, image).mapInPandas(run, "slice int, pix int, val double")
+        if k < iterations - 1:
+            image = cut(image)
+    return image
 
 
-def vector_forward(system: DataFrame, image: DataFrame) -> DataFrame:
+def vector_forward(system: DataFrame, image: DataFrame, *keys: str) -> DataFrame:
     """Two-component model (mx, my) along rays of direction (cos, sin): sum of (mx vx + my vy) leng."""
     along = F.col("mx") * F.cos("theta") + F.col("my") * F.sin("theta")
-    return system.join(image, "pix").groupBy("proj", "slice", "col").agg(F.sum(along * F.col("leng")).alias("sim"))
+    return system.join(image, [*keys, "pix"]).groupBy(*keys, "proj", "slice", "col").agg(F.sum(along * F.col("leng")).alias("sim"))
+
+
+def volume_as_slices(volume: DataFrame, n: int, axis: int) -> DataFrame:
+    """(..., slice, pix, mx, my) of a three-component volume (z, y, x, mx, my, mz) as rays across `axis` see it.
+
+    Axis 0: slices are z, a ray's grid is (y, x) and its components are x and y. Axis 1: slices are x, the grid is
+    (y, z), components y and z. Axis 2: slices are y, the grid is (x, z), components x and z.
+    """
+    place, row, column, first, second = {0: ("z", "y", "x", "mx", "my"), 1: ("x", "y", "z", "my", "mz"), 2: ("y", "x", "z", "mx", "mz")}[axis]
+    rest = [c for c in volume.columns if c not in ("z", "y", "x", "mx", "my", "mz")]
+    pix = (F.col(column) + n * F.col(row)).cast("int")
+    return volume.select(*rest, F.col(place).alias("slice"), pix.alias("pix"), F.col(first).alias("__a"), F.col(second).alias("__b")).withColumnsRenamed({"__a": "mx", "__b": "my"})

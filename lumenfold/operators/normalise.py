@@ -4,25 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenfold.functions.scalars import minus_log, remove_invalids
+from lumenfold.operators.prefix import running
+from lumenfold.operators.stream_checks import DARKS, FLATS
+
+LEAST = 1e-6  # fixed value: what flat - dark counts at least
 
 
 def with_fields(m: DataFrame) -> DataFrame:
-    """m with flat and dark: means of the fields since the last reset (which counts as a field), as of each message."""
-    arrived = Window.partitionBy("chan").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
-    grouped = m.withColumns({"wgrp": F.sum((F.col("itype") == 4).cast("int")).over(arrived), "dgrp": F.sum((F.col("itype") == 5).cast("int")).over(arrived)})
-    mean = lambda grp, kinds: F.avg(F.when(F.col("itype").isin(kinds), F.col("val"))).over(Window.partitionBy("chan", grp).orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0))
-    return grouped.withColumns({"flat": mean("wgrp", [2, 4]), "dark": mean("dgrp", [3, 5])}).drop("wgrp", "dgrp")
+    """m with flat and dark: means of the fields since the last reset (which counts as a field), as of each message; null before the first."""
+    out = running(m, ["chan"], "arrival", sums={"__wgrp": (F.col("itype") == 4).cast("long"), "__dgrp": (F.col("itype") == 5).cast("long")})
+    for name, group, kinds in (("flat", "__wgrp", FLATS), ("dark", "__dgrp", DARKS)):
+        field = F.col("itype").isin(*kinds) & F.col("val").isNotNull()
+        sums = {"__sum": F.when(field, F.col("val")), "__n": field.cast("long")}
+        out = running(out, ["chan", group], "arrival", sums=sums)
+        out = out.withColumn(name, F.try_divide("__sum", F.col("__n").cast("double"))).drop("__sum", "__n")
+    return out.drop("__wgrp", "__dgrp")
 
 
-def normalised(m: DataFrame, least: float = 1e-6) -> DataFrame:
+def normalised(m: DataFrame, least: float = LEAST) -> DataFrame:
     """Projections with out = (val - dark) / max(flat - dark, least); as they are until a flat and a dark have been seen."""
     scaled = (F.col("val") - F.col("dark")) / F.greatest(F.col("flat") - F.col("dark"), F.lit(least))
-    return with_fields(m).filter("itype = 1").withColumn("out", F.when(F.col("flat").isNull() | F.col("dark").isNull(), F.col("val")).otherwise(scaled))
+    either = F.col("flat").isNull() | F.col("dark").isNull()
+    return with_fields(m).filter("itype = 1").withColumn("out", F.when(either, F.col("val")).otherwise(scaled))
 
 
-def preprocessed(m: DataFrame, least: float = 1e-6) -> DataFrame:
+def preprocessed(m: DataFrame, least: float = LEAST) -> DataFrame:
     """Normalise, -log, clean up, in that order."""
     return normalised(m, least).withColumn("out", remove_invalids(minus_log(F.col("out"))))

@@ -1,22 +1,23 @@
-"""Reductions of partial sums, and halo exchange between neighbouring slices."""
+"""Sums over replicas, and halo exchange between neighbouring slices."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-def tree_sum(df: DataFrame, key: str, value: str, leaves: int, fan_in: int = 4) -> DataFrame:
-    """Sums by key through levels of fan_in: replicas' partial sums meet in ever fewer groups, so a hot key never meets in one task at once."""
-    level = df.select(F.col(key), F.pmod(F.xxhash64(*df.columns), F.lit(leaves)).alias("leaf"), F.col(value).alias("total"), F.lit(1).cast("long").alias("n"))
-    while leaves > 1:
-        level = level.groupBy(key, "leaf").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).withColumn("leaf", F.floor(F.col("leaf") / fan_in))
-        leaves = -(-leaves // fan_in)
-    return level.groupBy(key).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+def total(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, total, n): partial sums in each task, then one exchange of a row a key and task."""
+    return df.groupBy(key).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
 def halo(px: DataFrame) -> DataFrame:
-    """(proj, slice, col, val, below, above): each pixel with those of the neighbouring slices, null at the ends; one equi-join for both sides."""
-    shifted = px.select("proj", "col", F.explode(F.array(F.struct((F.col("slice") + 1).alias("slice"), F.col("val").alias("below"), F.lit(None).cast("double").alias("above")), F.struct((F.col("slice") - 1).alias("slice"), F.lit(None).cast("double").alias("below"), F.col("val").alias("above")))).alias("s")).select("proj", "s.slice", "col", "s.below", "s.above")
-    both = shifted.groupBy("proj", "slice", "col").agg(F.max("below").alias("below"), F.max("above").alias("above"))
-    return px.join(both, ["proj", "slice", "col"], "left").select("proj", "slice", "col", "val", "below", "above")
+    """(proj, slice, col, val, below, above): each pixel with those of the neighbouring slices, null at the ends.
+
+    Neighbours are those numbered one less and one more; one exchange by (proj, col), whose groups are as large as the
+    detector has rows.
+    """
+    along = Window.partitionBy("proj", "col").orderBy("slice")
+    near = lambda f, step: F.when(f("slice").over(along) == F.col("slice") + step, f("val").over(along))
+    return px.select("proj", "slice", "col", "val", near(F.lag, -1).alias("below"), near(F.lead, 1).alias("above"))

@@ -6,15 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenfold.plans.cut import stash
 
-def dense_index(df: DataFrame, key: str, name: str, buckets: int = 64) -> DataFrame:
-    """df with its 0-based rank by key (long, unique). Ranks are counted in buckets of the key's range, so no window spans all rows."""
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    width = (hi - lo) // buckets + 1
-    own = df.withColumn("__b", F.expr(f"({key} - {lo}) div {width}"))
-    starts = own.groupBy("__b").count().withColumn("__s", F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")  # as many rows as buckets
+
+ROWS_A_RANGE = 1_000_000  # of dense_index, about
+
+
+def dense_index(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with its 0-based rank by key (long, unique).
+
+    Rows are exchanged by ranges of the key with about ROWS_A_RANGE rows each (boundaries from Spark's sample, so a dense
+    part of the key gets more ranges) and written, as the boundaries must not change; they are numbered within, and the
+    counts of the ranges before are added: no window spans all rows.
+    """
+    ranged = df.repartitionByRange(df.count() // ROWS_A_RANGE + 1, key)
+    own = stash(ranged.withColumn("__b", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = own.groupBy("__b").count().select("__b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__s"))  # as many rows as ranges
     placed = own.withColumn("__n", F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1)
     return placed.join(F.broadcast(starts), "__b").withColumn(name, F.col("__s") + F.col("__n")).drop("__b", "__s", "__n")
 
@@ -53,6 +61,25 @@ def halving_level(idx: Column, n: int) -> Column:
     return out.otherwise(len(steps))
 
 
+def ordered(df: DataFrame, idx: str, n: int, order: int) -> DataFrame:
+    """df sorted as acquired under the order parameter: 0 as it is, above 0 so many interleaved subsets, below 0 by halving."""
+    if order > 0:
+        return df.orderBy(*subset_key(F.col(idx), order))
+    return df.orderBy(idx) if order == 0 else df.orderBy(halving_level(F.col(idx), n), idx)
+
+
+def place_in(idx: Column, n: int, order: int) -> Column:
+    """The sort key of that order as one number: subset (or level) * n + idx."""
+    if order > 0:
+        return F.pmod(idx, F.lit(order)) * n + idx
+    return idx if order == 0 else halving_level(idx, n) * F.lit(n) + idx
+
+
+def gathered(rows: DataFrame, permutation: DataFrame, idx: str = "idx") -> DataFrame:
+    """rows in the order of an index vector (place, idx), which may name a row twice or not at all; an equi-join."""
+    return permutation.join(rows, idx)
+
+
 def block_of(idx: Column, n: int, blocks: int) -> Column:
     """The block of a row when n rows go to blocks of sizes at most one apart, larger ones first."""
     base, rest = divmod(n, blocks)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import payload
 from lumenfold.functions import scalars as sc
+from lumenfold.plans import quality_sql
 from lumenfold.operators import art, count_window, image_quality, normalise, raytrace, reduction, reorder, stream_checks
+from lumenfold.plans.cut import cut
 from lumenfold.sources import scans
 from lumenfold.sources import tables as t
 from lumenfold.sources.tables import SIDE, with_views
@@ -182,6 +184,64 @@ def circ_mask(spark, d):
     return t.rays(spark, d).filter(sc.in_circle(F.col("col"), F.col("slice"), SIDE)).select("proj", "slice", "col", "val")
 
 
+@query(with_views("m", f"SELECT seq, CASE WHEN NOT isnan(x) AND NOT isinf(x) THEN round(CASE WHEN x < 0 THEN 0 ELSE x END, 6) + 0.0::DOUBLE END AS positive, CASE WHEN NOT isinf(x) THEN round(CASE WHEN isnan(x) THEN 0 ELSE x END, 6) + 0.0::DOUBLE END AS number FROM ({_ODD})"))
+def clean_parts(spark, d):
+    """Negatives, and NaNs, alone."""
+    x = F.col("x")
+    finite = ~F.isnan(x) & (F.abs(x) != sc.INF)
+    positive, number = F.when(finite, sc.remove_negatives(x)), F.when(F.isnan(x) | finite, sc.remove_nans(x))
+    return rounded(_odd_values(spark, d).select("seq", positive.alias("positive"), number.alias("number")), "positive", "number")
+
+
+@query(with_views("f", f"SELECT proj, CASE WHEN c > 0 THEN c ELSE 5 END::DOUBLE AS own, 3::DOUBLE AS given FROM (SELECT proj, {_CENTER} AS c FROM f)"))
+def center_override(spark, d):
+    c = F.when(F.col("proj") % 3 == 0, 0.0).when(F.col("proj") % 3 == 1, F.col("proj") / 10.0)
+    shown = lambda given: sc.center_or(sc.center_override(c, given), F.lit(SIDE), "reconstruct")
+    return t.frames(spark, d).select("proj", shown(0.9).alias("own"), shown(3.7).alias("given"))
+
+
+@query(with_views("f", "SELECT proj, (k - 1)::BIGINT AS pix, px[((k - 1) % 2) * 32 + ((k - 1) // 2 % 8) * 4 + (k - 1) // 16 + 1] AS ends, px[(k - 1) // 4 % 2 * 32 + (k - 1) // 8 * 4 + (k - 1) % 4 + 1] AS front FROM (SELECT *, unnest(range(1, 65)) AS k FROM f)"))
+def axis_swap(spark, d):
+    """Frames as volumes of 2 x 8 x 4, the outer axes swapped and the first two."""
+    swapped = F.arrays_zip(sc.swapped_axes(F.col("px"), (2, 8, 4), 0, 2).alias("ends"), sc.swapped_axes(F.col("px"), (2, 8, 4), 0, 1).alias("front"))
+    return t.frames(spark, d).select("proj", F.posexplode(swapped).alias("pix", "v")).select("proj", F.col("pix").cast("long"), "v.ends", "v.front")
+
+
+@query(with_views("f", "SELECT proj, y * 4 + x AS pix, round(avg(v), 6) AS val FROM (SELECT proj, (k - 1) // 16 AS y, (k - 1) % 8 // 2 AS x, px[k] AS v FROM (SELECT *, unnest(range(1, 65)) AS k FROM f)) GROUP BY 1, 2"))
+def downsample_half(spark, d):
+    return rounded(t.frames(spark, d).select("proj", F.posexplode(sc.halved(F.col("px"), SIDE)).alias("pix", "val")).withColumn("pix", F.col("pix").cast("long")), "val")
+
+
+@query(with_views("m", "SELECT chan, round(coalesce(CASE WHEN NOT (nf = 1 AND mf = 0) THEN af END, 100), 4) AS flat, round(coalesce(CASE WHEN NOT (nd = 1 AND md = 0) THEN ad END, 0.5), 4) AS dark FROM (SELECT chan, count(val) FILTER (itype IN (2, 4)) AS nf, max(val) FILTER (itype IN (2, 4)) AS mf, avg(val) FILTER (itype IN (2, 4)) AS af, count(val) FILTER (itype IN (3, 5)) AS nd, max(val) FILTER (itype IN (3, 5)) AS md, avg(val) FILTER (itype IN (3, 5)) AS ad FROM m GROUP BY chan)"))
+def field_fallback(spark, d):
+    return rounded(scans.flat_and_dark(t.messages(spark, d), 100.0, 0.5), "flat", "dark", digits=4)
+
+
+@query("SELECT vec_id AS proj, round((radians(vec_id * 0.3::DOUBLE)::FLOAT * 180.0::DOUBLE / pi())::FLOAT, 2) AS degrees FROM embeddings")
+def theta_degrees(spark, d):
+    theta = F.radians(F.col("proj") * F.lit(0.3))
+    return t.frames(spark, d).select("proj", F.round(scans.simulation_angle(theta), 2).alias("degrees"))
+
+
+@query(with_views("f", "SELECT proj, NULL::DOUBLE AS missing, len(px) AS there FROM f"))
+def missing_dataset(spark, d):
+    own = t.read(spark, d, "embeddings").withColumnRenamed("vec_id", "proj")
+    return own.select("proj", scans.dataset_or_null(own, "theta", "double").alias("missing"), F.size(scans.dataset_or_null(own, "embedding", "array<double>")).cast("long").alias("there"))
+
+
+@query(with_views("f", "SELECT proj, (k - 1) // 8 AS y, (k - 1) % 8 AS x, px[k] AS val FROM (SELECT *, unnest(range(1, 65)) AS k FROM f)"))
+def squeeze_reshape(spark, d):
+    """A message's (1, y, x) image without its first axis, pixel by pixel."""
+    return t.frames(spark, d).select("proj", F.posexplode("px").alias("k", "val")).select("proj", F.floor(F.col("k") / SIDE).alias("y"), (F.col("k") % SIDE).cast("long").alias("x"), "val")
+
+
+@query(with_views("f", "SELECT proj, c, px[c + 1] AS val FROM f, range(8) s(c)"))
+def extract_sinogram(spark, d):
+    """Row 0 of every frame."""
+    own = scans.extract_sinogram(t.frames(spark, d), SIDE)
+    return own.select("proj", F.posexplode("px").alias("c", "val")).withColumn("c", F.col("c").cast("long"))
+
+
 # ---- scans, orders, partitions
 
 
@@ -252,6 +312,22 @@ def block_starts(spark, d):
     return placed.join(blocks, placed.idx == blocks.start).select("block", "start", "size", "s_name")
 
 
+@query(f"SELECT o_orderkey, idx, row_number() OVER (ORDER BY idx) - 1 AS file, row_number() OVER (ORDER BY idx % 5, idx) - 1 AS subsets FROM {_IDX}")
+def order_parameter(spark, d):
+    """Places under the order parameter 0 and 5, as ranks of one sort key."""
+    own, n = _orders(spark, d)
+    places = reorder.dense_index(own.withColumn("__k", reorder.place_in(F.col("idx"), n, 5)), "__k", "subsets")
+    return places.select("o_orderkey", "idx", reorder.place_in(F.col("idx"), n, 0).alias("file"), "subsets")
+
+
+@query(f"WITH o AS {_IDX} SELECT q.idx AS place, r.o_orderkey FROM o q JOIN o r ON r.idx = (q.idx * 7 + 3) % q.n")
+def gather_permuted(spark, d):
+    """Rows gathered by an index vector."""
+    own, n = _orders(spark, d)
+    vector = own.select(F.col("idx").alias("place"), ((F.col("idx") * 7 + 3) % n).alias("idx"))
+    return reorder.gathered(own, vector).select("place", "o_orderkey")
+
+
 @query("SELECT iteration, vec_id AS proj, label FROM embeddings, range(3) s(iteration)")
 def scan_repeat(spark, d):
     own = t.read(spark, d, "embeddings").select(F.col("vec_id").alias("proj"), "label")
@@ -262,17 +338,19 @@ def scan_repeat(spark, d):
 
 _FIELDS = """, g AS (SELECT *, sum((itype = 4)::INT) OVER w AS wgrp, sum((itype = 5)::INT) OVER w AS dgrp FROM m WINDOW w AS (PARTITION BY chan ORDER BY arrival ROWS UNBOUNDED PRECEDING)),
 h AS (SELECT *, avg(CASE WHEN itype IN (2, 4) THEN val END) OVER (PARTITION BY chan, wgrp ORDER BY arrival ROWS UNBOUNDED PRECEDING) AS flat, avg(CASE WHEN itype IN (3, 5) THEN val END) OVER (PARTITION BY chan, dgrp ORDER BY arrival ROWS UNBOUNDED PRECEDING) AS dark FROM g),
-o AS (SELECT chan, seq, flat, dark, CASE WHEN flat IS NULL OR dark IS NULL THEN val ELSE (val - dark) / greatest(flat - dark, 1e-2::DOUBLE) END AS x FROM h WHERE itype = 1) """
+o AS (SELECT chan, seq, flat, dark, CASE WHEN flat IS NULL OR dark IS NULL THEN val ELSE (val - dark) / greatest(flat - dark, 1e-6::DOUBLE) END AS x FROM h WHERE itype = 1) """
 
 
-@query(with_views("m", "").rstrip() + _FIELDS + "SELECT chan, seq, round(flat, 4) AS flat, round(dark, 4) AS dark, round(x, 4) AS x FROM o")
+@query(with_views("m", "").rstrip() + _FIELDS + "SELECT chan, seq, round(flat, 4) AS flat, round(dark, 4) AS dark, CASE WHEN abs(x) < 1000 THEN round(x, 4) + 0.0::DOUBLE END AS x, CASE WHEN abs(x) >= 1000 THEN round(log10(abs(x)), 4) END AS size FROM o")
 def asof_normalise(spark, d):
-    return rounded(normalise.normalised(t.messages(spark, d), 1e-2).select("chan", "seq", "flat", "dark", F.col("out").alias("x")), "flat", "dark", "x", digits=4)
+    own, x = normalise.normalised(t.messages(spark, d)), F.col("out")  # values over a tiny flat - dark are told by their size
+    shown = F.when(F.abs(x) < 1000, x).alias("x"), F.when(F.abs(x) >= 1000, F.log10(F.abs(x))).alias("size")
+    return rounded(own.select("chan", "seq", "flat", "dark", *shown), "flat", "dark", "x", "size", digits=4)
 
 
 @query(with_views("m", "").rstrip() + _FIELDS + "SELECT chan, seq, round(CASE WHEN y < 0 THEN 0 ELSE y END, 4) AS x FROM (SELECT chan, seq, CASE WHEN x > 0 THEN -ln(x) ELSE 0 END AS y FROM o)")
 def preprocess_chain(spark, d):
-    return rounded(normalise.preprocessed(t.messages(spark, d), 1e-2).select("chan", "seq", F.col("out").alias("x")), "x", digits=4)
+    return rounded(normalise.preprocessed(t.messages(spark, d)).select("chan", "seq", F.col("out").alias("x")), "x", digits=4)
 
 
 # ---- windows
@@ -295,31 +373,64 @@ def count_window_center(spark, d):
     return count_window.members(_windows(spark, d), own).groupBy("pass").agg(F.count(F.lit(1)).alias("n"), F.round(F.max_by("center", "proj"), 6).alias("center"))
 
 
-@query()
+def _state_machine(counts: str, length: int, step: int) -> str:
+    """Passes of a count window over streams of n members (counts: key, n), one after the other."""
+    cut_, pulled = f"greatest(lo, hi - {length})", f"least({step}, n - hi)"
+    full = f"n = hi OR hi - {cut_} >= {length}"
+    return f"""SELECT key, n, -1::BIGINT AS pass, 0::BIGINT AS lo, 0::BIGINT AS hi FROM ({counts})
+        UNION ALL SELECT key, n, pass + 1, CASE WHEN {full} THEN least(hi, {cut_} + {step}) ELSE {cut_} END, hi + {pulled}
+        FROM s WHERE NOT (n = hi AND {cut_} + {step} >= hi)"""
+
+
+@query(f"WITH RECURSIVE s AS ({_state_machine('SELECT 0 AS key, count(*) AS n FROM embeddings', 32, 12)}) SELECT pass, hi - lo AS n, lo, hi - 1 AS hi FROM s WHERE pass >= 0 AND lo < hi")
 def count_window_general(spark, d):
-    n = t.n_frames(spark, d)
-    rows = ",".join(f"({p}L,{lo}L,{hi}L)" for p, (lo, hi) in enumerate(count_window.window_passes(n, 32, 12)))
-    windows = spark.sql(f"SELECT * FROM VALUES {rows} AS w(pass, lo, hi)")
-    return count_window.members(windows, t.read(spark, d, "embeddings").select(F.col("vec_id").alias("proj"), "label")).groupBy("pass").agg(F.count(F.lit(1)).alias("n"), F.min("proj").alias("lo"), F.max("proj").alias("hi"))
+    """A step that doesn't divide the length."""
+    windows = count_window.passes(spark, t.n_frames(spark, d), 32, 12)
+    held = count_window.members(windows, t.read(spark, d, "embeddings").select(F.col("vec_id").alias("proj"), "label"))
+    return held.groupBy("pass").agg(F.count(F.lit(1)).alias("n"), F.min("proj").alias("lo"), F.max("proj").alias("hi"))
 
 
-@query(
-    "SELECT user_id AS chan, rn // 2 - 1 AS pass, least(rn, 4)::INT AS n, first_seq, last_seq, round(total, 6) AS total FROM (SELECT user_id, event_id AS last_seq, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn, first_value(event_id) OVER w AS first_seq, sum(value) OVER w AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) WHERE rn % 2 = 0"
-)
+def _stream_sql(length: int, step: int) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT user_id AS chan, event_id AS seq, value AS val, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS k FROM events),
+        s AS ({_state_machine("SELECT chan AS key, count(*) AS n FROM e GROUP BY chan", length, step)})
+        SELECT chan, pass, count(*)::INT AS n, arg_min(seq, k) AS first_seq, arg_max(seq, k) AS last_seq, round(sum(val), 6) AS total
+        FROM s JOIN e ON e.chan = s.key AND k >= lo AND k < hi WHERE pass >= 0 GROUP BY 1, 2"""
+
+
+@query(_stream_sql(4, 2))
 def stream_window(spark, d):
-    return rounded(stream.replayed(stream.count_windows(stream.message_stream(spark, f"{d}/events.parquet"), 4, 2)), "total")
+    """Feeding passes and, from the end marker on, the drain."""
+    return rounded(stream.replayed(stream.count_windows(stream.message_stream(spark, d), 4, 2)), "total")
+
+
+@query(_stream_sql(5, 3))
+def stream_window_general(spark, d):
+    return rounded(stream.replayed(stream.count_windows(stream.message_stream(spark, d), 5, 3)), "total")
 
 
 # ---- ray tracing and reconstruction
 
-_SYSTEM = """, ray AS (SELECT DISTINCT proj, theta, col FROM r), l AS (SELECT proj, theta, col, -16 * cos(theta) - y * sin(theta) AS sx, -16 * sin(theta) + y * cos(theta) AS sy, sin(theta) / cos(theta) AS slope FROM (SELECT *, -3.5::DOUBLE + 1e-6::DOUBLE + col AS y FROM ray)),
+def _system_sql(shift: str = "1e-6::DOUBLE", source: str = "SELECT DISTINCT proj, theta, col FROM r", margin: float | None = None, by_column: bool = False) -> str:
+    """CTEs ray, l, g, pt, nx, sys (proj, theta, col, seg, pix, leng) and nrm after one named r."""
+    inside = "{0} > -4 AND {0} < 4" if margin is None else f"{{0}} >= {margin - 4}::DOUBLE AND {{0}} <= {4 - margin}::DOUBLE"
+    x, y = "(g - sy) / slope + sx", "slope * (g - sx) + sy"
+    px, py = "floor((x + x1) / 2 + 4)", "floor((y + y1) / 2 + 4)"
+    pix = f"{py} + 8 * {px}" if by_column else f"{px} + 8 * {py}"
+    return f""", ray AS ({source}),
+l AS (SELECT proj, theta, col, -16 * cos(theta) - y * sin(theta) AS sx, -16 * sin(theta) + y * cos(theta) AS sy, sin(theta) / cos(theta) AS slope
+  FROM (SELECT *, -3.5::DOUBLE + {shift} + col AS y FROM ray)),
 g AS (SELECT (k - 4)::DOUBLE AS g FROM range(9) s(k)),
-pt AS (SELECT proj, theta, col, (g - sy) / slope + sx AS x, 1 AS kind, g AS y FROM l, g WHERE slope <> 0 AND (g - sy) / slope + sx > -4 AND (g - sy) / slope + sx < 4
-  UNION ALL SELECT proj, theta, col, g, 0, slope * (g - sx) + sy FROM l, g WHERE slope * (g - sx) + sy > -4 AND slope * (g - sx) + sy < 4),
-nx AS (SELECT proj, theta, col, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w - 1 AS seg FROM pt WINDOW w AS (PARTITION BY proj, col ORDER BY x, kind, y)),
-sys AS (SELECT proj, theta, col, seg::INT AS seg, (floor((x + x1) / 2 + 4) + 8 * floor((y + y1) / 2 + 4))::INT AS pix, sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y)) AS leng FROM nx WHERE x1 IS NOT NULL AND floor((x + x1) / 2 + 4) + 8 * floor((y + y1) / 2 + 4) < 64),
+pt AS (SELECT proj, theta, col, {x} AS x, 1 AS kind, g AS y FROM l, g WHERE slope <> 0 AND {inside.format(x)}
+  UNION ALL SELECT proj, theta, col, g, 0, {y} FROM l, g WHERE {inside.format(y)}),
+nx AS (SELECT proj, theta, col, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w - 1 AS seg
+  FROM pt WINDOW w AS (PARTITION BY proj, col ORDER BY x, kind, y)),
+sys AS (SELECT proj, theta, col, seg::INT AS seg, ({pix})::INT AS pix, sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y)) AS leng
+  FROM nx WHERE x1 IS NOT NULL AND {pix} < 64),
 nrm AS (SELECT proj, col, sum(leng * leng) AS nrm FROM sys GROUP BY 1, 2) """
-_R = with_views("r", "").rstrip() + _SYSTEM
+
+
+_R0 = with_views("r", "").rstrip()
+_R = _R0 + _system_sql()
 
 
 def _system(spark, d):
@@ -341,23 +452,66 @@ def pixel_coverage(spark, d):
     return rounded(raytrace.coverage(_system(spark, d)), "den", digits=4)
 
 
+def _volume(system: DataFrame) -> DataFrame:
+    """Projections in groups of SIDE, each along the rays of a volume of its own."""
+    return system.withColumn("vol", F.floor(F.col("proj") / SIDE).cast("long"))
+
+
 def _image(spark, d):
-    """The first frame as the image of slice 0, and so on for eight slices."""
-    return t.frames(spark, d).filter(F.col("proj") < SIDE).select(F.col("proj").cast("int").alias("slice"), F.posexplode("px").alias("pix", "val"))
+    """(vol, slice, pix, val): SIDE frames after one another are the slices of one volume."""
+    frames = t.frames(spark, d).select(F.col("proj"), F.posexplode("px").alias("pix", "val"))
+    return frames.select(F.floor(F.col("proj") / SIDE).cast("long").alias("vol"), (F.col("proj") % SIDE).cast("int").alias("slice"), "pix", "val")
 
 
-_IMG = ", img AS (SELECT proj::INT AS slice, (k - 1)::INT AS pix, px[k] AS val FROM (SELECT vec_id AS proj, embedding::DOUBLE[] AS px, unnest(range(1, 65)) AS k FROM embeddings WHERE vec_id < 8)) "
+_IMG = f""", img AS (SELECT proj // 8 AS vol, (proj % 8)::INT AS slice, (k - 1)::INT AS pix, px[k] AS val
+FROM (SELECT vec_id AS proj, embedding::DOUBLE[] AS px, unnest(range(1, 65)) AS k FROM embeddings)) """
+_SEEN = "SELECT proj, slice, col, round(sum({} * leng), 6) AS sim FROM sys JOIN img ON img.vol = sys.proj // 8 AND img.pix = sys.pix GROUP BY 1, 2, 3"
 
 
-@query(_R + _IMG + "SELECT proj, slice, col, round(sum(val * leng), 6) AS sim FROM sys JOIN img USING (pix) GROUP BY 1, 2, 3")
+@query(_R + _IMG + _SEEN.format("val"))
 def forward_project(spark, d):
-    return rounded(raytrace.forward(_system(spark, d), _image(spark, d)), "sim")
+    return rounded(raytrace.forward(_volume(_system(spark, d)), _image(spark, d), "vol").drop("vol"), "sim")
 
 
-@query(_R + _IMG + "SELECT proj, slice, col, round(sum((val * cos(theta) + val * val * sin(theta)) * leng), 6) AS sim FROM sys JOIN img USING (pix) GROUP BY 1, 2, 3")
+@query(_R + _IMG + _SEEN.format("(val * cos(theta) + val * val * sin(theta))"))
 def vector_project(spark, d):
-    image = _image(spark, d).select("slice", "pix", F.col("val").alias("mx"), (F.col("val") * F.col("val")).alias("my"))
-    return rounded(art.vector_forward(_system(spark, d), image), "sim")
+    image = _image(spark, d).select("vol", "slice", "pix", F.col("val").alias("mx"), (F.col("val") * F.col("val")).alias("my"))
+    return rounded(art.vector_forward(_volume(_system(spark, d)), image, "vol").drop("vol"), "sim")
+
+
+_VOL3 = """, img AS (SELECT vol, {place}::INT AS slice, ({column} + 8 * {row})::INT AS pix, {first} AS mx, {second} AS my FROM (SELECT proj // 8 AS vol, proj % 8 AS z,
+(k - 1) // 8 AS y, (k - 1) % 8 AS x, px[k] AS mx, px[k] * px[k] AS my, 1 - px[k] AS mz
+FROM (SELECT vec_id AS proj, embedding::DOUBLE[] AS px, unnest(range(1, 65)) AS k FROM embeddings))) """
+_ART_SQL = _R0 + _system_sql("0.0::DOUBLE", margin=0.01, by_column=True)
+_AXES = {1: dict(place="x", row="y", column="z", first="my", second="mz"), 2: dict(place="y", row="x", column="z", first="mx", second="mz")}
+
+
+def _three(spark, d, axis: int):
+    """The three-component model along the sequential solver's rays, across one axis."""
+    px = F.col("val")
+    cells = _image(spark, d).select("vol", F.col("slice").alias("z"), F.floor(F.col("pix") / SIDE).cast("int").alias("y"), (F.col("pix") % SIDE).alias("x"), px.alias("mx"), (px * px).alias("my"), (1 - px).alias("mz"))
+    system = art.art_segments(t.rays(spark, d).select("proj", "theta", "col").distinct(), SIDE)
+    return rounded(art.vector_forward(_volume(system), art.volume_as_slices(cells, SIDE, axis), "vol").drop("vol"), "sim")
+
+
+_SEEN3 = _SEEN.format("(mx * cos(theta) + my * sin(theta))")
+
+
+@query(_ART_SQL + _VOL3.format(**_AXES[1]) + _SEEN3)
+def vector3_axis1(spark, d):
+    return _three(spark, d, 1)
+
+
+@query(_ART_SQL + _VOL3.format(**_AXES[2]) + _SEEN3)
+def vector3_axis2(spark, d):
+    return _three(spark, d, 2)
+
+
+@query(_R0 + _system_sql("0.3::DOUBLE + 0.5 - 0.5", margin=0.01, by_column=True) + "SELECT proj, col, seg, pix, round(leng, 6) AS leng FROM sys")
+def art_ray_segments(spark, d):
+    """The sequential solver's rays about a center of 3.7: shift -0.2 less its floor is 0.8, so + 0.5; margin 0.01."""
+    system = art.art_segments(t.rays(spark, d).select("proj", "theta", "col").distinct(), SIDE, 3.7)
+    return rounded(system.select("proj", "col", "seg", "pix", "leng"), "leng")
 
 
 _PASS1 = ", u1 AS (SELECT r.proj, slice, r.col, val / nrm AS upd FROM r JOIN nrm ON r.proj = nrm.proj AND r.col = nrm.col), i1 AS (SELECT slice, pix, coalesce(sum(leng * upd) / nullif(sum(leng), 0), 0) AS val FROM sys JOIN u1 ON sys.proj = u1.proj AND sys.col = u1.col GROUP BY 1, 2) "
@@ -373,22 +527,56 @@ def sirt_two_iter(spark, d):
     return rounded(raytrace.sirt(t.rays(spark, d), SIDE, 2), "val")
 
 
+_CENTERED = "SELECT DISTINCT proj, theta, col, CASE WHEN proj % 4 = 0 THEN 0 ELSE 3.5::DOUBLE + (proj % 4) * 0.25 END AS c FROM r"
+_MOVED = "(4 - CASE WHEN c > 0 THEN c ELSE 5 END + 1e-6::DOUBLE)"
+
+
+def _centered(spark, d):
+    """Rays with a center each; 0 stands for unknown."""
+    return t.rays(spark, d).withColumn("center", F.when(F.col("proj") % 4 == 0, 0.0).otherwise(3.5 + (F.col("proj") % 4) * 0.25))
+
+
+@query(_R0 + _system_sql(_MOVED, _CENTERED) + _PASS1 + "SELECT slice, pix, round(val, 6) AS val FROM i1")
+def sirt_own_centers(spark, d):
+    return rounded(raytrace.sirt(_centered(spark, d), SIDE), "val")
+
+
+@query(_R0 + _system_sql("(4 - 3 + 1e-6::DOUBLE)") + _PASS1 + "SELECT slice, pix, round(val, 6) AS val FROM i1")
+def sirt_given_center(spark, d):
+    """A center given for the run replaces all others; its fraction is cut off."""
+    return rounded(raytrace.sirt(_centered(spark, d), SIDE, center=3.8), "val")
+
+
 @query()
 def sirt_windowed(spark, d):
-    n = t.n_frames(spark, d)
-    step = -(-n // 4)
-    return rounded(raytrace.sirt_windowed(t.rays(spark, d), SIDE, count_window.window_passes(n, 2 * step, step), emit_every=2), "val")
+    """All frames through windows of 32 that slide by 4, every eighth image published."""
+    return rounded(raytrace.sirt_windowed(t.rays(spark, d), SIDE, 32, 4, emit_every=8), "val")
 
 
 @query()
 def art_slices(spark, d):
-    return rounded(art.art(t.rays(spark, d), _system(spark, d), SIDE), "val")
+    return rounded(art.art(t.rays(spark, d), SIDE), "val")
 
 
 @query()
 def art_restart(spark, d):
-    first = art.art(t.rays(spark, d), _system(spark, d), SIDE)
-    return rounded(art.art(t.rays(spark, d), _system(spark, d), SIDE, 1, first), "val")
+    """Once more over all rays from the image of the first pass, as from a checkpoint."""
+    first = cut(art.art(t.rays(spark, d), SIDE))
+    return rounded(art.art(t.rays(spark, d), SIDE, 1, first), "val")
+
+
+@query(with_views("r", "SELECT proj, slice, col, val FROM r WHERE slice >= 3 AND slice < 3 + 4"))
+def slice_block(spark, d):
+    return scans.row_range(t.rays(spark, d), "slice", 3, 4, SIDE).select("proj", "slice", "col", "val")
+
+
+@query(with_views("f", "SELECT proj // 8 AS pass, 0 AS seq, 0::FLOAT AS center, 0::TINYINT AS itype, count(*)::INT AS z, 8 AS y, 8 AS x, (count(*) * 256)::INT AS n_bytes, round(sum(list_sum(px)), 3) AS total FROM f GROUP BY proj // 8"))
+def volume_message(spark, d):
+    """Volumes as the messages that publish them."""
+    image = _image(spark, d).withColumnRenamed("vol", "pass")
+    own = scans.volume_messages(image, SIDE).withColumn("px", payload.decoded(F.col("tdata"), "float32").cast("array<double>"))
+    total = F.aggregate("px", F.lit(0.0), lambda s, v: s + v)
+    return own.select("pass", "seq", "center", "itype", "dims.z", "dims.y", "dims.x", F.octet_length("tdata").alias("n_bytes"), F.round(total, 3).alias("total"))
 
 
 # ---- image quality, reductions, payloads
@@ -420,19 +608,19 @@ def uqi(spark, d):
 _KERNEL = ",".join(f"({a},{b},{x!r}::DOUBLE)" for a, b, x in image_quality.blur_table(SIDE, image_quality.SIGMA))
 
 
-@query(with_views("p", f", k(src, dst, w) AS (VALUES {_KERNEL}), px AS (SELECT pair, (k - 1) % 8 AS x, (k - 1) // 8 AS y, a[k] AS a, b[k] AS b FROM (SELECT *, unnest(range(1, 65)) AS k FROM p)), m AS (SELECT pair, h.dst AS x, v.dst AS y, sum(a * h.w * v.w) AS a, sum(b * h.w * v.w) AS b, sum(a * a * h.w * v.w) AS aa, sum(b * b * h.w * v.w) AS bb, sum(a * b * h.w * v.w) AS ab FROM px JOIN k h ON h.src = px.x JOIN k v ON v.src = px.y GROUP BY 1, 2, 3), q AS (SELECT pair, a, b, ab - a * b AS cov, greatest(aa - a * a, 0) AS va, greatest(bb - b * b, 0) AS vb FROM m), z AS (SELECT *, sqrt(va) * sqrt(vb) AS sd FROM q) SELECT pair, round(avg(least(greatest((2 * a * b + 1e-4::DOUBLE) / (a * a + b * b + 1e-4::DOUBLE) * ((2 * sd + 9e-4::DOUBLE) / (va + vb + 9e-4::DOUBLE)) * ((cov + 4.5e-4::DOUBLE) / (sd + 4.5e-4::DOUBLE)), -1), 1)), 5) AS ssim FROM z GROUP BY pair").replace(") ,", "),"))
+@query(with_views("p", f", k(src, dst, w) AS (VALUES {_KERNEL}), px AS (SELECT pair, (k - 1) % 8 AS x, (k - 1) // 8 AS y, a[k] AS a, b[k] AS b FROM (SELECT *, unnest(range(1, 65)) AS k FROM p)), m AS (SELECT pair, h.dst AS x, v.dst AS y, sum(a * h.w * v.w) AS a, sum(b * h.w * v.w) AS b, sum(a * a * h.w * v.w) AS aa, sum(b * b * h.w * v.w) AS bb, sum(a * b * h.w * v.w) AS ab FROM px JOIN k h ON h.src = px.x JOIN k v ON v.src = px.y GROUP BY 1, 2, 3), q AS (SELECT pair, a, b, ab - a * b AS cov, greatest(aa - a * a, 0) AS va, greatest(bb - b * b, 0) AS vb FROM m), z AS (SELECT *, sqrt(va) * sqrt(vb) AS sd FROM q) SELECT pair, round(avg(least(greatest(pow((2 * a * b + 1e-4::DOUBLE) / (a * a + b * b + 1e-4::DOUBLE), 4) * pow(((2 * sd + 9e-4::DOUBLE) / (va + vb + 9e-4::DOUBLE)) * ((cov + 4.5e-4::DOUBLE) / (sd + 4.5e-4::DOUBLE)), 4), -1), 1)), 5) AS ssim FROM z GROUP BY pair").replace(") ,", "),"))
 def ssim(spark, d):
     return rounded(image_quality.ssim(t.pairs(spark, d), SIDE), "ssim", digits=5)
 
 
-@query()
+@query(quality_sql.msssim())
 def msssim(spark, d):
-    return rounded(image_quality.multiscale(t.pairs(spark, d), SIDE, "msssim"), "value")
+    return rounded(image_quality.quality(t.pairs(spark, d), SIDE, "MSSSIM", 2).select("pair", "value"), "value", digits=5)
 
 
-@query()
+@query(quality_sql.vifp())
 def vifp(spark, d):
-    return rounded(image_quality.multiscale(t.pairs(spark, d), SIDE, "vifp"), "value")
+    return rounded(image_quality.quality(t.pairs(spark, d), SIDE, "VIFp", 2).select("pair", "level", "scale", "value"), "value")
 
 
 @query("SELECT v.vec_id AS pair, round(avg((x.a - x.b) * (x.a - x.b)), 8) AS mse FROM embeddings v, LATERAL (SELECT unnest(v.embedding::DOUBLE[]) AS a, unnest((SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id DESC LIMIT 1)) AS b) x GROUP BY 1")
@@ -450,17 +638,36 @@ def halo_exchange(spark, d):
 
 @query("SELECT l_returnflag, round(sum(l_quantity), 2) AS total, count(*) AS n FROM lineitem GROUP BY 1")
 def tree_reduce_sum(spark, d):
-    return rounded(reduction.tree_sum(t.read(spark, d, "lineitem"), "l_returnflag", "l_quantity", 64), "total", digits=2)
+    return rounded(reduction.total(t.read(spark, d, "lineitem"), "l_returnflag", "l_quantity"), "total", digits=2)
+
+
+_GIVEN = """CASE WHEN vec_id % 3 = 0 THEN 0.4::FLOAT END AS rotation, CASE WHEN vec_id % 5 = 0 THEN 1024.5::FLOAT END AS center,
+    CASE WHEN vec_id % 7 = 0 THEN 0::TINYINT END AS itype, CASE WHEN vec_id % 2 = 0 THEN (vec_id + 3456)::INT END AS unique_id"""
 
 
-@query("SELECT vec_id::INT AS seq, vec_id::INT AS unique_id, (vec_id * 0.25)::FLOAT AS rotation, 4.0::FLOAT AS center, 256 AS n_bytes, round(list_sum(embedding::DOUBLE[]), 6) AS total, 0::BIGINT AS n_changed FROM embeddings")
+@query(
+    f"""SELECT vec_id::INT AS seq, u AS unique_id, coalesce(rotation, (u * 0.25)::FLOAT) AS rotation, coalesce(center, 4.0::FLOAT) AS center, coalesce(itype, 1::TINYINT) AS itype,
+    1 AS z, 8 AS y, 8 AS x, 256 AS n_bytes, round(list_sum(px), 6) AS total, 0::BIGINT AS n_changed
+    FROM (SELECT *, coalesce(unique_id, vec_id::INT) AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS px, {_GIVEN} FROM embeddings))"""
+)
 def message_roundtrip(spark, d):
-    frames = t.frames(spark, d)
-    back = payload.as_messages(frames).withColumn("px", payload.decoded(F.col("tdata"), "float32").cast("array<double>"))
+    """Messages with rotation, center, id and kind given or missing, there and back."""
+    k = F.col("proj")
+    given = {"rotation": F.when(k % 3 == 0, 0.4), "center": F.when(k % 5 == 0, 1024.5), "itype": F.when(k % 7 == 0, 0), "unique_id": F.when(k % 2 == 0, k + 3456)}
+    frames = t.frames(spark, d).withColumn("dims", F.struct(F.lit(SIDE).alias("y"), F.lit(SIDE).alias("x")))
+    back = payload.received(payload.as_messages(frames.withColumns(given))).withColumn("px", F.col("px").cast("array<double>"))
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    whole = back.join(frames.select(F.col("proj").cast("int").alias("seq"), F.col("px").alias("sent")), "seq")
+    whole = back.join(frames.select(k.cast("int").alias("seq"), F.col("px").alias("sent")), "seq")
     changed = F.size(F.filter(F.zip_with("px", "sent", lambda a, b: a != b), lambda x: x)).cast("long")
-    return whole.select("seq", "unique_id", "rotation", "center", F.octet_length("tdata").alias("n_bytes"), F.round(total(F.col("px")), 6).alias("total"), changed.alias("n_changed"))
+    sizes = [F.col(f"dims.{c}") for c in "zyx"]
+    return whole.select("seq", "unique_id", "rotation", "center", "itype", *sizes, F.octet_length("tdata").alias("n_bytes"), F.round(total(F.col("px")), 6).alias("total"), changed.alias("n_changed"))
+
+
+@query("SELECT vec_id::INT AS seq, 1::TINYINT AS itype, 1 AS z, 8 AS y, 8 AS x FROM embeddings")
+def old_messages(spark, d):
+    """Messages of the older schema, without a kind and with two dimensions, as today's."""
+    old = t.frames(spark, d).select(F.col("proj").cast("int").alias("seq"), F.struct(F.lit(SIDE).alias("y"), F.lit(SIDE).alias("x")).alias("dims"))
+    return payload.from_old_schema(old).select("seq", "itype", "dims.z", "dims.y", "dims.x")
 
 
 @query(with_views("f", "SELECT proj, list_sum(q)::BIGINT AS total8, list_sum(list_transform(range(1, 33), lambda k: q[2 * k - 1] + 256 * q[2 * k]))::BIGINT AS total16 FROM (SELECT proj, list_transform(px, lambda v: floor((v - list_min(px)) / (list_max(px) - list_min(px)) * 1.0::DOUBLE * 255)::BIGINT) AS q FROM f)"))

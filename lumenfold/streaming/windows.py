@@ -2,45 +2,85 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lumenfold.operators.count_window import CountWindow
+from lumenfold.plans.cut import shared_dir
+
 OUT = "chan bigint, pass bigint, n int, first_seq bigint, last_seq bigint, total double"
-STATE = "seen bigint, seqs array<bigint>, vals array<double>"
+STATE = "number bigint, length int, seqs array<bigint>, vals array<double>, new_seqs array<bigint>, new_vals array<double>"
 
 
 def count_windows(stream: DataFrame, length: int, step: int) -> DataFrame:
-    """Of (chan, arrival, seq, val): after every step messages of a channel, the last (up to length). Step divides length; state is one window a channel."""
+    """Of (chan, arrival, seq, val, fin): the passes of a count window a channel, as count_window.CountWindow gives them, for any step.
+
+    A message with fin = true is its channel's last: the window then drains and the channel's state goes. A column
+    `length` in the stream changes a channel's window length from the next pass on (null: as it is). State is one
+    window and one step a channel; a channel's messages of one micro-batch are sorted by arrival in one task.
+    """
+    changing = "length" in stream.columns
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, seqs, vals = state.get if state.exists else (0, [], [])
-        seqs, vals, out = list(seqs), list(vals), []
-        for seq, val in pd.concat(list(batches)).sort_values("arrival")[["seq", "val"]].itertuples(index=False):
-            seqs, vals, seen = [*seqs, seq][-length:], [*vals, val][-length:], seen + 1
-            if seen % step == 0:
-                out.append((key[0], seen // step - 1, len(seqs), seqs[0], seqs[-1], float(sum(vals))))
-        state.update((seen, [int(x) for x in seqs], [float(x) for x in vals]))
-        yield pd.DataFrame(out, columns=["chan", "pass", "n", "first_seq", "last_seq", "total"])
+        own = CountWindow(length, step)
+        if state.exists:
+            own.number, own.length, seqs, vals, new_seqs, new_vals = state.get
+            own.held, own.new = list(zip(seqs, vals, strict=True)), list(zip(new_seqs, new_vals, strict=True))
+        rows, out = pd.concat(list(batches)).sort_values("arrival"), []
+        lengths = rows["length"].to_numpy(float, na_value=np.nan) if changing else np.full(len(rows), np.nan)
+        ended = False
+        for member, size, fin in zip(zip(rows["seq"].tolist(), rows["val"].tolist(), strict=True), lengths.tolist(), rows["fin"].tolist(), strict=True):
+            if size == size:
+                own.length = int(size)
+            out += own.feed(member)
+            ended = ended or bool(fin)
+        if ended:
+            out += own.close()
+            state.remove()
+        else:
+            held, new = ([list(x) for x in zip(*members, strict=True)] or [[], []] for members in (own.held, own.new))
+            state.update((own.number, own.length, *held, *new))
+        done = [(key[0], p, len(m), m[0][0], m[-1][0], float(sum(v for _, v in m))) for p, m in out]
+        yield pd.DataFrame(done, columns=["chan", "pass", "n", "first_seq", "last_seq", "total"])
 
     return stream.groupBy("chan").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def message_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The events table as a stream, file by file; a pattern, as Spark streams folders and patterns but no single file."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path.replace(".parquet", "*.parquet")).select(F.col("user_id").alias("chan"), F.col("ts").alias("arrival"), F.col("event_id").alias("seq"), F.col("value").alias("val"))
+def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of messages; fin marks the last of each channel, as its end-of-stream message would.
+
+    Spark streams folders, so the source is the tables' folder with a filter on names that only this table's match.
+    """
+    path = f"{sf_dir}/events.parquet"
+    table = spark.read.parquet(path)
+    last = table.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("end")).select(F.col("user_id").alias("__chan"), "end")
+    source = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
+    events = source.option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{sf_dir}/events.[p]arquet")
+    fin = (F.col("arrival") == F.col("end.ts")) & (F.col("seq") == F.col("end.event_id"))
+    own = events.select(F.col("user_id").alias("chan"), F.col("ts").alias("arrival"), F.col("event_id").alias("seq"), F.col("value").alias("val"))
+    return own.join(last, F.col("chan") == F.col("__chan"), "left").withColumn("fin", F.coalesce(fin, F.lit(False))).drop("__chan", "end")
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(where).isDirectory()
 
 
 def replayed(windows: DataFrame) -> DataFrame:
     """What a stream gives once all its input is there, by way of a Parquet sink in the shared folder."""
     spark = windows.sparkSession
-    top = f"{spark.conf.get('spark.checkpoint.dir', '') or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/stream-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = windows.writeStream.format("parquet").option("checkpointLocation", f"{top}/state").option("path", f"{top}/out").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(windows.schema).parquet(f"{top}/out")
+
+
+def emit_every(image: DataFrame, every: int) -> DataFrame:
+    """Of (pass, ...): every `every`-th pass from the first, as it is published or written."""
+    return image.filter(F.col("pass") % every == 0)
