@@ -1,41 +1,48 @@
-"""LM scoring: a small causal self-attention model over subword ids, trained and applied in numpy batches.
+"""LM scoring: a causal self-attention model over subword ids, trained and applied in numpy batches.
 
-Training covers every training document: each input partition trains its own copy from common starting weights over
-all its documents, and the copies are averaged, weighted by their tokens, through a tree of groups of FAN_IN. What the
-copies start from are subword counts of all training documents, which set the output's biases. A subword id is
-predicted by its class, of RADIX ** LEVELS, digit by digit, and its share of the class's count: probabilities sum to one
-at the cost of LEVELS * RADIX exponentials a token. Scoring slides windows of CONTEXT positions by STRIDE; each token is scored once, by the first window that holds it.
+The model: embeddings of the last CONTEXT ids, one masked attention layer and a hidden layer, both residual, and an
+output in two digits of RADIX (a class of ids), plus the id's share of its class. The digits' logits start from counts
+of the training documents: of the class before, and of the first digit. So the network learns what counts of neighbours
+don't tell; probabilities sum to one at the cost of 2 * RADIX exponentials a token.
 
-Texts are encoded once. Subword ids concatenate to the words, so later passes read only them.
+Training covers every window of every training document once, in ROUNDS rounds. Documents are dealt by a hash of their
+id and text over copies of about SLICE ids a round, in hash order; in each round every copy starts from the weights that
+the round before left, averaged over the copies by ids seen, in a tree of groups of FAN_IN. Nothing depends on how the
+input was partitioned; more documents make more copies.
 
-The base score needs exact counts of all words. Words with at least a HEAVY-th of all tokens (so at most HEAVY of
-them) are looked up in a broadcast array; only the others travel, as (row, word hash, count), to their counts and back as one sum a row.
+Scoring slides windows of CONTEXT positions by STRIDE; each id is scored once, by the first window that holds it, with
+at least CONTEXT - STRIDE ids before it.
+
+Texts are encoded once, and later passes read ids only. A word's ids start with one that begins with a space, so words
+are told apart by hashes of their ids, without Python objects. The base score needs exact counts of all words. Those with
+at least a HEAVY-th of all tokens (so at most HEAVY of them) are looked up in a broadcast array; only the others travel,
+as (row, word hash), to their counts and back as one sum a row.
 """
 
 from __future__ import annotations
 
 import base64
-import ctypes
 import functools
 import math
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import documents, stash
+from lumenfold.llm.common import discard, documents, stash
 
-RADIX, LEVELS, DIM, CONTEXT, STRIDE, BUCKETS = 24, 2, 12, 16, 14, 4096
-HEAVY, FAN_IN, LEAST, BATCH, RATE, SEED = 1_000_000, 16, 32, 512, 0.1, 5
-KEPT = 400_000  # words kept in a worker
+RADIX, DIM, HIDDEN, CONTEXT, STRIDE = 24, 16, 32, 32, 24
+CLASSES = RADIX * RADIX
+BUCKETS, OWN = 4096, 4032  # embedding rows, and those that one frequent id has for itself
+HEAVY, FAN_IN, LEAST, BATCH, RATE, SEED, SMOOTH = 1_000_000, 16, 16, 64, 0.1, 5, 20.0
+ROUNDS, SLICE = 4, 1_000_000  # averaged rounds of training; ids of a copy in a round
+KEPT = 400_000  # words kept in a worker between batches
 ROWS = 250  # documents that a worker unpacks at a time
-COUNTED = 200_000  # distinct words that a worker counts before it passes them on
+COUNTED = 2_000_000  # words that a worker counts before it passes them on
 END = 50_256  # the id after the vocabulary's; starts and ends a text
 
 
@@ -50,33 +57,41 @@ class Words:
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.subwords = [b""] * (END + 1)
-        for token, i in ranks.items():
-            self.subwords[i] = token
-        self.codec = tiktoken.Encoding("subwords", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        # one piece is a word with the space before it; words are cut from texts beforehand
+        self.codec = tiktoken.Encoding("subwords", pat_str=r" ?[^ ]+", mergeable_ranks=self.ranks, special_tokens={})
         self.known: dict[bytes, bytes] = {}
-
-    def ids(self, words: list[bytes]) -> bytes:
-        get = self.known.get
-        return b"".join([get(w) or self.encode(w) for w in words])
-
-    def encode(self, word: bytes) -> bytes:
-        """The ids of a word and the space before it, as one piece."""
-        if len(self.known) >= KEPT:
-            self.known.clear()
-        ids = self.codec._encode_single_piece(b" " + word)
-        out = array("H", ids).tobytes()
-        if len(word) <= 32:
-            self.known[word] = out
-        return out
-
-    def words(self, ids: np.ndarray) -> list[bytes]:
-        return b"".join([self.subwords[i] for i in ids.tolist()]).split()
+        self.first = self.starts()
+
+    def ids(self, texts: list[list[bytes]]) -> list[bytes]:
+        """The packed ids of texts given as words; those not known yet are encoded together."""
+        self.kept(set().union(*texts).difference(self.known))
+        get = self.known.__getitem__
+        try:
+            return [b"".join(map(get, words)) for words in texts]
+        finally:
+            if len(self.known) > KEPT:
+                self.known.clear()
+
+    def kept(self, fresh: set[bytes]) -> None:
+        """Encodes words, each with a space before it. Bytes that aren't UTF-8 take the ids of single bytes."""
+        words = []
+        for word in fresh:
+            try:
+                word.decode()
+                words.append(word)
+            except UnicodeDecodeError:
+                self.known[word] = array("H", [self.ranks[bytes([b])] for b in b" " + word]).tobytes()
+        if words:
+            line = self.codec.encode_to_numpy((b" " + b" ".join(words)).decode())
+            packed, at = line.astype("<u2").tobytes(), (2 * np.flatnonzero(self.first.take(line))).tolist()
+            self.known.update(zip(words, [packed[a:b] for a, b in zip(at, [*at[1:], len(packed)], strict=True)], strict=True))
 
     def starts(self) -> np.ndarray:
-        """Which ids begin a word, or end a text."""
-        return np.array([x[:1] in (b" ", b"") for x in self.subwords])
+        """Which ids begin a word."""
+        out = np.zeros(END + 1, bool)
+        out[[i for token, i in self.ranks.items() if token[:1] == b" "]] = True
+        return out
 
 
 @functools.cache
@@ -84,12 +99,38 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
+_DRAW = np.random.default_rng(SEED)
+OF_ID = _DRAW.integers(0, 2**64, END + 1, dtype=np.uint64)
+PLACE = np.uint64(0x9E3779B97F4A7C15)
+
+
+@functools.cache
+def powers(n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, PLACE)]))
+
+
+def word_hashes(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place of its first id) of each word of a line of ids; first tells which ids begin a word."""
+    at = np.flatnonzero(first.take(ids))
+    if not len(at):
+        return np.empty(0, np.int64), at
+    length = np.diff(np.concatenate([at, [len(ids)]]))
+    place = np.arange(len(ids)) - np.repeat(at, length)
+    table = powers(1 << int(length.max()).bit_length())
+    h = np.add.reduceat(OF_ID.take(ids) * table.take(place), at)
+    h ^= h >> np.uint64(31)
+    h *= PLACE
+    return (h ^ (h >> np.uint64(29))).view(np.int64), at
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - 2**63
+def merged_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, counts, len(keys)).astype(np.int64)
 
 
 ENCODED = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("h", pa.int64()), ("token", pa.int32()), ("c", pa.int64())])
@@ -97,33 +138,35 @@ ENCODED = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.bi
 
 def encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows with their subword ids; and, as rows without ids, word counts (by hash h) and subword counts (by token) of the training rows, summed over a few batches."""
-        own, counts, tokens = words_of(path), Counter(), np.zeros(END + 1, np.int64)
+        """The rows with their subword ids; and, as rows without ids, word counts (by hash h) and subword counts (by token) of the training rows."""
+        own = words_of(path)
+        first, tokens, parts, held_words = own.first, np.zeros(END + 1, np.int64), [], 0
 
         def padded(n: int, **columns: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in ENCODED], schema=ENCODED)
 
-        def summed_up() -> Iterator[pa.RecordBatch]:
-            nonlocal counts, tokens
-            n, there = len(counts), np.flatnonzero(tokens)
-            yield padded(n, h=pa.array(map(word_hash, counts), pa.int64(), size=n), c=pa.array(counts.values(), pa.int64(), size=n))
-            yield padded(len(there), token=pa.array(there, pa.int32()), c=pa.array(tokens[there]))
-            counts, tokens = Counter(), np.zeros(END + 1, np.int64)
-
         for b in slices(batches):
-            ids, learnt = [], []
-            for text, held in zip(b.column("text"), b.column("held_out").to_pylist(), strict=True):
-                words = text.as_py().lower().split()
-                ids.append(own.ids(words))
-                if not held:
-                    counts.update(words)
-                    learnt.append(ids[-1])
-            tokens += np.bincount(np.frombuffer(b"".join(learnt), "u2"), minlength=END + 1)
+            ids = own.ids([text.as_py().lower().split() for text in b.column("text")])
+            learnt = [x for x, held in zip(ids, b.column("held_out").to_pylist(), strict=True) if not held]
+            line = np.frombuffer(b"".join(learnt), "u2")
+            tokens += np.bincount(line, minlength=END + 1)
             tokens[END] += len(learnt)
+            h, c = np.unique(word_hashes(line, first)[0], return_counts=True)
+            parts.append((h, c))
+            held_words += len(h)
             yield padded(b.num_rows, id=b.column("id"), held_out=b.column("held_out"), ids=pa.array(ids, pa.binary()))
-            if len(counts) > COUNTED:
-                yield from summed_up()
-        yield from summed_up()
+            if held_words > COUNTED:
+                h, c = merged_counts(parts)
+                parts, held_words = [], 0
+                if len(h) > COUNTED // 2:
+                    yield padded(len(h), h=pa.array(h), c=pa.array(c))
+                else:
+                    parts, held_words = [(h, c)], len(h)
+        if parts:
+            h, c = merged_counts(parts)
+            yield padded(len(h), h=pa.array(h), c=pa.array(c))
+        there = np.flatnonzero(tokens)
+        yield padded(len(there), token=pa.array(there, pa.int32()), c=pa.array(tokens[there]))
 
     return run
 
@@ -140,120 +183,172 @@ def codes(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
         own = np.flatnonzero(chosen)
         rank = np.empty(len(own), np.int64)
         rank[np.argsort(-counts[own], kind="stable")] = np.arange(len(own))
-        code, rank = low + rank % n, rank // n
-        for _ in range(LEVELS - 1):
-            code, rank = code * RADIX + rank % RADIX, rank // RADIX
-        out[own] = code
+        out[own] = (low + rank % n) * RADIX + rank // n % RADIX
+    return out
+
+
+def rows_by_count(counts: np.ndarray) -> np.ndarray:
+    """The embedding row of each id: its own if it is among the OWN most frequent, else one of the rest by its number."""
+    out = OWN + np.arange(len(counts)) % (BUCKETS - OWN)
+    out[np.argsort(-counts, kind="stable")[:OWN]] = np.arange(min(OWN, len(counts)))
     return out
 
 
-def biases(counts: np.ndarray, code: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Log shares of each next digit given the digits before it, and of each id in its class."""
-    whole = np.bincount(code, counts + 0.1, RADIX**LEVELS)
-    out = []
-    for k in range(LEVELS):
-        level = whole.reshape(RADIX**k, RADIX, -1).sum(2) + 1e-9
-        out.append(np.log(level / level.sum(1, keepdims=True)).astype(np.float32))
-    return out, np.log((counts + 0.1) / whole[code]).astype(np.float32)
+def log_shares(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Log shares within each row of counts, smoothed towards the prior's."""
+    return np.log((counts + SMOOTH * prior) / (counts.sum(-1, keepdims=True) + SMOOTH)).astype(np.float32)
+
+
+class Vocabulary:
+    """What counts of ids and of neighbouring classes give the model: classes, embedding rows, first logits, and shares of ids in their class."""
+
+    def __init__(self, counts: np.ndarray, starts: np.ndarray) -> None:
+        self.code, self.row = codes(counts, starts), rows_by_count(counts)
+        self.digit, self.rest = np.divmod(self.code, RADIX)
+        whole = np.bincount(self.code, counts + 0.1, CLASSES)
+        self.share = np.log((counts + 0.1) / np.maximum(whole, 1e-9)[self.code]).astype(np.float32)
+        self.whole = whole.reshape(RADIX, RADIX) + 1e-6
+
+    def with_pairs(self, pairs: np.ndarray) -> Vocabulary:
+        """pairs: how often each class follows each, (CLASSES, CLASSES)."""
+        pairs = pairs.reshape(CLASSES, RADIX, RADIX)
+        digit = self.whole.sum(1) / self.whole.sum()
+        self.first = log_shares(pairs.sum(2).astype(float), digit)
+        self.second = log_shares(pairs.astype(float), self.whole / self.whole.sum(1, keepdims=True)).reshape(-1, RADIX)
+        return self
 
 
 def start_weights() -> dict[str, np.ndarray]:
+    """Small outputs, so that the model starts at the counts' logits."""
     rng = np.random.default_rng(SEED)
-    shapes = {"emb": (BUCKETS, DIM), "pos": (CONTEXT, DIM), "qkv": (DIM, 3 * DIM), "o": (DIM, DIM)} | {f"out{k}": (DIM, RADIX) for k in range(LEVELS)} | {f"gate{k}": (RADIX**k, DIM) for k in range(1, LEVELS)}
-    return {n: (rng.standard_normal(s) * (0.5 if n in ("emb", "pos") else 0.6 / math.sqrt(s[0])) if n[:4] != "gate" else 1 + 0.3 * rng.standard_normal(s)).astype(np.float32) for n, s in shapes.items()}
-
-
-PAST = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
-HIGHEST = np.float32(40)  # scores are cut there, so that exponentials stay finite without a pass for the maximum
-SCALE = np.float32(1 / math.sqrt(DIM))
-
-
-def keep_freed_memory() -> None:
-    """Has the C library keep arrays' freed memory: else each new array of over 128 kB takes fresh pages, which costs as much as the arithmetic."""
-    if tune := getattr(ctypes.CDLL(None), "mallopt", None):
-        tune(-3, 1 << 24)  # M_MMAP_THRESHOLD
-        tune(-1, 1 << 26)  # M_TRIM_THRESHOLD
-
-
-def bucket(ids: np.ndarray) -> np.ndarray:
-    return (ids * 40_503 % 65_521) % BUCKETS
-
-
-def forward(w: dict, bias: list[np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Natural log probabilities (windows, CONTEXT) of the targets' codes after the input buckets, and what backward() needs."""
-    n, t = inputs.shape
-    x = (w["emb"].take(inputs.reshape(-1), 0).reshape(n, t, DIM) + w["pos"]).reshape(-1, DIM)
-    qkv = (x @ w["qkv"]).reshape(n, t, 3 * DIM)
-    q, k, v = (qkv[:, :, i * DIM : (i + 1) * DIM] for i in range(3))
-    a = q @ k.transpose(0, 2, 1)
-    a *= SCALE
-    np.exp(np.minimum(a, HIGHEST, out=a), out=a)
-    a *= PAST
-    low = a.reshape(-1, t) @ np.ones(t, np.float32)
-    av = (a @ v).reshape(-1, DIM)
-    av /= low[:, None]
-    z = x + av @ w["o"]
-    code = targets.reshape(-1)
-    total, parts, rows, ones = np.zeros(len(z), np.float32), [], np.arange(0, len(z) * RADIX, RADIX), np.ones(RADIX, np.float32)
-    for level in range(LEVELS):
-        prefix = code // RADIX ** (LEVELS - level)
-        gate = w[f"gate{level}"].take(prefix, 0) if level else None
-        u = z * gate if level else z
-        p = u @ w[f"out{level}"]
-        p += bias[level].take(prefix, 0) if level else bias[0]
-        np.minimum(p, HIGHEST, out=p)
-        at = rows + code // RADIX ** (LEVELS - 1 - level) % RADIX
-        total += p.reshape(-1).take(at)
-        np.exp(p, out=p)
-        s = p @ ones
-        total -= np.log(s)
-        parts.append((u, p, at, s, prefix, gate))
-    return total.reshape(targets.shape), {"x": x, "q": q, "k": k, "v": v, "a": a, "low": low, "av": av, "z": z, "parts": parts, "inputs": inputs}
-
-
-def summed(place: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Rows added up by place."""
-    if n <= 16:
-        return (place[:, None] == np.arange(n)).astype(np.float32).T @ rows
-    at = place[:, None] * DIM + np.arange(DIM)
-    return np.bincount(at.reshape(-1), rows.reshape(-1), n * DIM).reshape(n, DIM).astype(np.float32)
-
-
-def backward(w: dict, c: dict, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the weighted negative log likelihood."""
-    g: dict[str, np.ndarray] = {}
-    n, t = weight.shape
-    dz, flat = np.zeros((n * t, DIM), np.float32), weight.reshape(-1)
-    for level, (u, p, at, s, prefix, gate) in enumerate(c["parts"]):
-        p *= (flat / s)[:, None]
-        p.reshape(-1)[at] -= flat
-        g[f"out{level}"] = u.T @ p
-        du = p @ w[f"out{level}"].T
-        if level:
-            g[f"gate{level}"] = summed(prefix, du * c["z"], RADIX**level)
-            du *= gate
-        dz += du
-    g["o"] = c["av"].T @ dz
-    dav = dz @ w["o"].T
-    # with low the sum of a: av = (a @ v) / low, so da = (dav . v - dav . av) / low
-    mean = (dav * c["av"]) @ np.ones(DIM, np.float32)
-    dav /= c["low"][:, None]
-    mean /= c["low"]
-    dav = dav.reshape(n, t, DIM)
-    ds = dav @ c["v"].transpose(0, 2, 1)
-    ds -= mean.reshape(n, t, 1)
-    ds *= c["a"]
-    d = np.empty((n, t, 3 * DIM), np.float32)
-    d[:, :, 2 * DIM :] = c["a"].transpose(0, 2, 1) @ dav
-    ds *= SCALE
-    d[:, :, :DIM] = ds @ c["k"]
-    d[:, :, DIM : 2 * DIM] = ds.transpose(0, 2, 1) @ c["q"]
-    d = d.reshape(-1, 3 * DIM)
-    g["qkv"] = c["x"].T @ d
-    dx = dz + d @ w["qkv"].T
-    g["pos"] = dx.reshape(n, t, DIM).sum(0)
-    g["emb"] = summed(c["inputs"].reshape(-1), dx, BUCKETS)
-    return g
+    shapes = {"emb": (BUCKETS, DIM), "pos": (CONTEXT, DIM), "qkv": (DIM, 3 * DIM), "o": (DIM, DIM), "in": (DIM, HIDDEN), "back": (HIDDEN, DIM), "out0": (DIM, RADIX), "out1": (DIM, RADIX), "gate": (RADIX, DIM)}
+    scale = {"emb": 0.5, "pos": 0.5, "gate": 0.3, "out0": 0.02, "out1": 0.02}
+    w = {n: (rng.standard_normal(s) * scale.get(n, 0.6 / math.sqrt(s[0]))).astype(np.float32) for n, s in shapes.items()}
+    w["gate"] += 1
+    return w
+
+
+HIGHEST = 40.0  # scores are cut there, so that exponentials stay finite
+SCALE = 1 / math.sqrt(DIM)
+
+
+class Network:
+    """Forward and backward passes over batches of windows. Arrays are kept from batch to batch: fresh memory costs as much as the arithmetic."""
+
+    def __init__(self, v: Vocabulary, weights: dict[str, np.ndarray]) -> None:
+        self.v, self.w, self.kind = v, weights, weights["emb"].dtype
+        self.rooms: dict[str, np.ndarray] = {}
+        self.past = np.tril(np.ones((CONTEXT, CONTEXT), self.kind))
+        self.ones, self.eye = np.ones(max(CONTEXT, RADIX, DIM), self.kind), np.eye(RADIX, dtype=self.kind)
+        self.scales = np.repeat(np.array([SCALE, 1, 1], self.kind), DIM)
+
+    def room(self, name: str, *shape: int, kind: np.dtype | None = None) -> np.ndarray:
+        n = math.prod(shape)
+        if name not in self.rooms or self.rooms[name].size < n:
+            self.rooms[name] = np.empty(n, kind or self.kind)
+        return self.rooms[name][:n].reshape(shape)
+
+    def taken(self, table: np.ndarray, at: np.ndarray, name: str) -> np.ndarray:
+        return np.take(table, at, 0, out=self.room(name, len(at), table.shape[1], kind=table.dtype), mode="clip")
+
+    def times(self, a: np.ndarray, b: np.ndarray, name: str) -> np.ndarray:
+        return np.matmul(a, b, out=self.room(name, *a.shape[:-1], b.shape[-1]))
+
+    @staticmethod
+    def exponentials(x: np.ndarray) -> np.ndarray:
+        if x.max() > HIGHEST:
+            np.minimum(x, HIGHEST, out=x)
+        return np.exp(x, out=x)
+
+    def forward(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Natural log probabilities (windows, CONTEXT) of the targets' classes after the input ids."""
+        w, v, (n, t) = self.w, self.v, inputs.shape
+        source, target = inputs.reshape(-1), targets.reshape(-1)
+        self.rows, before, digit, rest = v.row.take(source), v.code.take(source), v.digit.take(target), v.rest.take(target)
+        x = self.x = self.taken(w["emb"], self.rows, "x")
+        cube = x.reshape(n, t, DIM)
+        cube += w["pos"]
+        self.into = w["qkv"] * self.scales
+        qkv = self.times(x, self.into, "qkv").reshape(n, t, 3 * DIM)
+        self.q, self.k, self.val = (qkv[:, :, i * DIM : (i + 1) * DIM] for i in range(3))
+        turned = self.room("turned", n, DIM, t)
+        turned[:] = self.k.transpose(0, 2, 1)
+        a = self.a = self.exponentials(self.times(self.q, turned, "a"))
+        a *= self.past
+        self.low = a.reshape(-1, t) @ self.ones[:t]
+        av = self.av = self.times(a, self.val, "av").reshape(-1, DIM)
+        av /= self.low[:, None]
+        z = self.z = self.times(av, w["o"], "z")
+        z += x
+        hidden = self.hidden = self.times(z, w["in"], "hidden")
+        hidden += np.abs(hidden, out=self.room("size", *hidden.shape))  # twice the positive part
+        top = self.top = self.times(hidden, w["back"], "top")
+        top += z
+        self.digit, self.gate = digit, self.taken(w["gate"], digit, "gate")
+        gated = np.multiply(top, self.gate, out=self.room("gated", *top.shape))
+        at = np.arange(0, len(target) * RADIX, RADIX)
+        total, self.parts = np.zeros(len(target), self.kind), []
+        for k, (u, bias, cell, own) in enumerate(((top, v.first, before, at + digit), (gated, v.second, before * RADIX + digit, at + rest))):
+            p = self.times(u, w[f"out{k}"], f"p{k}")
+            p += self.taken(bias, cell, "bias")
+            total += p.reshape(-1).take(own)
+            s = self.exponentials(p) @ self.ones[:RADIX]
+            total -= np.log(s)
+            self.parts.append((u, p, own, s))
+        return total.reshape(targets.shape)
+
+    def backward(self, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the weighted negative log likelihood of the batch that forward() has just seen; of the embeddings those of the rows in self.touched."""
+        w, g, (n, t), flat, down = self.w, {}, weight.shape, weight.reshape(-1), []
+        for k, (u, p, own, s) in enumerate(self.parts):
+            p *= (flat / s)[:, None]
+            p.reshape(-1)[own] -= flat
+            g[f"out{k}"] = u.T @ p
+            down.append(self.times(p, w[f"out{k}"].T, f"down{k}"))
+        by_digit = self.taken(self.eye, self.digit, "by_digit")
+        g["gate"] = by_digit.T @ np.multiply(down[1], self.top, out=self.room("through", *self.top.shape))
+        down[1] *= self.gate
+        dtop = down[0]
+        dtop += down[1]
+        g["back"] = self.hidden.T @ dtop
+        dhidden = self.times(dtop, w["back"].T, "dhidden")
+        np.copyto(dhidden, 0, where=self.hidden <= 0)
+        dhidden *= 2
+        g["in"] = self.z.T @ dhidden
+        dz = self.times(dhidden, w["in"].T, "dz")
+        dz += dtop
+        g["o"] = self.av.T @ dz
+        dav = self.times(dz, w["o"].T, "dav")
+        # with low the sum of a: av = (a @ val) / low, so da = (dav . val - dav . av) / low
+        mean = np.multiply(dav, self.av, out=self.room("through", *dav.shape)) @ self.ones[:DIM]
+        dav /= self.low[:, None]
+        mean /= self.low
+        dav = dav.reshape(n, t, DIM)
+        turned = self.room("turned", n, DIM, t)
+        turned[:] = self.val.transpose(0, 2, 1)
+        ds = self.times(dav, turned, "ds")
+        ds -= mean.reshape(n, t, 1)
+        ds *= self.a
+        d = self.room("d", n, t, 3 * DIM)
+        d[:, :, 2 * DIM :] = self.times(self.a.transpose(0, 2, 1), dav, "part")
+        d[:, :, :DIM] = self.times(ds, self.k, "part")
+        d[:, :, DIM : 2 * DIM] = self.times(ds.transpose(0, 2, 1), self.q, "part")
+        d = d.reshape(-1, 3 * DIM)
+        g["qkv"] = (self.x.T @ d) * self.scales
+        dx = self.times(d, self.into.T, "dx")
+        dx += dz
+        g["pos"] = dx.reshape(n, t, DIM).sum(0)
+        self.touched, at = np.unique(self.rows, return_inverse=True)
+        cells = at[:, None] * DIM + np.arange(DIM)
+        g["emb"] = np.bincount(cells.reshape(-1), dx.reshape(-1), len(self.touched) * DIM).reshape(-1, DIM).astype(self.kind)
+        return g
+
+    def step(self, squares: dict[str, np.ndarray], weight: np.ndarray) -> None:
+        """One step of Adagrad, on all weights but the embeddings of ids that the batch lacks."""
+        for name, g in self.backward(weight).items():
+            at = self.touched if name == "emb" else slice(None)
+            squares[name][at] += g * g
+            self.w[name][at] -= self.kind.type(RATE) * g / np.sqrt(squares[name][at])
 
 
 def windows(texts: list[np.ndarray], stride: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -278,96 +373,135 @@ WEIGHTS = "place bigint, n bigint, weights binary"
 COLUMNS = ["place", "n", "weights"]
 
 
-def packed(w: dict[str, np.ndarray]) -> bytes:
-    return b"".join(w[n].tobytes() for n in sorted(w))
+def packed(*parts: dict[str, np.ndarray]) -> bytes:
+    return b"".join(w[n].tobytes() for w in parts for n in sorted(w))
 
 
-def unpacked(data: bytes) -> dict[str, np.ndarray]:
-    out, at, like = {}, 0, start_weights()
-    for n in sorted(like):
-        size = like[n].size
-        out[n] = np.frombuffer(data, np.float32, size, at).reshape(like[n].shape).copy()
-        at += 4 * size
+def unpacked(data: bytes) -> list[dict[str, np.ndarray]]:
+    """Weights and, where there are any, their squared gradients."""
+    like, at, out = start_weights(), 0, []
+    while at < len(data):
+        out.append({})
+        for n in sorted(like):
+            out[-1][n] = np.frombuffer(data, np.float32, like[n].size, at).reshape(like[n].shape).copy()
+            at += 4 * like[n].size
     return out
 
 
-def trained(bias: list[np.ndarray], code: np.ndarray):
+def learn(network: Network, squares: dict, texts: list[np.ndarray], seen: int) -> int:
+    """Steps over all windows of texts; returns how many ids have been seen."""
+    for part in windows(texts, CONTEXT):
+        k = 0
+        while k < len(part[0]):  # steps start small and grow with what has been seen
+            size = min(BATCH, max(LEAST, seen // (32 * CONTEXT)))
+            inputs, targets, fresh = (x[k : k + size] for x in part[:3])
+            k += size
+            n = int(fresh.sum())
+            network.forward(inputs, targets)
+            network.step(squares, fresh.astype(network.kind) / network.kind.type(n))
+            seen += n
+    return seen
+
+
+def trained(v: Vocabulary, start: bytes, before: int):
+    """before: ids that a copy has seen in earlier rounds, about."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One pass of Adagrad over the training rows of a partition."""
-        keep_freed_memory()
-        w, seen, place, hashed = start_weights(), 0, 0, bucket(np.arange(END + 1))
-        squares = {n: np.full_like(x, 1e-6) for n, x in w.items()}
+        """The weights of each copy (its rows follow one another) after its slice."""
+        place, seen = None, 0
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([place]), pa.array([seen - before]), pa.array([packed(w, squares)])], COLUMNS)
 
         for b in slices(batches):
-            place = b.column("place")[0].as_py()
-            texts = [x for x, held in zip(texts_of(b), b.column("held_out").to_pylist(), strict=True) if not held]
-            for part in windows(texts, CONTEXT):
-                k = 0
-                while k < len(part[0]):  # steps start small and grow with what has been seen
-                    size = min(BATCH, max(LEAST, seen // (32 * CONTEXT)))
-                    inputs, targets, fresh = (x[k : k + size] for x in part[:3])
-                    k += size
-                    n = int(fresh.sum())
-                    _, cache = forward(w, bias, hashed.take(inputs), code.take(targets))
-                    for name, g in backward(w, cache, fresh.astype(np.float32) / np.float32(n)).items():
-                        squares[name] += g * g
-                        w[name] -= np.float32(RATE) * g / np.sqrt(squares[name])
-                    seen += n
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([seen]), pa.array([packed(w)])], COLUMNS)
+            places = b.column("place").to_numpy()
+            texts = texts_of(b)
+            edges = [0, *(np.flatnonzero(places[1:] != places[:-1]) + 1).tolist(), len(places)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if places[lo] != place:
+                    if place is not None:
+                        yield done()
+                    place, seen, (w, squares) = int(places[lo]), before, unpacked(start)
+                    network = Network(v, w)
+                seen = learn(network, squares, texts[lo:hi], seen)
+        if place is not None:
+            yield done()
 
     return run
 
 
 def averaged(table: pa.Table) -> pa.Table:
-    total, n = np.zeros(sum(x.size for x in start_weights().values())), 0
-    for own, data in zip(table.column("n").to_pylist(), table.column("weights"), strict=True):
-        total += own * np.frombuffer(data.as_py(), np.float32).astype(float)
-        n += own
-    return pa.table([[table.column("place")[0].as_py()], [n], [(total / n).astype(np.float32).tobytes()]], COLUMNS)
-
-
-def fit(rows: DataFrame, bias: list[np.ndarray], code: np.ndarray) -> dict[str, np.ndarray]:
-    """The averaged weights over rows (ids, held_out); starting weights where nothing is to be learnt."""
-    copies = stash(rows.withColumn("place", F.spark_partition_id().cast("long")).mapInArrow(trained(bias, code), WEIGHTS), "weights")
-    last = copies.agg(F.max("place")).first()[0]
-    if last is None:
-        return start_weights()
-    while last > 0:
-        copies = copies.withColumn("place", F.floor(F.col("place") / FAN_IN)).groupBy("place").applyInArrow(averaged, WEIGHTS)
-        last //= FAN_IN
-    return unpacked(bytes(copies.select("weights").first()[0]))
-
-
-def scored(path: str, bias: list[np.ndarray], share: np.ndarray, code: np.ndarray, weights: dict[str, np.ndarray], hashes: np.ndarray, values: np.ndarray):
+    """One row of several: the mean by ids seen. In order of place, so that it doesn't depend on who came first."""
+    order = np.argsort(table.column("place").to_numpy(), kind="stable").tolist()
+    n, data = table.column("n").to_pylist(), table.column("weights")
+    total = sum(n[k] * np.frombuffer(data[k].as_py(), np.float32).astype(float) for k in order)
+    mean = (total / sum(n)).astype(np.float32).tobytes()
+    return pa.table([[table.column("place")[0].as_py() // FAN_IN], [sum(n)], [mean]], COLUMNS)
+
+
+def fit(rows: DataFrame, v: Vocabulary, total: int) -> dict[str, np.ndarray]:
+    """The weights after all rounds over rows (id, ids) with `total` ids in all; starting weights where nothing is to be learnt."""
+    w = start_weights()
+    state = packed(w, {n: np.full_like(x, 1e-6) for n, x in w.items()})
+    copies = max(1, -(-total // (ROUNDS * SLICE)))
+    h = F.xxhash64(F.col("id"), F.col("ids"))
+    dealt = rows.select("ids", h.alias("h")).withColumns({"place": F.pmod("h", F.lit(copies)), "round": F.pmod(F.shiftright("h", 40), F.lit(ROUNDS)).cast("int")})
+    # a file a copy and round, sorted, so that a copy's rows follow one another in one task
+    files = stash(dealt.repartition(copies, "place").sortWithinPartitions("round", "place", "h"), "training", by="round")
+    for k in range(ROUNDS):
+        own = files.filter(F.col("round") == k).select("place", "ids")
+        weights = stash(own.mapInArrow(trained(v, state, total * k // (ROUNDS * copies)), WEIGHTS), "weights")
+        level, last = weights, copies - 1
+        while last > 0:
+            level = level.groupBy(F.floor(F.col("place") / FAN_IN).alias("group")).applyInArrow(averaged, WEIGHTS)
+            last //= FAN_IN
+        found = level.select("weights").collect()  # one row at most
+        state = bytes(found[0].weights) if found else state
+        discard(weights)
+    discard(files)
+    return unpacked(state)[0]
+
+
+def neighbours(v: Vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(pair of classes, count) over the rows of a task."""
+        pairs, ends = np.zeros(CLASSES * CLASSES, np.int64), np.array([END])
+        for b in slices(batches):
+            texts = texts_of(b)
+            if texts:
+                line = v.code.take(np.concatenate([x for t in texts for x in (ends, t)] + [ends]))
+                pairs += np.bincount(line[:-1] * CLASSES + line[1:], minlength=len(pairs))
+        there = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(pairs[there])], ["pair", "c"])
+
+    return run
+
+
+def scored(path: str, v: Vocabulary, weights: dict[str, np.ndarray], hashes: np.ndarray, values: np.ndarray):
     """hashes, in order, and values: the words that are looked up here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_freed_memory()
-        own, hashed = words_of(path), bucket(np.arange(END + 1))
+        first, network = words_of(path).first, Network(v, weights)
         for b in slices(batches):
             texts = texts_of(b)
             score = np.zeros(len(texts))
             for inputs, targets, fresh, row in windows(texts, STRIDE):
-                logp, _ = forward(weights, bias, hashed.take(inputs), code.take(targets))
-                logp += share.take(targets)
+                logp = network.forward(inputs, targets)
+                logp += v.share.take(targets)
                 score += np.bincount(row, np.where(fresh, logp, 0).sum(1, dtype=float), len(texts))
-            n_tokens, distinct, h, tf = [], [], [], []
-            for text in texts:
-                words = own.words(text)
-                bag = Counter(words)
-                n_tokens.append(len(words) + 1)
-                distinct.append(len(bag))
-                h += map(word_hash, bag)
-                tf += bag.values()
-            h, tf, row = np.array(h, np.int64), np.array(tf, np.int64), np.repeat(np.arange(len(texts)), distinct)
-            at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
-            found = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
-            base = np.bincount(row[found], values[at[found]] * tf[found], len(texts)) if len(hashes) else np.zeros(len(texts))
-            known, rest = np.bincount(row[found], tf[found], len(texts)).astype(np.int64), ~found
-            starts = np.concatenate([[0], np.cumsum(np.bincount(row[rest], minlength=len(texts)))]).astype(np.int32)
-            others = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array(h[rest]), pa.array(tf[rest])], ["h", "tf"]))
-            columns = {"id": b.column("id"), "held_out": b.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "base": pa.array(base), "known": pa.array(known), "rest": others, "score": pa.array(score / math.log(10))}
+            h, at = word_hashes(np.concatenate(texts), first)
+            row = np.searchsorted(np.cumsum([len(x) for x in texts]), at, side="right")
+            distinct, where = np.unique(h, return_inverse=True)
+            near = np.minimum(np.searchsorted(hashes, distinct), max(len(hashes) - 1, 0))
+            there = hashes[near] == distinct if len(hashes) else np.zeros(len(distinct), bool)
+            value = np.where(there, values[near], 0.0) if len(hashes) else np.zeros(len(distinct))
+            base, found = np.bincount(row, value[where], len(texts)), there[where]
+            count = lambda r: np.bincount(r, minlength=len(texts)).astype(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(count(row[~found]))]).astype(np.int32)
+            columns = {"id": b.column("id"), "held_out": b.column("held_out"), "n_tokens": pa.array(count(row) + 1), "base": pa.array(base), "known": pa.array(count(row[found]))}
+            columns |= {"rest": pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[~found])), "score": pa.array(score / math.log(10))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
@@ -376,15 +510,19 @@ def scored(path: str, bias: list[np.ndarray], share: np.ndarray, code: np.ndarra
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row for each input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text).
 
-    Rows whose crc32 of the id's text leaves 1 modulo 5 are held out; a null id isn't. Nulls: a null text is empty, that
-    is only an end. Repeated rows are scored, and learnt from, each. An empty table gives an empty result; without any
-    training row all words are unknown and the model is the starting one. Words are told apart by 64-bit hashes.
+    Rows whose crc32 of the id's text leaves 1 modulo 5 are held out; a null id isn't. Ids are numbers. Nulls: a null
+    text is empty, that is only an end. Repeated rows are scored, and learnt from, each; ties don't arise. Very long
+    texts are scored whole, window by window; a task holds ROWS texts and their ids. An empty table gives an empty
+    result; without any training row all words are unknown and the model is the starting one. Other columns are
+    ignored, whatever their names. Words are told apart by 64-bit hashes. The same rows give the same scores, however
+    they are partitioned.
     """
     path = path or default_ranks()
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 1, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), held.alias("held_out"))
     found = stash(rows.mapInArrow(encoded(path), "id bigint, held_out boolean, ids binary, h bigint, token int, c bigint"), "encoded")
     rows = found.filter("ids IS NOT NULL").select("id", "held_out", "ids")
+    training = rows.filter("NOT held_out").select("id", "ids")
     counts = stash(found.filter("h IS NOT NULL").groupBy("h").agg(F.sum("c").alias("c")), "words")
     of_id = np.zeros(END + 1)
     for r in found.filter("token IS NOT NULL").groupBy("token").agg(F.sum("c").alias("c")).collect():  # as many rows as the vocabulary at most
@@ -395,12 +533,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low = n + 0.5 * (v + 1)
     value = lambda c: np.log10((c + 0.5) / low)
     heavy = counts.filter(F.col("c") * HEAVY >= n).toPandas().sort_values("h")  # HEAVY rows at most
-    code = codes(of_id, words_of(path).starts())
-    bias, share = biases(of_id, code)
-    weights = fit(rows.select("ids", "held_out"), bias, code)
-    schema = "id bigint, held_out boolean, n_tokens bigint, base double, known bigint, rest array<struct<h:bigint,tf:bigint>>, score double"
-    own = stash(rows.mapInArrow(scored(path, bias, share, code, weights, heavy.h.to_numpy(np.int64), value(heavy.c.to_numpy(float))), schema).withColumn("rid", F.monotonically_increasing_id()), "scores")
-    rare = own.select("rid", F.inline("rest")).join(counts, "h", "left").groupBy("rid").agg(F.sum(F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(low))).alias("rare"), F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("n_rare"))
+    known = Vocabulary(of_id, words_of(path).first)
+    pairs = np.zeros(CLASSES * CLASSES)
+    got = training.mapInArrow(neighbours(known), "pair bigint, c bigint").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()  # CLASSES ** 2 rows at most
+    pairs[got.pair.to_numpy(np.int64)] = got.c.to_numpy(float)
+    weights = fit(training, known.with_pairs(pairs), int(of_id.sum()))
+    schema = "id bigint, held_out boolean, n_tokens bigint, base double, known bigint, rest array<bigint>, score double"
+    done = rows.mapInArrow(scored(path, known, weights, heavy.h.to_numpy(np.int64), value(heavy.c.to_numpy(float))), schema)
+    own = stash(done.withColumn("rid", F.monotonically_increasing_id()), "scores")
+    each = own.select("rid", F.explode("rest").alias("h")).join(counts, "h", "left")
+    rare = each.groupBy("rid").agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(low))).alias("rare"), F.count("c").alias("n_rare"))
     return own.drop("rest").join(rare, "rid", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("n_rare", F.lit(0)) + F.lit(1 if ends else 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare", F.lit(0.0)) + F.lit(float(value(ends)))).alias("base_score"), "score",

@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -178,38 +179,68 @@ def test_lm(docs, odd, empty):
     assert lm_scoring.score_documents(odd).count() == 11 and lm_scoring.score_documents(empty).count() == 0
 
 
+def vocabulary(rng):
+    counts = rng.random(lm_scoring.END + 1) * (rng.random(lm_scoring.END + 1) < 0.5)
+    return lm_scoring.Vocabulary(counts, rng.random(len(counts)) < 0.6).with_pairs(rng.random(lm_scoring.CLASSES**2) * 5)
+
+
 def test_lm_is_a_distribution():
     """Over all next ids, probabilities sum to one."""
     rng, t, n = np.random.default_rng(0), lm_scoring.CONTEXT, lm_scoring.END + 1
-    counts, w = rng.random(n) * (rng.random(n) < 0.5), lm_scoring.start_weights()
-    code = lm_scoring.codes(counts, rng.random(n) < 0.6)
-    bias, share = lm_scoring.biases(counts, code)
+    known, w = vocabulary(rng), lm_scoring.start_weights()
     every = np.arange(n + -n % t) % n
     inputs = np.full((len(every) // t, t), 7)
     w["pos"][:] = w["pos"][0]
-    logp, _ = lm_scoring.forward(w, bias, inputs, code[every].reshape(-1, t))
-    assert np.exp((logp.reshape(-1) + share[every])[:n].astype(float)).sum() == pytest.approx(1, abs=1e-3)
+    w["out0"] *= 20
+    logp = lm_scoring.Network(known, w).forward(inputs, every.reshape(-1, t))
+    assert np.exp((logp.reshape(-1) + known.share[every])[:n].astype(float)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_sees_no_future():
+    """An id's probability doesn't change with the ids after it."""
+    rng = np.random.default_rng(1)
+    network, ids = lm_scoring.Network(vocabulary(rng), lm_scoring.start_weights()), rng.integers(0, lm_scoring.END, (1, lm_scoring.CONTEXT + 1))
+    one = network.forward(ids[:, :-1], ids[:, 1:]).copy()
+    other = ids.copy()
+    other[:, 20:] = 5
+    assert network.forward(other[:, :-1], other[:, 1:])[0, :19] == pytest.approx(one[0, :19], abs=1e-5)
 
 
 def test_lm_gradients():
     """Against differences of the loss."""
     rng = np.random.default_rng(3)
-    w, counts = {k: x.astype(float) for k, x in lm_scoring.start_weights().items()}, rng.random(lm_scoring.END + 1)
-    code = lm_scoring.codes(counts, rng.random(len(counts)) < 0.5)
-    bias, _ = lm_scoring.biases(counts, code)
-    inputs, targets, weight = rng.integers(0, lm_scoring.BUCKETS, (3, lm_scoring.CONTEXT)), code[rng.integers(0, len(code), (3, lm_scoring.CONTEXT))], rng.random((3, lm_scoring.CONTEXT))
-    loss = lambda: -(lm_scoring.forward(w, bias, inputs, targets)[0] * weight).sum()
-    grads = lm_scoring.backward(w, lm_scoring.forward(w, bias, inputs, targets)[1], weight)
+    known, w = vocabulary(rng), {k: x.astype(float) for k, x in lm_scoring.start_weights().items()}
+    w["out0"], w["out1"] = w["out0"] * 20, w["out1"] * 20
+    shape = (3, lm_scoring.CONTEXT)
+    inputs, targets, weight = rng.integers(0, lm_scoring.END, shape), rng.integers(0, lm_scoring.END, shape), rng.random(shape)
+    network = lm_scoring.Network(known, w)
+    loss = lambda: -(network.forward(inputs, targets) * weight).sum()
+    loss()
+    grads = {k: x.copy() for k, x in network.backward(weight).items()}
+    whole = np.zeros_like(w["emb"])
+    whole[network.touched] = grads["emb"]
+    grads["emb"] = whole
     assert set(grads) == set(w)
     for name, g in grads.items():
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
-        own, step = w[name][at], 0.02
+        own, step = w[name][at], 1e-4
         w[name][at] = own + step
         above = loss()
         w[name][at] = own - step
         below = loss()
         w[name][at] = own
-        assert (above - below) / (2 * step) == pytest.approx(g[at], rel=0.05, abs=1e-3), name
+        assert (above - below) / (2 * step) == pytest.approx(g[at], rel=1e-3, abs=1e-4), name
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, docs):
+    """One partition or seven, in either order: the same scores; so with many small copies and rounds of training."""
+    few = docs.limit(60).cache()
+    slice_, lm_scoring.SLICE = lm_scoring.SLICE, 3000
+    try:
+        both = [{r.doc_id: r.score for r in lm_scoring.score_documents(df).collect()} for df in (few.coalesce(1), few.orderBy(F.desc("doc_id")).repartition(7))]
+    finally:
+        lm_scoring.SLICE = slice_
+    assert both[0] == pytest.approx(both[1], rel=1e-5)
 
 
 def test_lm_learns(spark):
@@ -231,10 +262,18 @@ def test_windows_score_each_token_once():
         assert seen == {k: [*range(len(x)), lm_scoring.END] for k, x in enumerate(texts)}
 
 
-def test_subwords_give_the_words_back():
+def test_words_by_their_ids():
+    """Ids give the words back, whatever their bytes; equal words have equal hashes, different ones differ."""
     own = lm_scoring.Words(lm_scoring.default_ranks())
-    words = [b"plain", b"'t", b"\xff\xfe", "日本語".encode(), b"x" * 500, "\u00a0\u3000é".encode(), b"<|endoftext|>"]
-    assert own.words(np.frombuffer(own.ids(words) * 2, "<u2")) == words * 2
+    of_id = {i: b for b, i in own.ranks.items()}
+    words = [b"plain", b"'t", b"\xff\xfe", "日本語".encode(), b"x" * 500, "\u00a0\u3000é\x1c\x85".encode(), b"<|endoftext|>", b"plain", b"plainer"]
+    ids = own.ids([words, [], words])
+    assert ids[0] == ids[2] and ids[1] == b""
+    line = np.frombuffer(ids[0], "<u2")
+    assert b"".join(of_id[i] for i in line.tolist()) == b"".join(b" " + w for w in words)
+    h, at = lm_scoring.word_hashes(line, own.first)
+    assert len(h) == len(words) and len(set(h.tolist())) == len(set(words)) and h[0] == h[7]
+    assert at.tolist() == sorted(at.tolist()) and lm_scoring.word_hashes(line[:0], own.first)[0].size == 0
 
 
 def test_mixing(spark, docs, odd, empty):
