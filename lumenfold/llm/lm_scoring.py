@@ -6,7 +6,7 @@ of the training documents: of the class before, and of the first digit. So the n
 don't tell; probabilities sum to one at the cost of 2 * RADIX exponentials a token.
 
 Training covers every window of every training document once, in ROUNDS rounds. Documents are dealt by a hash of their
-id and text over copies of about SLICE ids a round, in hash order; in each round every copy starts from the weights that
+id and ids over copies of about SLICE ids a round, in hash order; in each round every copy starts from the weights that
 the round before left, averaged over the copies by ids seen, in a tree of groups of FAN_IN. Nothing depends on how the
 input was partitioned; more documents make more copies.
 
@@ -23,8 +23,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import math
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +40,8 @@ CLASSES = RADIX * RADIX
 BUCKETS, OWN = 4096, 4032  # embedding rows, and those that one frequent id has for itself
 HEAVY, FAN_IN, LEAST, BATCH, RATE, SEED, SMOOTH = 1_000_000, 16, 16, 64, 0.1, 5, 20.0
 ROUNDS, SLICE = 4, 1_000_000  # averaged rounds of training; ids of a copy in a round
-KEPT = 400_000  # words kept in a worker between batches
+KEPT = 600_000  # words that a worker keeps, and counts before it passes the counts on
 ROWS = 250  # documents that a worker unpacks at a time
-COUNTED = 2_000_000  # words that a worker counts before it passes them on
 END = 50_256  # the id after the vocabulary's; starts and ends a text
 
 
@@ -52,40 +51,86 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+class Places(dict):
+    """A number for each word, in order of first use; words new since the last encoding are listed."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(word)
+        place = self[word] = len(self)
+        return place
+
+
+def grown(a: np.ndarray, need: int) -> np.ndarray:
+    """a with room for so many: twice its size, zeros, if it has to grow."""
+    if need <= len(a):
+        return a
+    out = np.zeros(max(need, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
 class Words:
-    """Words of texts and their subword ids (two bytes each), kept for the words seen most recently."""
+    """Subword ids of words, each word with the space before it as one piece. Words are encoded together and kept, with their hashes and counts, by number."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        # one piece is a word with the space before it; words are cut from texts beforehand
         self.codec = tiktoken.Encoding("subwords", pat_str=r" ?[^ ]+", mergeable_ranks=self.ranks, special_tokens={})
-        self.known: dict[bytes, bytes] = {}
         self.first = self.starts()
-
-    def ids(self, texts: list[list[bytes]]) -> list[bytes]:
-        """The packed ids of texts given as words; those not known yet are encoded together."""
-        self.kept(set().union(*texts).difference(self.known))
-        get = self.known.__getitem__
+        self.forget()
+
+    def forget(self) -> None:
+        self.places, self.flat = Places(), np.empty(0, "<u2")
+        self.start, self.length, self.h, self.n = (np.empty(0, np.int64) for _ in range(4))
+        self.words = self.used = 0
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, count) of the words counted since the last call; words are forgotten if there are too many."""
+        there = np.flatnonzero(self.n)
+        found = self.h[there], self.n[there]
+        self.n[:] = 0
+        if len(self.places) > KEPT:
+            self.forget()
+        return found
+
+    def full(self) -> bool:
+        return len(self.places) > KEPT
+
+    def ids(self, texts: list[list[bytes]], counted: list[bool]) -> list[bytes]:
+        """The packed ids of texts given as words; words of those to be counted are."""
+        sizes = np.array([len(x) for x in texts], np.int64)
+        at = np.fromiter(map(self.places.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+        if self.places.fresh:
+            self.add(self.places.fresh)
+            self.places.fresh = []
+        self.n += np.bincount(at[np.repeat(np.array(counted, bool), sizes)], minlength=len(self.n))
+        length = self.length.take(at)
+        ends = np.cumsum(length)
+        packed = self.flat.take(np.repeat(self.start.take(at) - ends + length, length) + np.arange(length.sum())).tobytes()
+        cuts = [0, *(2 * np.concatenate([[0], ends])[np.cumsum(sizes)]).tolist()]
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def add(self, words: list[bytes]) -> None:
+        try:
+            line = self.codec.encode_to_numpy((b" " + b" ".join(words)).decode()).astype("<u2")
+        except UnicodeDecodeError:  # bytes that aren't UTF-8 take the ids of single bytes; each word for itself
+            line = np.concatenate([self.one(w) for w in words])
+        h, at = word_hashes(line, self.first)
+        old, new, low, high = self.words, self.words + len(h), self.used, self.used + len(line)
+        self.start, self.length, self.h, self.n = (grown(x, new) for x in (self.start, self.length, self.h, self.n))
+        self.flat = grown(self.flat, high)
+        self.start[old:new], self.length[old:new] = at + low, np.diff(np.concatenate([at, [len(line)]]))
+        self.flat[low:high], self.h[old:new] = line, h
+        self.words, self.used = new, high
+
+    def one(self, word: bytes) -> np.ndarray:
         try:
-            return [b"".join(map(get, words)) for words in texts]
-        finally:
-            if len(self.known) > KEPT:
-                self.known.clear()
-
-    def kept(self, fresh: set[bytes]) -> None:
-        """Encodes words, each with a space before it. Bytes that aren't UTF-8 take the ids of single bytes."""
-        words = []
-        for word in fresh:
-            try:
-                word.decode()
-                words.append(word)
-            except UnicodeDecodeError:
-                self.known[word] = array("H", [self.ranks[bytes([b])] for b in b" " + word]).tobytes()
-        if words:
-            line = self.codec.encode_to_numpy((b" " + b" ".join(words)).decode())
-            packed, at = line.astype("<u2").tobytes(), (2 * np.flatnonzero(self.first.take(line))).tolist()
-            self.known.update(zip(words, [packed[a:b] for a, b in zip(at, [*at[1:], len(packed)], strict=True)], strict=True))
+            return self.codec.encode_to_numpy(" " + word.decode()).astype("<u2")
+        except UnicodeDecodeError:
+            return np.array([self.ranks[bytes([b])] for b in b" " + word], "<u2")
 
     def starts(self) -> np.ndarray:
         """Which ids begin a word."""
@@ -127,44 +172,32 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
 
 
-def merged_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    keys, at = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(at, counts, len(keys)).astype(np.int64)
-
-
 ENCODED = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("h", pa.int64()), ("token", pa.int32()), ("c", pa.int64())])
 
 
 def encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows with their subword ids; and, as rows without ids, word counts (by hash h) and subword counts (by token) of the training rows."""
-        own = words_of(path)
-        first, tokens, parts, held_words = own.first, np.zeros(END + 1, np.int64), [], 0
+        own, tokens = words_of(path), np.zeros(END + 1, np.int64)
+        own.forget()
 
         def padded(n: int, **columns: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in ENCODED], schema=ENCODED)
 
+        def words() -> pa.RecordBatch:
+            h, c = own.counts()
+            return padded(len(h), h=pa.array(h), c=pa.array(c))
+
         for b in slices(batches):
-            ids = own.ids([text.as_py().lower().split() for text in b.column("text")])
-            learnt = [x for x, held in zip(ids, b.column("held_out").to_pylist(), strict=True) if not held]
-            line = np.frombuffer(b"".join(learnt), "u2")
-            tokens += np.bincount(line, minlength=END + 1)
+            counted = [not x for x in b.column("held_out").to_pylist()]
+            ids = own.ids([text.as_py().lower().split() for text in b.column("text")], counted)
+            learnt = [x for x, c in zip(ids, counted, strict=True) if c]
+            tokens += np.bincount(np.frombuffer(b"".join(learnt), "u2"), minlength=END + 1)
             tokens[END] += len(learnt)
-            h, c = np.unique(word_hashes(line, first)[0], return_counts=True)
-            parts.append((h, c))
-            held_words += len(h)
             yield padded(b.num_rows, id=b.column("id"), held_out=b.column("held_out"), ids=pa.array(ids, pa.binary()))
-            if held_words > COUNTED:
-                h, c = merged_counts(parts)
-                parts, held_words = [], 0
-                if len(h) > COUNTED // 2:
-                    yield padded(len(h), h=pa.array(h), c=pa.array(c))
-                else:
-                    parts, held_words = [(h, c)], len(h)
-        if parts:
-            h, c = merged_counts(parts)
-            yield padded(len(h), h=pa.array(h), c=pa.array(c))
+            if own.full():
+                yield words()
+        yield words()
         there = np.flatnonzero(tokens)
         yield padded(len(there), token=pa.array(there, pa.int32()), c=pa.array(tokens[there]))
 
@@ -218,14 +251,29 @@ class Vocabulary:
         return self
 
 
-def start_weights() -> dict[str, np.ndarray]:
-    """Small outputs, so that the model starts at the counts' logits."""
-    rng = np.random.default_rng(SEED)
-    shapes = {"emb": (BUCKETS, DIM), "pos": (CONTEXT, DIM), "qkv": (DIM, 3 * DIM), "o": (DIM, DIM), "in": (DIM, HIDDEN), "back": (HIDDEN, DIM), "out0": (DIM, RADIX), "out1": (DIM, RADIX), "gate": (RADIX, DIM)}
+SHAPES = {"emb": (BUCKETS, DIM), "pos": (CONTEXT, DIM), "qkv": (DIM, 3 * DIM), "o": (DIM, DIM), "in": (DIM, HIDDEN), "back": (HIDDEN, DIM), "out0": (DIM, RADIX), "out1": (DIM, RADIX), "gate": (RADIX, DIM)}
+
+
+def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The parts of all weights (or gradients) in one array; embeddings come first."""
+    out, at = {}, 0
+    for name, shape in SHAPES.items():
+        out[name] = flat[at : at + math.prod(shape)].reshape(shape)
+        at += math.prod(shape)
+    return out
+
+
+SIZE = sum(math.prod(s) for s in SHAPES.values())
+REST = BUCKETS * DIM  # where the embeddings end
+
+
+def start_weights(kind: str = "f4") -> np.ndarray:
+    """All weights; outputs are small, so that the model starts at the counts' logits."""
+    rng, flat = np.random.default_rng(SEED), np.empty(SIZE, kind)
     scale = {"emb": 0.5, "pos": 0.5, "gate": 0.3, "out0": 0.02, "out1": 0.02}
-    w = {n: (rng.standard_normal(s) * scale.get(n, 0.6 / math.sqrt(s[0]))).astype(np.float32) for n, s in shapes.items()}
-    w["gate"] += 1
-    return w
+    for name, part in views(flat).items():
+        part[:] = rng.standard_normal(part.shape) * scale.get(name, 0.6 / math.sqrt(part.shape[0])) + (name == "gate")
+    return flat
 
 
 HIGHEST = 40.0  # scores are cut there, so that exponentials stay finite
@@ -235,8 +283,12 @@ SCALE = 1 / math.sqrt(DIM)
 class Network:
     """Forward and backward passes over batches of windows. Arrays are kept from batch to batch: fresh memory costs as much as the arithmetic."""
 
-    def __init__(self, v: Vocabulary, weights: dict[str, np.ndarray]) -> None:
-        self.v, self.w, self.kind = v, weights, weights["emb"].dtype
+    def __init__(self, v: Vocabulary, flat: np.ndarray) -> None:
+        self.v, self.flat, self.w, self.kind = v, flat, views(flat), flat.dtype
+        self.slopes = np.zeros_like(flat)
+        self.g = views(self.slopes)
+        self.place, self.numbers = np.zeros(BUCKETS, np.int64), np.arange(max(BATCH * CONTEXT, BUCKETS))
+        self.cells, self.starts = self.numbers[:, None] * DIM + np.arange(DIM), self.numbers * RADIX
         self.rooms: dict[str, np.ndarray] = {}
         self.past = np.tril(np.ones((CONTEXT, CONTEXT), self.kind))
         self.ones, self.eye = np.ones(max(CONTEXT, RADIX, DIM), self.kind), np.eye(RADIX, dtype=self.kind)
@@ -260,15 +312,15 @@ class Network:
             np.minimum(x, HIGHEST, out=x)
         return np.exp(x, out=x)
 
-    def forward(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log probabilities (windows, CONTEXT) of the targets' classes after the input ids."""
+    def forward(self, inputs: np.ndarray, targets: np.ndarray, learning: bool = False) -> np.ndarray | None:
+        """Natural log probabilities (windows, CONTEXT) of the targets' classes after the input ids; none while learning, which needs none."""
         w, v, (n, t) = self.w, self.v, inputs.shape
         source, target = inputs.reshape(-1), targets.reshape(-1)
         self.rows, before, digit, rest = v.row.take(source), v.code.take(source), v.digit.take(target), v.rest.take(target)
         x = self.x = self.taken(w["emb"], self.rows, "x")
         cube = x.reshape(n, t, DIM)
         cube += w["pos"]
-        self.into = w["qkv"] * self.scales
+        self.into, self.twice = w["qkv"] * self.scales, 2 * w["back"].T  # what the batch's passes share
         qkv = self.times(x, self.into, "qkv").reshape(n, t, 3 * DIM)
         self.q, self.k, self.val = (qkv[:, :, i * DIM : (i + 1) * DIM] for i in range(3))
         turned = self.room("turned", n, DIM, t)
@@ -286,41 +338,42 @@ class Network:
         top += z
         self.digit, self.gate = digit, self.taken(w["gate"], digit, "gate")
         gated = np.multiply(top, self.gate, out=self.room("gated", *top.shape))
-        at = np.arange(0, len(target) * RADIX, RADIX)
-        total, self.parts = np.zeros(len(target), self.kind), []
+        at = self.starts[: len(target)]
+        total, self.parts = None if learning else np.zeros(len(target), self.kind), []
         for k, (u, bias, cell, own) in enumerate(((top, v.first, before, at + digit), (gated, v.second, before * RADIX + digit, at + rest))):
             p = self.times(u, w[f"out{k}"], f"p{k}")
             p += self.taken(bias, cell, "bias")
-            total += p.reshape(-1).take(own)
+            if total is not None:
+                total += p.reshape(-1).take(own)
             s = self.exponentials(p) @ self.ones[:RADIX]
-            total -= np.log(s)
+            if total is not None:
+                total -= np.log(s)
             self.parts.append((u, p, own, s))
-        return total.reshape(targets.shape)
+        return None if total is None else total.reshape(targets.shape)
 
-    def backward(self, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the weighted negative log likelihood of the batch that forward() has just seen; of the embeddings those of the rows in self.touched."""
-        w, g, (n, t), flat, down = self.w, {}, weight.shape, weight.reshape(-1), []
+    def backward(self, weight: np.ndarray) -> None:
+        """Gradients, into g, of the weighted negative log likelihood of the batch that forward() has just seen; of the embeddings into `pulls`, a row for each in `touched`."""
+        w, g, (n, t), flat, down = self.w, self.g, weight.shape, weight.reshape(-1), []
         for k, (u, p, own, s) in enumerate(self.parts):
             p *= (flat / s)[:, None]
             p.reshape(-1)[own] -= flat
-            g[f"out{k}"] = u.T @ p
+            np.matmul(u.T, p, out=g[f"out{k}"])
             down.append(self.times(p, w[f"out{k}"].T, f"down{k}"))
-        by_digit = self.taken(self.eye, self.digit, "by_digit")
-        g["gate"] = by_digit.T @ np.multiply(down[1], self.top, out=self.room("through", *self.top.shape))
+        through = np.multiply(down[1], self.top, out=self.room("through", *self.top.shape))
+        np.matmul(self.taken(self.eye, self.digit, "by_digit").T, through, out=g["gate"])
         down[1] *= self.gate
         dtop = down[0]
         dtop += down[1]
-        g["back"] = self.hidden.T @ dtop
-        dhidden = self.times(dtop, w["back"].T, "dhidden")
-        np.copyto(dhidden, 0, where=self.hidden <= 0)
-        dhidden *= 2
-        g["in"] = self.z.T @ dhidden
+        np.matmul(self.hidden.T, dtop, out=g["back"])
+        dhidden = self.times(dtop, self.twice, "dhidden")
+        dhidden *= np.greater(self.hidden, 0, out=self.room("size", *dhidden.shape), casting="unsafe")
+        np.matmul(self.z.T, dhidden, out=g["in"])
         dz = self.times(dhidden, w["in"].T, "dz")
         dz += dtop
-        g["o"] = self.av.T @ dz
+        np.matmul(self.av.T, dz, out=g["o"])
         dav = self.times(dz, w["o"].T, "dav")
         # with low the sum of a: av = (a @ val) / low, so da = (dav . val - dav . av) / low
-        mean = np.multiply(dav, self.av, out=self.room("through", *dav.shape)) @ self.ones[:DIM]
+        mean = np.multiply(dav, self.av, out=through) @ self.ones[:DIM]
         dav /= self.low[:, None]
         mean /= self.low
         dav = dav.reshape(n, t, DIM)
@@ -334,21 +387,31 @@ class Network:
         d[:, :, :DIM] = self.times(ds, self.k, "part")
         d[:, :, DIM : 2 * DIM] = self.times(ds.transpose(0, 2, 1), self.q, "part")
         d = d.reshape(-1, 3 * DIM)
-        g["qkv"] = (self.x.T @ d) * self.scales
+        np.matmul(self.x.T, d, out=g["qkv"])
+        g["qkv"] *= self.scales
         dx = self.times(d, self.into.T, "dx")
         dx += dz
-        g["pos"] = dx.reshape(n, t, DIM).sum(0)
-        self.touched, at = np.unique(self.rows, return_inverse=True)
-        cells = at[:, None] * DIM + np.arange(DIM)
-        g["emb"] = np.bincount(cells.reshape(-1), dx.reshape(-1), len(self.touched) * DIM).reshape(-1, DIM).astype(self.kind)
-        return g
-
-    def step(self, squares: dict[str, np.ndarray], weight: np.ndarray) -> None:
+        dx.reshape(n, t, DIM).sum(0, out=g["pos"])
+        there = np.zeros(BUCKETS, bool)
+        there[self.rows] = True
+        self.touched = np.flatnonzero(there)
+        self.place[self.touched] = self.numbers[: len(self.touched)]
+        cells = self.cells.take(self.place.take(self.rows), 0)
+        self.pulls = np.bincount(cells.reshape(-1), dx.reshape(-1), len(self.touched) * DIM).reshape(-1, DIM).astype(self.kind)
+
+    def step(self, squares: np.ndarray, weight: np.ndarray) -> None:
         """One step of Adagrad, on all weights but the embeddings of ids that the batch lacks."""
-        for name, g in self.backward(weight).items():
-            at = self.touched if name == "emb" else slice(None)
-            squares[name][at] += g * g
-            self.w[name][at] -= self.kind.type(RATE) * g / np.sqrt(squares[name][at])
+        self.backward(weight)
+        rate, slopes, sums, w = self.kind.type(RATE), self.slopes[REST:], squares[REST:], self.flat[REST:]
+        sums += slopes * slopes
+        w -= rate * slopes / np.sqrt(sums)
+        table = squares[:REST].reshape(BUCKETS, DIM)
+        own = table.take(self.touched, 0)
+        own += self.pulls * self.pulls
+        table[self.touched] = own
+        self.pulls *= rate
+        self.pulls /= np.sqrt(own, out=own)
+        self.w["emb"][self.touched] = np.subtract(self.w["emb"].take(self.touched, 0), self.pulls, out=self.pulls)
 
 
 def windows(texts: list[np.ndarray], stride: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -373,22 +436,7 @@ WEIGHTS = "place bigint, n bigint, weights binary"
 COLUMNS = ["place", "n", "weights"]
 
 
-def packed(*parts: dict[str, np.ndarray]) -> bytes:
-    return b"".join(w[n].tobytes() for w in parts for n in sorted(w))
-
-
-def unpacked(data: bytes) -> list[dict[str, np.ndarray]]:
-    """Weights and, where there are any, their squared gradients."""
-    like, at, out = start_weights(), 0, []
-    while at < len(data):
-        out.append({})
-        for n in sorted(like):
-            out[-1][n] = np.frombuffer(data, np.float32, like[n].size, at).reshape(like[n].shape).copy()
-            at += 4 * like[n].size
-    return out
-
-
-def learn(network: Network, squares: dict, texts: list[np.ndarray], seen: int) -> int:
+def learn(network: Network, squares: np.ndarray, texts: list[np.ndarray], seen: int) -> int:
     """Steps over all windows of texts; returns how many ids have been seen."""
     for part in windows(texts, CONTEXT):
         k = 0
@@ -397,7 +445,7 @@ def learn(network: Network, squares: dict, texts: list[np.ndarray], seen: int) -
             inputs, targets, fresh = (x[k : k + size] for x in part[:3])
             k += size
             n = int(fresh.sum())
-            network.forward(inputs, targets)
+            network.forward(inputs, targets, learning=True)
             network.step(squares, fresh.astype(network.kind) / network.kind.type(n))
             seen += n
     return seen
@@ -411,7 +459,7 @@ def trained(v: Vocabulary, start: bytes, before: int):
         place, seen = None, 0
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([place]), pa.array([seen - before]), pa.array([packed(w, squares)])], COLUMNS)
+            return pa.RecordBatch.from_arrays([pa.array([place]), pa.array([seen - before]), pa.array([np.concatenate([network.flat, squares]).tobytes()])], COLUMNS)
 
         for b in slices(batches):
             places = b.column("place").to_numpy()
@@ -423,8 +471,8 @@ def trained(v: Vocabulary, start: bytes, before: int):
                 if places[lo] != place:
                     if place is not None:
                         yield done()
-                    place, seen, (w, squares) = int(places[lo]), before, unpacked(start)
-                    network = Network(v, w)
+                    both = np.frombuffer(start, np.float32).copy()
+                    place, seen, squares, network = int(places[lo]), before, both[SIZE:], Network(v, both[:SIZE])
                 seen = learn(network, squares, texts[lo:hi], seen)
         if place is not None:
             yield done()
@@ -441,15 +489,14 @@ def averaged(table: pa.Table) -> pa.Table:
     return pa.table([[table.column("place")[0].as_py() // FAN_IN], [sum(n)], [mean]], COLUMNS)
 
 
-def fit(rows: DataFrame, v: Vocabulary, total: int) -> dict[str, np.ndarray]:
+def fit(rows: DataFrame, v: Vocabulary, total: int) -> np.ndarray:
     """The weights after all rounds over rows (id, ids) with `total` ids in all; starting weights where nothing is to be learnt."""
-    w = start_weights()
-    state = packed(w, {n: np.full_like(x, 1e-6) for n, x in w.items()})
+    state = np.concatenate([start_weights(), np.full(SIZE, 1e-6, np.float32)]).tobytes()  # weights and their squared gradients
     copies = max(1, -(-total // (ROUNDS * SLICE)))
     h = F.xxhash64(F.col("id"), F.col("ids"))
-    dealt = rows.select("ids", h.alias("h")).withColumns({"place": F.pmod("h", F.lit(copies)), "round": F.pmod(F.shiftright("h", 40), F.lit(ROUNDS)).cast("int")})
+    dealt = rows.select("ids", h.alias("h")).repartition(copies, "h").withColumns({"place": F.spark_partition_id().cast("long"), "round": F.pmod(F.shiftright("h", 40), F.lit(ROUNDS)).cast("int")})
     # a file a copy and round, sorted, so that a copy's rows follow one another in one task
-    files = stash(dealt.repartition(copies, "place").sortWithinPartitions("round", "place", "h"), "training", by="round")
+    files = stash(dealt.sortWithinPartitions("round", "h"), "training", by="round")
     for k in range(ROUNDS):
         own = files.filter(F.col("round") == k).select("place", "ids")
         weights = stash(own.mapInArrow(trained(v, state, total * k // (ROUNDS * copies)), WEIGHTS), "weights")
@@ -461,7 +508,7 @@ def fit(rows: DataFrame, v: Vocabulary, total: int) -> dict[str, np.ndarray]:
         state = bytes(found[0].weights) if found else state
         discard(weights)
     discard(files)
-    return unpacked(state)[0]
+    return np.frombuffer(state, np.float32)[:SIZE].copy()
 
 
 def neighbours(v: Vocabulary):
@@ -479,7 +526,7 @@ def neighbours(v: Vocabulary):
     return run
 
 
-def scored(path: str, v: Vocabulary, weights: dict[str, np.ndarray], hashes: np.ndarray, values: np.ndarray):
+def scored(path: str, v: Vocabulary, weights: np.ndarray, hashes: np.ndarray, values: np.ndarray):
     """hashes, in order, and values: the words that are looked up here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

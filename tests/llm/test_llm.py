@@ -190,9 +190,11 @@ def test_lm_is_a_distribution():
     known, w = vocabulary(rng), lm_scoring.start_weights()
     every = np.arange(n + -n % t) % n
     inputs = np.full((len(every) // t, t), 7)
-    w["pos"][:] = w["pos"][0]
-    w["out0"] *= 20
-    logp = lm_scoring.Network(known, w).forward(inputs, every.reshape(-1, t))
+    parts = lm_scoring.views(w)
+    parts["pos"][:] = parts["pos"][0]
+    parts["out0"] *= 20
+    network, step = lm_scoring.Network(known, w), lm_scoring.BATCH
+    logp = np.concatenate([network.forward(inputs[k : k + step], every.reshape(-1, t)[k : k + step]) for k in range(0, len(inputs), step)])
     assert np.exp((logp.reshape(-1) + known.share[every])[:n].astype(float)).sum() == pytest.approx(1, abs=1e-3)
 
 
@@ -209,18 +211,16 @@ def test_lm_sees_no_future():
 def test_lm_gradients():
     """Against differences of the loss."""
     rng = np.random.default_rng(3)
-    known, w = vocabulary(rng), {k: x.astype(float) for k, x in lm_scoring.start_weights().items()}
-    w["out0"], w["out1"] = w["out0"] * 20, w["out1"] * 20
-    shape = (3, lm_scoring.CONTEXT)
+    network = lm_scoring.Network(vocabulary(rng), lm_scoring.start_weights("f8"))
+    w, shape = network.w, (3, lm_scoring.CONTEXT)
+    w["out0"] *= 20
+    w["out1"] *= 20
     inputs, targets, weight = rng.integers(0, lm_scoring.END, shape), rng.integers(0, lm_scoring.END, shape), rng.random(shape)
-    network = lm_scoring.Network(known, w)
     loss = lambda: -(network.forward(inputs, targets) * weight).sum()
     loss()
-    grads = {k: x.copy() for k, x in network.backward(weight).items()}
-    whole = np.zeros_like(w["emb"])
-    whole[network.touched] = grads["emb"]
-    grads["emb"] = whole
-    assert set(grads) == set(w)
+    network.backward(weight)
+    network.g["emb"][network.touched] = network.pulls
+    grads = {k: x.copy() for k, x in network.g.items()}
     for name, g in grads.items():
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         own, step = w[name][at], 1e-4
@@ -267,12 +267,13 @@ def test_words_by_their_ids():
     own = lm_scoring.Words(lm_scoring.default_ranks())
     of_id = {i: b for b, i in own.ranks.items()}
     words = [b"plain", b"'t", b"\xff\xfe", "日本語".encode(), b"x" * 500, "\u00a0\u3000é\x1c\x85".encode(), b"<|endoftext|>", b"plain", b"plainer"]
-    ids = own.ids([words, [], words])
+    ids = own.ids([words, [], words], [True, True, False])
     assert ids[0] == ids[2] and ids[1] == b""
     line = np.frombuffer(ids[0], "<u2")
     assert b"".join(of_id[i] for i in line.tolist()) == b"".join(b" " + w for w in words)
     h, at = lm_scoring.word_hashes(line, own.first)
     assert len(h) == len(words) and len(set(h.tolist())) == len(set(words)) and h[0] == h[7]
+    assert dict(zip(*(x.tolist() for x in own.counts()))) == dict(Counter(h.tolist()))
     assert at.tolist() == sorted(at.tolist()) and lm_scoring.word_hashes(line[:0], own.first)[0].size == 0
 
 
