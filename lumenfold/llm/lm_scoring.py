@@ -38,7 +38,7 @@ from lumenfold.llm.common import discard, documents, stash
 RADIX, DIM, HIDDEN, CONTEXT, STRIDE = 24, 16, 32, 32, 24
 CLASSES = RADIX * RADIX
 BUCKETS, OWN = 4096, 4032  # embedding rows, and those that one frequent id has for itself
-HEAVY, FAN_IN, LEAST, BATCH, RATE, SEED, SMOOTH = 1_000_000, 16, 16, 64, 0.1, 5, 20.0
+HEAVY, FAN_IN, LEAST, BATCH, RATE, SEED, SMOOTH = 4_000_000, 16, 16, 64, 0.1, 5, 20.0
 ROUNDS, SLICE = 4, 1_000_000  # averaged rounds of training; ids of a copy in a round
 KEPT = 600_000  # words that a worker keeps, and counts before it passes the counts on
 ROWS = 250  # documents that a worker unpacks at a time
@@ -287,8 +287,7 @@ class Network:
         self.v, self.flat, self.w, self.kind = v, flat, views(flat), flat.dtype
         self.slopes = np.zeros_like(flat)
         self.g = views(self.slopes)
-        self.place, self.numbers = np.zeros(BUCKETS, np.int64), np.arange(max(BATCH * CONTEXT, BUCKETS))
-        self.cells, self.starts = self.numbers[:, None] * DIM + np.arange(DIM), self.numbers * RADIX
+        self.starts = np.arange(BATCH * CONTEXT) * RADIX
         self.rooms: dict[str, np.ndarray] = {}
         self.past = np.tril(np.ones((CONTEXT, CONTEXT), self.kind))
         self.ones, self.eye = np.ones(max(CONTEXT, RADIX, DIM), self.kind), np.eye(RADIX, dtype=self.kind)
@@ -312,11 +311,14 @@ class Network:
             np.minimum(x, HIGHEST, out=x)
         return np.exp(x, out=x)
 
-    def forward(self, inputs: np.ndarray, targets: np.ndarray, learning: bool = False) -> np.ndarray | None:
-        """Natural log probabilities (windows, CONTEXT) of the targets' classes after the input ids; none while learning, which needs none."""
+    def forward(self, inputs: np.ndarray, targets: np.ndarray, learning: bool = False, skip: int = 0) -> np.ndarray | None:
+        """Natural log probabilities (windows, CONTEXT - skip) of the targets' classes after the input ids; none while learning, which needs none.
+
+        skip: the first places of each window, which only give context.
+        """
         w, v, (n, t) = self.w, self.v, inputs.shape
-        source, target = inputs.reshape(-1), targets.reshape(-1)
-        self.rows, before, digit, rest = v.row.take(source), v.code.take(source), v.digit.take(target), v.rest.take(target)
+        target = targets[:, skip:].reshape(-1)
+        self.rows, before, digit, rest = v.row.take(inputs.reshape(-1)), v.code.take(inputs[:, skip:].reshape(-1)), v.digit.take(target), v.rest.take(target)
         x = self.x = self.taken(w["emb"], self.rows, "x")
         cube = x.reshape(n, t, DIM)
         cube += w["pos"]
@@ -325,13 +327,13 @@ class Network:
         self.q, self.k, self.val = (qkv[:, :, i * DIM : (i + 1) * DIM] for i in range(3))
         turned = self.room("turned", n, DIM, t)
         turned[:] = self.k.transpose(0, 2, 1)
-        a = self.a = self.exponentials(self.times(self.q, turned, "a"))
-        a *= self.past
+        a = self.a = self.exponentials(self.times(self.q[:, skip:], turned, "a"))
+        a *= self.past[skip:]
         self.low = a.reshape(-1, t) @ self.ones[:t]
         av = self.av = self.times(a, self.val, "av").reshape(-1, DIM)
         av /= self.low[:, None]
         z = self.z = self.times(av, w["o"], "z")
-        z += x
+        z.reshape(n, t - skip, DIM)[:] += cube[:, skip:]
         hidden = self.hidden = self.times(z, w["in"], "hidden")
         hidden += np.abs(hidden, out=self.room("size", *hidden.shape))  # twice the positive part
         top = self.top = self.times(hidden, w["back"], "top")
@@ -349,7 +351,7 @@ class Network:
             if total is not None:
                 total -= np.log(s)
             self.parts.append((u, p, own, s))
-        return None if total is None else total.reshape(targets.shape)
+        return None if total is None else total.reshape(n, t - skip)
 
     def backward(self, weight: np.ndarray) -> None:
         """Gradients, into g, of the weighted negative log likelihood of the batch that forward() has just seen; of the embeddings into `pulls`, a row for each in `touched`."""
@@ -383,21 +385,21 @@ class Network:
         ds -= mean.reshape(n, t, 1)
         ds *= self.a
         d = self.room("d", n, t, 3 * DIM)
-        d[:, :, 2 * DIM :] = self.times(self.a.transpose(0, 2, 1), dav, "part")
         d[:, :, :DIM] = self.times(ds, self.k, "part")
         d[:, :, DIM : 2 * DIM] = self.times(ds.transpose(0, 2, 1), self.q, "part")
+        d[:, :, 2 * DIM :] = self.times(self.a.transpose(0, 2, 1), dav, "part")
         d = d.reshape(-1, 3 * DIM)
         np.matmul(self.x.T, d, out=g["qkv"])
         g["qkv"] *= self.scales
         dx = self.times(d, self.into.T, "dx")
         dx += dz
         dx.reshape(n, t, DIM).sum(0, out=g["pos"])
-        there = np.zeros(BUCKETS, bool)
-        there[self.rows] = True
-        self.touched = np.flatnonzero(there)
-        self.place[self.touched] = self.numbers[: len(self.touched)]
-        cells = self.cells.take(self.place.take(self.rows), 0)
-        self.pulls = np.bincount(cells.reshape(-1), dx.reshape(-1), len(self.touched) * DIM).reshape(-1, DIM).astype(self.kind)
+        order = np.argsort(self.rows.astype(np.uint16), kind="stable")
+        rows = self.rows.take(order)
+        last = np.concatenate([np.flatnonzero(rows[1:] != rows[:-1]), [len(rows) - 1]])
+        sums = np.cumsum(self.taken(dx, order, "sorted"), axis=0, out=self.room("sums", *dx.shape)).take(last, 0)
+        sums[1:] -= sums[:-1].copy()
+        self.touched, self.pulls = rows.take(last), sums
 
     def step(self, squares: np.ndarray, weight: np.ndarray) -> None:
         """One step of Adagrad, on all weights but the embeddings of ids that the batch lacks."""
@@ -415,7 +417,10 @@ class Network:
 
 
 def windows(texts: list[np.ndarray], stride: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(inputs, targets, fresh, place of the text) of up to BATCH windows at a time: fresh marks targets that no earlier window holds."""
+    """(inputs, targets, fresh, place of the text) of up to BATCH windows at a time: fresh marks targets that no earlier window holds.
+
+    Where windows overlap, texts' first windows come in batches of their own: in all others, the overlap is context only.
+    """
     if not texts:
         return
     line = np.concatenate([x for text in texts for x in ([END], text)] + [[END]])
@@ -424,8 +429,13 @@ def windows(texts: list[np.ndarray], stride: int) -> Iterator[tuple[np.ndarray,
     row = np.repeat(np.arange(len(texts)), many)
     start = (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * stride
     before, step = np.cumsum(n) - n, np.arange(CONTEXT)
-    for k in range(0, len(row), BATCH):
-        own, first = row[k : k + BATCH], start[k : k + BATCH, None]
+    if stride < CONTEXT:
+        order = np.argsort(start > 0, kind="stable")
+        row, start = row[order], start[order]
+    firsts = int((start == 0).sum()) if stride < CONTEXT else len(row)
+    for k in [*range(0, firsts, BATCH), *range(firsts, len(row), BATCH)]:
+        upto = k + BATCH if k >= firsts else min(k + BATCH, firsts)
+        own, first = row[k:upto], start[k:upto, None]
         at, last = first + step, n[own, None]
         fresh = (at < last) & ((step >= CONTEXT - stride) | (first == 0))
         at = np.minimum(at, last - 1) + before[own, None]
@@ -535,9 +545,10 @@ def scored(path: str, v: Vocabulary, weights: np.ndarray, hashes: np.ndarray, va
             texts = texts_of(b)
             score = np.zeros(len(texts))
             for inputs, targets, fresh, row in windows(texts, STRIDE):
-                logp = network.forward(inputs, targets)
-                logp += v.share.take(targets)
-                score += np.bincount(row, np.where(fresh, logp, 0).sum(1, dtype=float), len(texts))
+                skip = 0 if fresh[0, 0] else CONTEXT - STRIDE
+                logp = network.forward(inputs, targets, skip=skip)
+                logp += v.share.take(targets[:, skip:])
+                score += np.bincount(row, (logp * fresh[:, skip:]).sum(1, dtype=float), len(texts))
             h, at = word_hashes(np.concatenate(texts), first)
             row = np.searchsorted(np.cumsum([len(x) for x in texts]), at, side="right")
             distinct, where = np.unique(h, return_inverse=True)
