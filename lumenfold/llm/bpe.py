@@ -18,7 +18,7 @@ from lumenfold.llm.common import documents, text_or_empty
 
 #: Fixed: how byte-level vocabularies cut a text before merging. White space as Unicode has it.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-CACHED, CACHED_LONG = 800_000, 32  # pieces kept in a worker, and their length at most; others are encoded each time
+CACHED, CACHED_LONG = 400_000, 32  # pieces kept in each of a worker's two generations, and their length at most; others are encoded each time
 
 
 def default_vocabulary() -> str:
@@ -56,6 +56,7 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.pieces = regex.compile(PIECES)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before: what is used again moves to the newer, the rest goes with it
         self.kept = kept
 
     def merged(self, data: bytes) -> list[int]:
@@ -88,13 +89,16 @@ class Codec:
         return [i for i in ids if i >= 0]
 
     def packed(self, piece: str) -> bytes:
-        ids = array("I", self.merged(piece.encode()))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        found = ids.tobytes()
+        """The packed ids of a piece that the newer generation lacks."""
+        found = self.older.get(piece)
+        if found is None:
+            ids = array("I", self.merged(piece.encode()))
+            if sys.byteorder == "big":
+                ids.byteswap()
+            found = ids.tobytes()
         if len(piece) <= CACHED_LONG:
             if len(self.cache) >= self.kept:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[piece] = found
         return found
 

@@ -50,3 +50,17 @@ def keep_rows(docs: DataFrame, keys: list[tuple[str, Column]], kept: DataFrame)
     rows = docs.join(kept, on, "left_semi")
     again = Window.partitionBy(*names).orderBy(*names)
     return rows.withColumn("__n", F.row_number().over(again)).filter("__n = 1").drop("__n", *names)
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the columns of classes, one row a key, of which `size` counts the rows.
+
+    Classes of at least one row in 10,000, so at most 10,000 of them, are broadcast to their rows; the others are
+    exchanged, and none is large there.
+    """
+    classes = classes.withColumnRenamed(key, "__key")
+    least = rows.count() / 10_000
+    hot = F.broadcast(classes.filter(F.col(size) >= least))
+    cold, names = classes.filter(F.col(size) < least), F.broadcast(classes.filter(F.col(size) >= least).select("__key"))
+    on = F.col(key) == F.col("__key")
+    return rows.join(hot, on).unionByName(rows.join(names, on, "left_anti").join(cold, on)).drop("__key")

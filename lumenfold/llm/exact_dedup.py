@@ -38,7 +38,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each input row: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. keep: which id of a group stays, "smallest" or "largest".
-    Nulls: a null text counts as empty; a null id loses to any other. Ties: of rows with the same id and text one, and
+    Nulls: a null text counts as empty; a null id loses to any other. Very long texts are hashed whole. Ties: of rows with the same id and text one, and
     only one, has kept = true. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     rows = digests(docs, id_col, text_col)
@@ -66,7 +66,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """docs without exact copies; all columns stay. Of rows with the same id and text, one stays."""
+    """docs without exact copies; all columns stay. Of rows with the same id and text, one stays.
+
+    Nulls, long texts and ties as in exact_groups; an empty table gives an empty result.
+    """
     kept = exact_groups(docs, keep=keep).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
     return keep_rows(docs, [("id", F.col("doc_id")), ("sha", F.sha2(lower_ascii(text_or_empty()), 256))], kept)
 

@@ -122,8 +122,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, most: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_rows: int = LABEL_ROWS) -> DataFrame:
     """One row for each input row: id, n_tokens (words), p_<domain>, rate, copies (rate rounded up or down by a hash of the id).
 
-    Nulls: a null text has no tokens and the prior posteriors; a null id is hashed as 0. Repeated rows get equal rates and
-    copies. An empty table gives an empty result. Other columns are ignored, whatever their names.
+    Nulls: a null text has no tokens and the prior posteriors; a null id is hashed as 0. Very long texts are classified
+    whole. Ties don't arise. Repeated rows get equal rates and copies. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     model = fit_classifier(docs, labels, id_col, text_col, label_rows)
     members = stash(docs.select(F.col(id_col).alias("id"), posteriors(text_or_empty(text_col), model).alias("m")).select("id", "m.*"), "members")
@@ -137,7 +137,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 def thin(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """docs thinned to the targets, each at most once; all columns stay. The budget keeps the first domain whole, as far as its tokens go.
 
-    Rows are told apart by id and text: those that agree in both stay or go together, one of them; rows that share an id, or have none, are drawn each for itself.
+    Nulls: a null text has the prior posteriors and stays or goes by them; null labels are left out. Very long texts are
+    classified whole. An empty table gives an empty result. Rows are told apart by id and text: those that agree in both stay or go together, one of them; rows that share an id, or have none, are drawn each for itself.
     """
     model = fit_classifier(docs, labels)
     sha = F.unhex(F.sha2(text_or_empty(), 256))

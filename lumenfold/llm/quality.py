@@ -1,21 +1,23 @@
 """Quality rules as a short-circuit cascade: cheap rules that reject much come first.
 
-Each rule is a Boolean column (true: the document fails) and a cost column (units of work on that document). Both are
-averaged over a bounded sample; rules are ordered by rejection per cost, and a CASE evaluates them in that order, so a
-document pays for rules only up to the first that rejects it. The order can't change a verdict, which is the
-conjunction of all rules; only the reported rule (the first that rejects) depends on it.
+Each rule is a Boolean column (true: the document fails). On a sample drawn from all partitions, each rule is run alone:
+how many documents it rejects is its selectivity, how long that takes its cost. Rules are ordered by rejection per cost,
+and a CASE evaluates them in that order, so a document pays for rules only up to the first that rejects it. The order
+can't change a verdict, which is the conjunction of all rules; only the reported rule (the first that rejects) depends
+on it.
 """
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import documents, let, text_or_empty, words_of
+from lumenfold.llm.common import discard, documents, let, stash, text_or_empty, words_of
 
-SAMPLE_ROWS = 1000  # that costs and selectivities are estimated on, at most; verdicts don't depend on it
+SAMPLE_ROWS, SEED, TIMED = 1000, 11, 2  # rows of the sample, about; its seed; how often a rule is timed. Verdicts don't depend on them
 
 
 def n_symbols(text: Column) -> Column:
@@ -43,7 +45,8 @@ def n_repeat_words(words: Column, window: int = 3) -> Column:
 
     def covered(hs: Column) -> Column:
         keyed = F.sort_array(F.transform(hs, lambda h, k: F.struct(h.alias("h"), k.alias("k"))))
-        return let(keyed, lambda s: covered_by(F.array_sort(F.filter(F.transform(s, lambda x, i: F.when((x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]), x["k"])), lambda k: k.isNotNull()))))
+        again = lambda s: lambda x, i: F.when((x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]), x["k"])
+        return let(keyed, lambda s: covered_by(F.array_sort(F.filter(F.transform(s, again(s)), lambda k: k.isNotNull()))))
 
     def covered_by(starts: Column) -> Column:
         zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
@@ -54,28 +57,33 @@ def n_repeat_words(words: Column, window: int = 3) -> Column:
 
 
 def word_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (columns of these names are replaced)."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (columns of these names are replaced).
+
+    Nulls: a null text counts as empty, so all numbers are 0. Very long texts are counted whole, in one row's arrays of
+    words. Ties and repeated rows: each row is counted alone. An empty table gives an empty result.
+    """
     text = text_or_empty(text_col)
-    found = let(words_of(text), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w)).cast("long").alias("word_chars"), n_repeat_words(ws).cast("long").alias("n_repeat_words")))
-    own = docs.withColumn("__w", found)
-    return own.withColumns({"n_words": F.col("__w.n_words"), "word_chars": F.col("__w.word_chars"), "n_symbols": n_symbols(text).cast("long"), "n_dup_lines": n_dup_lines(text).cast("long"), "n_repeat_words": F.col("__w.n_repeat_words")}).drop("__w")
+
+    def of(ws: Column) -> Column:
+        chars = F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w))
+        return F.struct(F.size(ws).cast("long").alias("n_words"), chars.cast("long").alias("word_chars"), n_repeat_words(ws).cast("long").alias("n_repeat_words"))
+
+    own = docs.withColumn("__w", let(words_of(text), of))
+    counts = {name: F.col(f"__w.{name}") for name in ("n_words", "word_chars", "n_repeat_words")}
+    return own.withColumns(counts | {"n_symbols": n_symbols(text).cast("long"), "n_dup_lines": n_dup_lines(text).cast("long")}).drop("__w")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """fails and cost are expressions over the text and, with needs="words", over its words."""
+    """fails is an expression over __text and __words."""
 
     name: str
     fails: Column
-    cost: Column
 
 
 def base_rules(words: Column) -> list[Rule]:
     n = F.size(words)
-    return [
-        Rule("too_few_words", n < 50, n),
-        Rule("repeated_words", 100 * n_repeat_words(words) > 50 * n, n * (F.lit(2) + F.log2(n + F.lit(2)))),
-    ]
+    return [Rule("too_few_words", n < 50), Rule("repeated_words", 100 * n_repeat_words(words) > 50 * n)]
 
 
 def added_rules(text: Column, words: Column) -> list[Rule]:
@@ -84,22 +92,48 @@ def added_rules(text: Column, words: Column) -> list[Rule]:
     lines = F.size(F.split(text, "\n", -1))
     word_chars = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
     return [
-        Rule("symbols", n_symbols(text) > F.lit(0.25) * chars, chars),
-        Rule("duplicate_lines", (lines >= 8) & (n_dup_lines(text) > F.lit(0.6) * lines), chars + 4 * lines),
-        Rule("word_length", (word_chars < F.lit(1.5) * n) | (word_chars > F.lit(25) * n), n),
-        Rule("no_letters", F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) < F.lit(0.2) * chars, 3 * chars),
+        Rule("symbols", n_symbols(text) > F.lit(0.25) * chars),
+        Rule("duplicate_lines", (lines >= 8) & (n_dup_lines(text) > F.lit(0.6) * lines)),
+        Rule("word_length", (word_chars < F.lit(1.5) * n) | (word_chars > F.lit(25) * n)),
+        Rule("no_letters", F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) < F.lit(0.2) * chars),
     ]
 
 
+def measured(sample: DataFrame, rules: list[Rule]) -> dict[str, tuple[float, float]]:
+    """{rule: (share rejected, seconds)}: each rule alone over the sample (__text, __words), the best of TIMED runs, less those of an empty run."""
+
+    def timed(fails: Column) -> tuple[int, float]:
+        best = None
+        for _ in range(TIMED):
+            began = time.perf_counter()
+            rejected = sample.agg(F.count_if(fails)).first()[0]
+            took = time.perf_counter() - began
+            best = took if best is None else min(best, took)
+        return rejected, best
+
+    n, idle = timed(F.col("__text").isNotNull())
+    out = {}
+    for r in rules:
+        rejected, took = timed(r.fails)
+        out[r.name] = rejected / max(n, 1), max(took - idle, 1e-3)
+    return out
+
+
 def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejection per cost, both means over at most sample_rows documents; ties by name. On an empty table, as given."""
-    outcomes = docs.select(*[c for k, r in enumerate(rules) for c in (r.fails.cast("double").alias(f"r{k}"), r.cost.cast("double").alias(f"c{k}"))])
-    sample = outcomes.limit(sample_rows).collect()  # two numbers a rule; Spark reads partitions only until there are enough
-    if not sample:
+    """Rules by rejection per measured cost, over a sample of about sample_rows documents of all partitions; ties by name.
+
+    docs: __text, __words. The sample is written, so that a rule's time is its own and not that of reading. On an empty
+    table, as given.
+    """
+    n = docs.count()
+    if not n:
         return rules
-    mean = lambda c: sum(row[c] for row in sample) / len(sample)
-    gain = {r.name: mean(f"r{k}") / max(mean(f"c{k}"), 1e-9) for k, r in enumerate(rules)}
-    return sorted(rules, key=lambda r: (-gain[r.name], r.name))
+    share = min(1.0, sample_rows / n)
+    drawn = docs.select("__text").sample(fraction=share, seed=SEED).limit(4 * sample_rows)  # a sample's size varies; by far less than this
+    sample = stash(drawn.withColumn("__words", words_of(F.col("__text"))).coalesce(1), "quality-sample")
+    found = measured(sample, rules)
+    discard(sample)
+    return sorted(rules, key=lambda r: (-found[r.name][0] / found[r.name][1], r.name))
 
 
 def first_failure(rules: list[Rule]) -> Column:
@@ -113,8 +147,9 @@ def first_failure(rules: list[Rule]) -> Column:
 def judged(docs: DataFrame, text_col: str = "text", base: bool = True, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with rejected_by, the first rule of the cascade that the document fails, or null.
 
-    Nulls: a null text counts as empty, and fails too_few_words. Ties and repeated rows: each row is judged alone, so
-    equal texts get equal verdicts. An empty table gives an empty result. A column named rejected_by is replaced.
+    Nulls: a null text counts as empty, and fails too_few_words. Very long texts are judged whole, in one row. Ties and
+    repeated rows: each row is judged alone, so equal texts get equal verdicts. An empty table gives an empty result. A
+    column named rejected_by is replaced; others stay as they are, whatever their names.
     """
     words = F.col("__words")
     with_words = docs.withColumn("__text", text_or_empty(text_col)).withColumn("__words", words_of(F.col("__text")))
@@ -123,14 +158,19 @@ def judged(docs: DataFrame, text_col: str = "text", base: bool = True, sample_ro
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that no rule rejects; all columns stay."""
+    """The documents that no rule rejects; all columns stay.
+
+    Nulls: a null text goes, as an empty one does; null ids and other columns don't matter. Very long texts are judged
+    whole. Repeated rows stay or go together. An empty table gives an empty result.
+    """
     return judged(docs).filter("rejected_by IS NULL").drop("rejected_by")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = word_stats(judged(documents(spark, sf_dir).select("doc_id", "text"), base=False))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"))
+    kept = ~failed & F.col("rejected_by").isNull()
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"))
 
 
 QUERIES = {"op6_quality": op6_quality}

@@ -86,8 +86,9 @@ def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """One row for each input row: id, spans array<struct<start, rank, kind, end>> by start, then kind as listed (linked last).
 
-    Nulls: a null text has no spans; a null id stays null. Repeated rows are scanned each for itself. An empty table
-    gives an empty result. Other columns are ignored, whatever their names.
+    Nulls: a null text has no spans; a null id stays null. Very long texts are scanned whole; parts have no upper
+    length. Ties: spans that start together are ordered by kind. Repeated rows are scanned each for itself. An empty
+    table gives an empty result. Other columns are ignored, whatever their names.
     """
     rows = scanned(docs, id_col, text_col)
     spans = placed(rows)
@@ -113,7 +114,7 @@ def _oracle() -> str:
             SELECT rid, k, m, v, sum(length(p) + length(m)) OVER (PARTITION BY rid ORDER BY k) AS end_ FROM (
                 SELECT rid, unnest(range(1, len(ms) + 1)) AS k, unnest(ps[1:len(ms)]) AS p, unnest(ms) AS m, unnest(vs) AS v FROM (
                     SELECT rid, string_split_regex(t, {quote(pattern)}) AS ps, regexp_extract_all(t, {quote(pattern)}, 0) AS ms, regexp_extract_all(t, {quote(pattern)}, {group}) AS vs FROM d)))
-            WHERE length(v) >= {least}{" AND length(v) <= 128 AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')" if kind == "weak" else ""}"""
+            WHERE length(v) >= {least}{" AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')" if kind == "weak" else ""}"""
         for kind, pattern, group, least in PATTERNS
     )
     return f"""

@@ -4,11 +4,13 @@ Each different fingerprint gets its Hamming distances to a table of reference fi
 inequality, two fingerprints within `most` bits differ by at most `most` in every coordinate, so a pair whose maximum
 coordinate difference is larger is discarded without being compared; survivors are verified bit by bit.
 
-Pivot tables alone can't deal the work out: random 64-bit codes lie at 32 +- 4 bits from any pivot. So pairs meet
-by exact blocks first: of `blocks` bit blocks, at least blocks - most agree in any pair within `most` bits, and one
-exchange for each choice of that many blocks brings them together (every link is found, none is sampled). Within a
-block group, pivot tables prune and only a spanning forest of the links is written, so a dense group of g fingerprints
-writes at most g - 1 rows. Groups above `chunk` fingerprints are cut into chunks, each pair of chunks a group of its own.
+Pivot tables alone can't deal the work out: random 64-bit codes lie at 32 +- 4 bits from any pivot, so cells of
+`most` + 1 distances with their neighbours hold most of all codes. So pairs meet by exact blocks first: of `blocks` bit
+blocks, at least blocks - most agree in any pair within `most` bits, and one exchange for each choice of that many blocks
+brings them together (every link is found, none is sampled). Within a block group, rows are sorted by the first pivot's
+distance and held only against those near in it, pivot tables discard pairs, and only a spanning forest of the links is
+written, so a dense group of g fingerprints writes at most g - 1 rows. Groups above `chunk` fingerprints are cut into
+chunks, each pair of chunks a group of its own.
 """
 
 from __future__ import annotations
@@ -19,15 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
 from pyspark.sql.types import LongType
 
-from lumenfold.llm.common import documents, stash
+from lumenfold.llm.common import discard, documents, join_classes, stash
 
 SHINGLE, SEED, MOST, PIVOTS, CHUNK = 4, 42, 4, 24, 4096
 PIECE = 200_000  # shingles counted at a time
+SALTS = 8  # over how many keys a component's members are dealt in joins on its root
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -44,9 +46,14 @@ def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(LongType())
-def fingerprint_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(bytes(x or b"")) for x in texts], dtype=np.uint64).astype(np.int64))
+def fingerprint_of(text: Column, shingle: int = SHINGLE) -> Column:
+    """Of a binary column, as a signed number; a null counts as empty."""
+
+    @F.pandas_udf(LongType())
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(bytes(x or b""), shingle) for x in texts], dtype=np.uint64).astype(np.int64))
+
+    return run(text)
 
 
 def pivot_table(fps: np.ndarray, n: int = PIVOTS) -> np.ndarray:
@@ -55,11 +62,12 @@ def pivot_table(fps: np.ndarray, n: int = PIVOTS) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
 
 
-def forest(groups: np.ndarray, sides: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(groups: np.ndarray, sides: np.ndarray, fps: np.ndarray, most: int, tally: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (fingerprint, smallest fingerprint reached) within each group; fps are unsigned, groups sorted or not.
 
     Sorted by group and first pivot distance, each row is held against the k-th after it, for k = 1, 2, ..., as long
-    as that is in its group and within `most` on the first pivot; then all pivots, then the bits.
+    as that is in its group and within `most` on the first pivot; then all pivots, then the bits. tally: counts the
+    pairs that reach the pivot table ("met") and those that it leaves ("left").
     """
     table = pivot_table(fps)
     order = np.lexsort((table[:, 0], groups))
@@ -81,7 +89,10 @@ def forest(groups: np.ndarray, sides: np.ndarray, fps: np.ndarray, most: int) ->
         near = (groups[active] == groups[other]) & (table[other, 0] - table[active, 0] <= most)
         active, other = active[near], other[near]
         a = active[(root[active] != root[other]) & ((sides[active] != sides[other]) | (sides[active] < 0))]
+        met = len(a)
         a = a[(np.abs(table[a] - table[a + k]).max(1) <= most)] if len(a) else a
+        if tally is not None:
+            tally["met"], tally["left"] = tally.get("met", 0) + met, tally.get("left", 0) + len(a)
         a = a[np.bitwise_count(fps[a] ^ fps[a + k]) <= most]
         if len(a):
             for x in a.tolist():
@@ -114,10 +125,18 @@ def link_groups(most: int):
     return run
 
 
+def blocks_for(n: int, most: int) -> int:
+    """Into how many bit blocks n fingerprints are cut. Any number above `most` gives the same links; more blocks are more rows in smaller groups.
+
+    With two agreeing blocks of six (21 bits), a group of random fingerprints has n / 2**21 members; from 2**26 on,
+    three of seven (27 bits) keep groups as small.
+    """
+    return most + 2 if n < 2**26 else most + 3
+
+
 def links(fps: DataFrame, most: int = MOST, chunk: int = CHUNK, blocks: int | None = None) -> DataFrame:
     """(a, b) over the different fingerprints (column fp): enough links within `most` bits to connect all that are connected."""
-    if blocks is None:
-        blocks = most + 2 if fps.count() < 2**26 else most + 3
+    blocks = blocks or blocks_for(fps.count(), most)
     edges = [64 * k // blocks for k in range(blocks + 1)]
     masks = [sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in own) for own in itertools.combinations(range(blocks), blocks - most)]
     signed = [m - 2**64 if m >= 2**63 else m for m in masks]
@@ -126,43 +145,69 @@ def links(fps: DataFrame, most: int = MOST, chunk: int = CHUNK, blocks: int | No
     big = rows.groupBy("block").count().filter(F.col("count") > chunk).select("block", F.ceil(F.col("count") / chunk).cast("int").alias("n"))
     cut = rows.join(big, "block", "left").withColumn("own", F.when(F.col("n").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("fp", F.lit(1)), F.col("n")).cast("int")))
     # chunk i meets chunk j in part min * n + max; in a part of two chunks, only pairs across are held against each other
-    meets = F.when(F.col("n").isNull(), F.array(F.struct(F.lit(-1).cast("long").alias("part"), F.lit(-1).cast("long").alias("side")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1), lambda j: F.struct((F.least("own", j) * F.col("n").cast("long") + F.greatest("own", j)).alias("part"), F.when(j == F.col("own"), F.lit(-1)).otherwise(F.col("own")).cast("long").alias("side")))
-    )
+    alone = F.struct(F.lit(-1).cast("long").alias("part"), F.lit(-1).cast("long").alias("side"))
+
+    def met(j: Column) -> Column:
+        part = F.least("own", j) * F.col("n").cast("long") + F.greatest("own", j)
+        side = F.when(j == F.col("own"), F.lit(-1)).otherwise(F.col("own")).cast("long")
+        return F.struct(part.alias("part"), side.alias("side"))
+
+    meets = F.when(F.col("n").isNull(), F.array(alone)).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1), met))
     dealt = cut.select("block", "fp", F.inline(meets)).select("block", "part", "side", "fp")
     sorted_groups = dealt.repartition("block", "part").sortWithinPartitions("block", "part")
     return sorted_groups.mapInPandas(link_groups(most), "a bigint, b bigint").distinct()
 
 
+def salted(rows: DataFrame, by: str) -> DataFrame:
+    """rows with a salt by a column that tells them apart."""
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table once for each salt: what salted rows join, so that those of a hot key meet it in SALTS tasks."""
+    return table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node in edges (a, b): root is the smallest node reached. Minimum labels, with labels followed to their labels each round; each round is written."""
+    """(node, root) of every node in edges (a, b): root is the smallest node reached.
+
+    Minimum labels, with labels followed to their labels each round; each round is written, and the one before deleted.
+    Joins on a neighbour or a root are salted, as one may have a third of all nodes.
+    """
     both = stash(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    first = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+    labels = written = stash(first, "labels")
     while True:
-        met = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("m")).select(F.col("a").alias("node"), "m")
-        lower = labels.join(met, "node").select("node", "root", F.least("root", "m").alias("next"))
+        met = salted(both, "a").join(spread(labels.withColumnRenamed("node", "b")), ["b", "__salt"])
+        lowest = met.groupBy("a").agg(F.min("root").alias("m")).select(F.col("a").alias("node"), "m")
+        lower = labels.join(lowest, "node").select("node", "root", F.least("root", "m").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        following = stash(lower.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), (F.col("root") != F.least("next", F.coalesce("far", "next"))).alias("moved")), "labels")
+        new = F.least("next", F.coalesce("far", "next"))
+        followed = salted(lower, "node").join(spread(jump), ["next", "__salt"], "left")
+        following = stash(followed.select("node", new.alias("root"), (F.col("root") != new).alias("moved")), "labels")
         moved = following.filter("moved").limit(1).count()
-        labels = following.select("node", "root")
+        discard(written)
+        labels, written = following.select("node", "root"), following
         if not moved:
             return labels
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, shingle: int = SHINGLE) -> DataFrame:
     """One row for each input row: id, fp (signed 64 bits), component_id (smallest id in the component).
 
     Nulls: a null text counts as empty (fingerprint zero, linked like any other); a null id never is the smallest, and
-    a component of null ids only has a null component_id. Repeated rows stay, each with its row. An empty table gives an
-    empty result. Other columns are ignored, whatever their names.
+    a component of null ids only has a null component_id. Very long texts are taken whole, their shingles counted PIECE
+    at a time. Ties and repeated rows stay, each with its row. An empty table gives an empty result. Other columns are
+    ignored, whatever their names.
     """
-    rows = stash(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col).cast("binary")).alias("fp")), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    found = components(links(classes.select("fp"), most))
-    rooted = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = stash(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return rows.join(of_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    rows = stash(docs.select(F.col(id_col).alias("id"), fingerprint_of(F.col(text_col).cast("binary"), shingle).alias("fp")), "fingerprints")
+    classes = stash(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-classes")
+    found = components(links(classes.select("fp"), most)).withColumnRenamed("node", "fp")
+    linked = classes.select("fp", "least").join(found, "fp")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_linked = salted(linked, "fp").join(spread(least), ["root", "__salt"]).select("fp", "component_id")
+    of_fp = stash(classes.join(of_linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "components")
+    return join_classes(rows, of_fp, "fp", "n").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

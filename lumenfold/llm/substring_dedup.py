@@ -1,16 +1,18 @@
-"""Repeated-substring removal: suffixes in buckets, ties resolved by a cover sample, nothing sorted as a whole.
+"""Repeated-substring removal by a cover sample of positions, in buckets; no suffix is sorted.
 
 A byte goes if a `window`-byte string that covers it also starts earlier (smaller document, or same document and
-earlier). As in difference-cover construction, a sparse sample of positions is ranked (named) first, such that any two
-equal windows hold a sampled position at the same offset; suffixes are then sorted bucket by bucket, and long ties fall
-to the names of the sample. The sample here is chosen by content: the position of the smallest GRAM-byte hash in
-each window (about 4 % of positions, where a cover by residues would take 14 %, and insertions don't shift it).
+earlier). This stands in for the difference-cover construction of a suffix array. What it keeps of that: a sparse
+sample of positions such that any two equal windows hold a sampled position at the same offset, names of the sample's
+strings that resolve long ties, and work in buckets whose memory is bounded. What it doesn't: the sample is chosen by
+content, the position of the smallest GRAM-byte hash in each window (about 4 % of positions, where a cover by residues
+would take 14 % and be shifted by every insertion), strings are told apart by 128-bit hashes, and their order is never
+needed, so nothing is sorted as suffixes. The README has the figures behind the choice.
 
 1. All windows with the same sampled position form a segment, named by (hash of the gram, hash of all its bytes). Equal
    segments meet in one bucket; all but the earliest repeat whole. A batch first settles its own repeats, so a hot
    passage or a group of copies has one row a batch, not one a document.
-2. Where a gram has several different segments, the windows of each segment's earliest occurrence are compared: their
-   suffixes are sorted in buckets by hash order, again after each batch has settled its own.
+2. Where a gram has several different segments, the windows of each segment's earliest occurrence are compared, by
+   hashes in buckets, again after each batch has settled its own.
 3. Repeats travel back to their documents as intervals, and the rest of the text is cut out there.
 """
 
@@ -208,21 +210,22 @@ def repeats(rows: DataFrame) -> tuple[Column, Column]:
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
     """(key, text as bytes), and (key, id) where ids can't be keys: keys are unique and ordered as documents are.
 
-    Ids serve where they are unique and not null; else rows are sorted by (id, nulls last, text) and numbered.
+    Ids serve where they are whole numbers, unique and not null; else (strings, too) rows are sorted by (id, nulls last, text) and numbered.
     """
     own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    odd = own.groupBy("id").count().filter("id IS NULL OR count > 1").limit(1).count()
-    if not odd:
-        return own.select(F.col("id").cast("bigint").alias("key"), "text").filter("key IS NOT NULL"), None
+    whole = dict(own.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
+    if whole and not own.groupBy("id").count().filter("id IS NULL OR count > 1").limit(1).count():
+        return own.select(F.col("id").cast("bigint").alias("key"), "text"), None
     ordered = own.orderBy(F.col("id").asc_nulls_last(), "text")
     numbered = stash(ordered.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "ordered-documents")
-    return numbered.select("key", "text").filter("key IS NOT NULL"), numbered.select("key", "id")
+    return numbered.select("key", "text"), numbered.select("key", "id")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row for each input row: id, n_bytes, removed array<struct<start, end>> (maximal byte runs), kept (the other bytes).
 
-    Texts are UTF-8 bytes; a cut may fall inside a character. Nulls: a null text is empty; null ids come last. Ties: rows
+    Texts are UTF-8 bytes; a cut may fall inside a character. Nulls: a null text is empty; null ids come last. Ids may be
+    of any type that has an order. Very long texts are taken whole, in arrays of some 60 bytes a byte of text. Ties: rows
     that share an id count as documents of their own, in the order of their texts, so a repeated row loses what the
     first has. Texts shorter than window keep all. An empty table gives an empty result. Other columns are ignored.
     """
