@@ -56,6 +56,11 @@ def longs(xs) -> Column:
     return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
 
 
+def literal(x: int) -> str:
+    """A bigint in SQL, which has no literal for the lowest."""
+    return f"(-{HIGHEST}L - 1L)" if x == LOWEST else f"{x}L"
+
+
 def at(xs: Column, k: Column) -> Column:
     return F.get(xs, k.cast("int"))
 
@@ -100,9 +105,9 @@ def counted(keys: DataFrame, intervals: list[Interval], probes: int) -> dict[int
             rows = keys.withColumn("__k", place).filter((F.col("__k") >= 0) & (value <= at(his, F.col("__k"))))
             rows = rows.select("size", value.alias("v"), at(names, F.col("__k")).cast("int").alias("i"), at(los, F.col("__k")).alias("lo"), step.alias("step"))
         else:
-            data = [(i, *intervals[i].fixed, intervals[i].lo, intervals[i].hi, str(steps[i])) for i in own]
-            fixed = [f"f{k}" for k in range(level)]
-            table = spark.createDataFrame(data, ", ".join(["i int", *[f"{f} long" for f in fixed], "lo long", "hi long", "step string"]))
+            data = ",".join(f"({i},{','.join(map(literal, (*intervals[i].fixed, intervals[i].lo, intervals[i].hi)))},{steps[i]}BD)" for i in own)
+            fixed = ",".join(f"f{k}" for k in range(level))
+            table = spark.sql(f"SELECT * FROM VALUES {data} AS t(i,{fixed},lo,hi,step)")
             table = F.broadcast(table.withColumn("step", F.col("step").cast("decimal(20,0)")))  # at most as many rows as boundaries
             on = [keys[KEY[k]] == table[f"f{k}"] for k in range(level)]
             rows = keys.join(table, on).filter((value >= F.col("lo")) & (value <= F.col("hi")))
