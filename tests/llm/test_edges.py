@@ -202,7 +202,7 @@ def test_pseudonyms_against_a_slow_scan(spark, docs):
         for (start, end, kind), value in zip(want, put.groups()):
             assert seen.setdefault((kind, r.text[start:end]), value) == value
             assert kind == "ip" or [c.isdigit() for c in value] == [c.isdigit() for c in r.text[start:end]]
-    assert len(set((k, v) for (k, _), v in seen.items())) == len(seen) > 20 and key
+    assert len(set((k, v) for (k, _), v in seen.items())) == len(seen) > 10 and key
 
 
 def test_bare_digits_are_no_phone():
