@@ -133,6 +133,18 @@ def test_bpe(docs, odd, empty):
     assert docs.select(bpe.decoded(bpe.encoded(docs.text)) == docs.text).distinct().collect() == [(True,)]
 
 
+def test_bpe_blocks_and_generations(docs):
+    """Pieces merged in blocks, with walls between, and a cache that is replaced all the time: the library's ids still."""
+    path, draw = bpe.default_vocabulary(), np.random.default_rng(4)
+    texts = [r.text or "" for r in docs.limit(60).collect()]
+    texts += ["".join(map(chr, draw.choice([0, 9, 10, 32, 39, 65, 97, 115, 233, 0x3000, 0x4E2D, 0x1F600], n))) for n in range(200)]
+    texts += ["y" * 30000, "ab " * 9000, "<|endoftext|>", "a<|endoftext|>é", ""]
+    want = [np.array(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for own in (bpe.Codec(path), bpe.Codec(path, kept=50)):
+        assert [x for run in bpe.groups(texts) for x in own.encode_all(run)] == want
+        assert own.encode_all(texts) == want
+
+
 def test_quality_odd(odd, empty, spark):
     judged = quality.judged(odd).toPandas()
     assert len(judged) == 11 and quality.judged(empty).count() == 0
