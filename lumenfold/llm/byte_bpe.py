@@ -6,6 +6,9 @@ two tokens follow each other if they fit; of all its guesses at most one ends at
 as states the sets of guesses still open: for each the tokens not yet agreed on, and the bytes of the token under way.
 What all guesses agree on is emitted, so output lags by less than the longest token. States and transitions are made
 when first needed, and all are dropped when there are too many.
+
+Letters and numbers are those of the installed `regex`; a character that is new in its version of Unicode may be cut
+otherwise by a library with an older one.
 """
 
 from __future__ import annotations
@@ -13,11 +16,11 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import re
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -30,7 +31,8 @@ def some_texts(n):
     yield from ["", " ", "\n\n", "-" * 5000, "ab" * 3000, "'ll it's"]
     for k in range(n):
         if k % 3 == 0:
-            yield "".join(chr(rnd.choice([rnd.randint(0, 0x2FF), rnd.randint(0x300, 0xD7FF), rnd.randint(0x10000, 0x10FFFF)])) for _ in range(30))
+            some = [chr(rnd.choice([rnd.randint(0, 0x2FF), rnd.randint(0x300, 0xD7FF), rnd.randint(0x10000, 0x10FFFF)])) for _ in range(60)]
+            yield "".join(c for c in some if unicodedata.category(c) != "Cn")
         else:
             yield "".join(rnd.choice(letters if k % 3 == 1 else "-=aeth") for _ in range(rnd.randint(0, 120)))
 
