@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from lumenfold.llm import bpe, byte_bpe, exact_dedup, lm_scoring, mixing, pseudonyms, quality, secrets, sharding, simhash, substring_dedup, whitening
+from lumenfold.llm import bpe, byte_bpe, exact_dedup, lm_scoring, mixing, pseudonyms, quality, resampling, secrets, sharding, simhash, substring_dedup, whitening
 
-MODULES = [substring_dedup, sharding, secrets, simhash, bpe, quality, exact_dedup, pseudonyms, lm_scoring, mixing, byte_bpe, whitening]
+MODULES = [substring_dedup, sharding, secrets, simhash, bpe, quality, exact_dedup, pseudonyms, lm_scoring, mixing, byte_bpe, resampling, whitening]
 
 
 def queries() -> dict:

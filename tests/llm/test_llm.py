@@ -30,7 +30,8 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     assert rows(catalog.queries()[name](spark, DATA).toPandas()) == rows(con.execute(catalog.oracle_sql()[name]).df())
 
 
