@@ -32,6 +32,7 @@ KEPT, KEPT_LONG = 400_000, 32  # pieces kept in each of a worker's two generatio
 STATES = 200_000  # of the transducer, until all are dropped
 FOREVER = 1 << 60  # a time after all merges
 NONE = -1  # no token
+NOWHERE: dict[int, tuple[int, bytes]] = {}  # of a state that has no transition yet
 
 
 def default_ranks() -> str:
@@ -48,7 +49,7 @@ class Merges:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.string = {i: s for s, i in self.rank.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.fitting: dict[tuple[int, int], bool] = {}
+        self.fitting: dict[int, bool] = {}  # by left token << 32 | right token
 
     def parts(self, string: bytes, before: int = FOREVER) -> list[bytes]:
         """The string merged by all ranks under `before`: the lowest first, the leftmost of equals."""
@@ -79,7 +80,7 @@ class Merges:
         one made later first (of equal times the right one, as merges go from the left). While two such parts lie side
         by side, they must not merge before either becomes part of a larger one.
         """
-        key = left, right
+        key = left << 32 | right
         if key in self.fitting:
             return self.fitting[key]
         rank, string = self.rank, self.string
@@ -102,14 +103,12 @@ class Merges:
 
 
 class Transducer:
-    """Bytes to packed ids (little-endian unsigned 32-bit), state by state. State 0 is the start of a piece; END ends it.
+    """Bytes to packed ids (little-endian unsigned 32-bit), state by state. State 0 is the start of a piece.
 
     A state is (the token emitted last, guesses); a guess is (tokens not yet emitted, node of the token under way), a node
     being a place in the tree of all tokens' bytes and 0 its root.
     """
 
-    END = 256
-
     def __init__(self, merges: Merges, most: int = STATES) -> None:
         self.merges, self.most = merges, most
         self.child: list[dict[int, int]] = [{}]  # of a node, by byte
@@ -128,49 +127,59 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        begin = NONE, (((), 0),)
-        self.states, self.number = [begin], {begin: 0}
-        self.steps: list[dict[int, tuple[int, bytes]]] = [{}]
+        self.states: list[tuple[int, tuple]] = []
+        self.number: dict[tuple[int, tuple], int] = {}
+        self.steps: list[dict[int, tuple[int, bytes]]] = []
+        self.last_ids: list[bytes] = []
+        self.state_of((NONE, (((), 0),)))
+
+    def state_of(self, found: tuple[int, tuple]) -> int:
+        """The number of a state, made if new."""
+        number = self.number.get(found)
+        if number is None:
+            number = self.number[found] = len(self.states)
+            self.states.append(found)
+            self.steps.append(NOWHERE)
+            ids = self.ids
+            self.last_ids.append(next((ids[t[0]] if len(t) == 1 else b"".join([ids[x] for x in t]) for t, node in found[1] if not node), b""))
+        return number
 
     def step(self, state: int, symbol: int) -> tuple[int, bytes]:
-        """The transition, made and kept."""
+        """The transition, made and kept. Guesses are in order of where their token under way begins, so only the first can have no token of its own."""
         last, guesses = self.states[state]
-        if symbol == self.END:
-            [tokens] = [tokens for tokens, node in guesses if not node]
-            self.steps[state][symbol] = out = 0, b"".join(map(self.ids.__getitem__, tokens))
-            return out
-        after, fits = [], self.merges.fitting
+        after, child, token_at, fitting = [], self.child, self.token, self.merges.fitting
         for tokens, node in guesses:
-            node = self.child[node].get(symbol)
+            node = child[node].get(symbol)
             if node is None:
                 continue
-            if self.child[node]:
+            if child[node]:
                 after.append((tokens, node))
-            token = self.token[node]
+            token = token_at[node]
             if token != NONE:
                 before = tokens[-1] if tokens else last
-                fit = before == NONE or fits.get((before, token))
-                if self.merges.fits(before, token) if fit is None else fit:
+                fits = before == NONE or fitting.get(before << 32 | token)
+                if self.merges.fits(before, token) if fits is None else fits:
                     after.append(((*tokens, token), 0))
         emitted = b""
-        while all(tokens for tokens, _ in after):
+        while after[0][0]:
             first = after[0][0][0]
             last = NONE  # each guess has a token of its own that the next one must fit
-            if any(tokens[0] != first for tokens, _ in after):
-                break
-            last, emitted = first, emitted + self.ids[first]
-            after = [(tokens[1:], node) for tokens, node in after]
-        found = last, tuple(after)
-        number = self.number.get(found)
-        if number is None:
-            number = self.number[found] = len(self.states)
-            self.states.append(found)
-            self.steps.append({})
-        self.steps[state][symbol] = out = number, emitted
+            for tokens, _ in after:
+                if tokens[0] != first:
+                    break
+            else:
+                last, emitted = first, emitted + self.ids[first]
+                after = [(tokens[1:], node) for tokens, node in after]
+                continue
+            break
+        out = self.state_of((last, tuple(after))), emitted
+        if self.steps[state] is NOWHERE:
+            self.steps[state] = {}
+        self.steps[state][symbol] = out
         return out
 
     def run(self, piece: bytes) -> bytes:
-        """The packed ids of a piece."""
+        """The packed ids of a piece: what is emitted on the way, then the tokens of the guess that ends with it."""
         if len(self.states) > self.most:
             self.clear()
         steps, state, out = self.steps, 0, b""
@@ -178,7 +187,7 @@ class Transducer:
             state, emitted = steps[state].get(symbol) or self.step(state, symbol)
             if emitted:
                 out += emitted
-        return out + (steps[state].get(self.END) or self.step(state, self.END))[1]
+        return out + self.last_ids[state]
 
 
 def packed(tokens: Iterable[int]) -> bytes:
@@ -325,7 +334,7 @@ def encoded(text: Column, path: str | None = None) -> Column:
         own = encoder(path)
         return pd.Series([x for run in groups([t or "" for t in texts]) for x in own.encode_all(run)], dtype=object)
 
-    return encode(text)
+    return encode.asNondeterministic()(text)  # else it would run again inside each function of the ids
 
 
 def decoded(ids: Column, path: str | None = None) -> Column:
@@ -348,12 +357,19 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None =
     return docs.withColumn("ids", encoded(text_or_empty(text_col), path)).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
-def decimal_sha256(ids: Column) -> Column:
+@functools.cache
+def decimals(most: int) -> np.ndarray:
+    return np.array([b"%d " % k for k in range(most + 1)], object)
+
+
+def decimal_sha256(ids: Column, path: str | None = None) -> Column:
     """SHA-256 (lowercase hex) of packed ids written in decimal, a space between."""
+    path = path or default_ranks()
 
     @F.pandas_udf("string")
     def digest(ids: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(" ".join(map(str, np.frombuffer(x, "<u4").tolist())).encode()).hexdigest() for x in ids], dtype=object)
+        written = decimals(max(encoder(path).merges.string))
+        return pd.Series([hashlib.sha256(b"".join(written[np.frombuffer(x, "<u4")].tolist())[:-1]).hexdigest() for x in ids], dtype=object)
 
     return digest(ids)
 
