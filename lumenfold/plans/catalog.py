@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import payload
 from lumenfold.functions import scalars as sc
 from lumenfold.plans import quality_sql
-from lumenfold.operators import art, count_window, image_quality, normalise, raytrace, reduction, reorder, stream_checks
+from lumenfold.operators import art, count_window, image_quality, normalise, raytrace, reduction, reorder, stream_checks, stripes
 from lumenfold.plans.cut import cut
 from lumenfold.sources import scans
 from lumenfold.sources import tables as t
@@ -353,6 +353,33 @@ def preprocess_chain(spark, d):
     return rounded(normalise.preprocessed(t.messages(spark, d)).select("chan", "seq", F.col("out").alias("x")), "x", digits=4)
 
 
+SCAN = 32  # projections of a scan, where a query needs scans
+_HAAR = f""", s AS (SELECT proj, proj // {SCAN} AS scan, (proj % {SCAN}) // 2 AS k, col // 2 AS c, CASE WHEN col % 2 = 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS side, slice, col, val FROM r),
+n AS (SELECT scan, count(DISTINCT k) AS m FROM s GROUP BY scan),
+w AS (SELECT scan, m, d, sum((1 - exp(-pow((2 * p + 1 - m) / 2.0::DOUBLE, 2) / (2 * 1.5::DOUBLE * 1.5::DOUBLE))) * cos(2 * pi() * (p - m // 2) * d / m)) / m AS w
+    FROM n, range({SCAN}) a(p), range({SCAN}) b(d) WHERE p < m AND d < m GROUP BY 1, 2, 3),
+v AS (SELECT scan, slice, c, k, sum(val * side) AS v FROM s GROUP BY 1, 2, 3, 4),
+z AS (SELECT v.scan, v.slice, v.c, v.k, any_value(v.v) AS v, sum(o.v * w.w) AS damped
+    FROM v JOIN v o ON o.scan = v.scan AND o.slice = v.slice AND o.c = v.c JOIN w ON w.scan = v.scan AND w.d = (v.k - o.k + w.m) % w.m GROUP BY 1, 2, 3, 4) """
+
+
+def _scans(spark, d):
+    return t.rays(spark, d).select(F.floor(F.col("proj") / SCAN).cast("long").alias("scan"), "proj", "slice", "col", "val")
+
+
+@query(with_views("r", "").rstrip() + _HAAR + "SELECT proj, slice, col, round(val + (damped - v) * side, 6) AS val FROM s JOIN z USING (scan, slice, c, k)")
+def stripe_removal(spark, d):
+    """One Haar level, its vertical details as one sum over pairs of projections in the SQL."""
+    clean = stripes.remove_stripes(_scans(spark, d), ["scan", "slice"], levels=1, kind="haar", sigma=1.5, pad=False)
+    return rounded(clean.drop("scan"), "val")
+
+
+@query()
+def stripe_removal_deep(spark, d):
+    """Seven levels of the long symmetric filter, padded, as an acquisition runs it."""
+    return rounded(stripes.remove_stripes(_scans(spark, d), ["scan", "slice"]).drop("scan"), "val")
+
+
 # ---- windows
 
 _PASSES = "SELECT p AS pass, greatest(0, (least(p, ff - 1) + 1) * 8 - 32) + greatest(p - (ff - 1), 0) * 8 AS lo, least((p + 1) * 8, n) AS hi FROM (SELECT count(*) AS n, ceil(count(*) / 8.0)::BIGINT AS ff FROM embeddings), range(100000) s(p) WHERE p < ff + 4"
