@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import payload
 from lumenfold.functions import scalars as sc
 from lumenfold.plans import quality_sql
-from lumenfold.operators import art, count_window, image_quality, normalise, raytrace, reduction, reorder, stream_checks, stripes
+from lumenfold.operators import art, center, count_window, image_quality, normalise, raytrace, reduction, reorder, stream_checks, stripes
 from lumenfold.plans.cut import cut
 from lumenfold.sources import scans
 from lumenfold.sources import tables as t
@@ -380,6 +381,18 @@ def stripe_removal_deep(spark, d):
     return rounded(stripes.remove_stripes(_scans(spark, d), ["scan", "slice"]).drop("scan"), "val")
 
 
+def _scans_with_angles(spark, d):
+    """Scans of half a turn each."""
+    theta = (F.col("proj") % SCAN) * F.lit(math.pi / SCAN)
+    return _scans(spark, d).select("scan", "proj", theta.alias("theta"), "slice", "col", "val")
+
+
+@query()
+def find_centers(spark, d):
+    """The rotation center of every slice of every scan, to a quarter of a column."""
+    return rounded(center.find_centers(_scans_with_angles(spark, d), ["scan", "slice"], reach=2.0, step=1.0, tolerance=0.25), "score")
+
+
 # ---- windows
 
 _PASSES = "SELECT p AS pass, greatest(0, (least(p, ff - 1) + 1) * 8 - 32) + greatest(p - (ff - 1), 0) * 8 AS lo, least((p + 1) * 8, n) AS hi FROM (SELECT count(*) AS n, ceil(count(*) / 8.0)::BIGINT AS ff FROM embeddings), range(100000) s(p) WHERE p < ff + 4"
