@@ -362,21 +362,28 @@ def decimals(most: int) -> np.ndarray:
     return np.array([b"%d " % k for k in range(most + 1)], object)
 
 
-def decimal_sha256(ids: Column, path: str | None = None) -> Column:
-    """SHA-256 (lowercase hex) of packed ids written in decimal, a space between."""
+def digests(text: Column, path: str | None = None) -> Column:
+    """n_tokens, the SHA-256 (lowercase hex) of a text's ids in decimal with a space between, and that of the text decoded from them; null as for an empty text.
+
+    One function from text to digests: ids that go back to Spark in between would need a second worker beside the first.
+    """
     path = path or default_ranks()
 
-    @F.pandas_udf("string")
-    def digest(ids: pd.Series) -> pd.Series:
-        written = decimals(max(encoder(path).merges.string))
-        return pd.Series([hashlib.sha256(b"".join(written[np.frombuffer(x, "<u4")].tolist())[:-1]).hexdigest() for x in ids], dtype=object)
+    @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    def digest(texts: pd.Series) -> pd.DataFrame:
+        own, back = encoder(path), decoder(path)
+        written, sha, out = decimals(max(own.merges.string)), hashlib.sha256, []
+        for run in groups([t or "" for t in texts]):
+            for ids in own.encode_all(run):
+                decimal = b"".join(written[np.frombuffer(ids, "<u4")].tolist())[:-1]
+                out.append((len(ids) // 4, sha(decimal).hexdigest(), sha(back.decode(ids).encode()).hexdigest()))
+        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return digest(ids)
+    return digest.asNondeterministic()(text)
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = encode_documents(documents(spark, sf_dir).select("doc_id", "text"))
-    return ids.select("doc_id", "n_tokens", decimal_sha256(F.col("ids")).alias("ids_sha256"), F.sha2(decoded(F.col("ids")), 256).alias("decoded_sha256"))
+    return documents(spark, sf_dir).select("doc_id", digests(F.col("text")).alias("d")).select("doc_id", "d.*")
 
 
 QUERIES = {"op11_byte_bpe": op11_byte_bpe}
