@@ -14,13 +14,13 @@ LEAST = 1e-6  # fixed value: what flat - dark counts at least
 
 def with_fields(m: DataFrame) -> DataFrame:
     """m with flat and dark: means of the fields since the last reset (which counts as a field), as of each message; null before the first."""
-    out = running(m, ["chan"], "arrival", sums={"__wgrp": (F.col("itype") == 4).cast("long"), "__dgrp": (F.col("itype") == 5).cast("long")})
-    for name, group, kinds in (("flat", "__wgrp", FLATS), ("dark", "__dgrp", DARKS)):
-        field = F.col("itype").isin(*kinds) & F.col("val").isNotNull()
-        sums = {"__sum": F.when(field, F.col("val")), "__n": field.cast("long")}
-        out = running(out, ["chan", group], "arrival", sums=sums)
-        out = out.withColumn(name, F.try_divide("__sum", F.col("__n").cast("double"))).drop("__sum", "__n")
-    return out.drop("__wgrp", "__dgrp")
+    field = lambda kinds: F.col("itype").isin(*kinds) & F.col("val").isNotNull()
+    sums = {}
+    for name, kinds, reset in (("flat", FLATS, 4), ("dark", DARKS, 5)):
+        fresh_start = F.col("itype") == reset
+        sums |= {f"{name}_sum": (F.when(field(kinds), F.col("val")).cast("double"), fresh_start), f"{name}_n": (field(kinds).cast("long"), fresh_start)}
+    out = running(m, ["chan"], "arrival", sums=sums)
+    return out.withColumns({name: F.try_divide(f"{name}_sum", F.col(f"{name}_n").cast("double")) for name in ("flat", "dark")}).drop(*sums)
 
 
 def normalised(m: DataFrame, least: float = LEAST) -> DataFrame:

@@ -342,11 +342,19 @@ h AS (SELECT *, avg(CASE WHEN itype IN (2, 4) THEN val END) OVER (PARTITION BY c
 o AS (SELECT chan, seq, flat, dark, CASE WHEN flat IS NULL OR dark IS NULL THEN val ELSE (val - dark) / greatest(flat - dark, 1e-6::DOUBLE) END AS x FROM h WHERE itype = 1) """
 
 
-@query(with_views("m", "").rstrip() + _FIELDS + "SELECT chan, seq, round(flat, 4) AS flat, round(dark, 4) AS dark, CASE WHEN abs(x) < 1000 THEN round(x, 4) + 0.0::DOUBLE END AS x, CASE WHEN abs(x) >= 1000 THEN round(log10(abs(x)), 4) END AS size FROM o")
+def _seven_digits(x: Column) -> Column:
+    """Rounded to seven significant digits: values over a tiny flat - dark are large, and rounding errors with them."""
+    power = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))).cast("double"))
+    return F.when(x == 0, 0.0).otherwise(F.round(x / power, 6) * power)
+
+
+_DIGITS = "CASE WHEN x = 0 THEN 0::DOUBLE ELSE round(x / pow(10::DOUBLE, floor(log10(abs(x)))), 6) * pow(10::DOUBLE, floor(log10(abs(x)))) END"
+
+
+@query(with_views("m", "").rstrip() + _FIELDS + f"SELECT chan, seq, round(flat, 4) AS flat, round(dark, 4) AS dark, {_DIGITS} AS x FROM o")
 def asof_normalise(spark, d):
-    own, x = normalise.normalised(t.messages(spark, d)), F.col("out")  # values over a tiny flat - dark are told by their size
-    shown = F.when(F.abs(x) < 1000, x).alias("x"), F.when(F.abs(x) >= 1000, F.log10(F.abs(x))).alias("size")
-    return rounded(own.select("chan", "seq", "flat", "dark", *shown), "flat", "dark", "x", "size", digits=4)
+    own = normalise.normalised(t.messages(spark, d))
+    return rounded(own.select("chan", "seq", "flat", "dark", _seven_digits(F.col("out")).alias("x")), "flat", "dark", digits=4)
 
 
 @query(with_views("m", "").rstrip() + _FIELDS + "SELECT chan, seq, round(CASE WHEN y < 0 THEN 0 ELSE y END, 4) AS x FROM (SELECT chan, seq, CASE WHEN x > 0 THEN -ln(x) ELSE 0 END AS y FROM o)")
