@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenfold.operators.prefix import fresh
 from lumenfold.plans.cut import discard, shared_dir, stash
 
-__all__ = ["discard", "shared_dir", "stash"]
+__all__ = ["discard", "fresh", "shared_dir", "stash"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII white space; words are the runs between.
@@ -43,13 +44,14 @@ def keep_rows(docs: DataFrame, keys: list[tuple[str, Column]], kept: DataFrame)
 
     keys: name and expression over docs. kept must have distinct rows. Only kept's keys and docs are shuffled, once.
     """
-    names = [f"__{n}" for n, _ in keys]
-    docs = docs.withColumns({f"__{n}": c for n, c in keys})
-    kept = kept.select(*[F.col(n).alias(f"__k{n}") for n, _ in keys])
-    on = [docs[f"__{n}"].eqNullSafe(kept[f"__k{n}"]) for n, _ in keys]
-    rows = docs.join(kept, on, "left_semi")
-    again = Window.partitionBy(*names).orderBy(*names)
-    return rows.withColumn("__n", F.row_number().over(again)).filter("__n = 1").drop("__n", *names)
+    own = [n for n, _ in keys]
+    number, *names = fresh(docs, "__n", *[f"__{n}" for n in own], *[f"__k{n}" for n in own])
+    left, right = names[: len(own)], names[len(own) :]
+    marked = docs.withColumns({n: c for n, (_, c) in zip(left, keys, strict=True)})
+    kept = kept.select(*[F.col(n).alias(k) for n, k in zip(own, right, strict=True)])
+    rows = marked.join(kept, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)], "left_semi")
+    again = Window.partitionBy(*left).orderBy(*left)
+    return rows.withColumn(number, F.row_number().over(again)).filter(F.col(number) == 1).drop(number, *left)
 
 
 def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str) -> DataFrame:

@@ -39,10 +39,11 @@ def doubles(xs) -> Column:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_rows: int = LABEL_ROWS) -> tuple[list[float], list[list[float]]]:
-    """Log priors and, for each domain, log likelihoods by bucket. Labels that are null or have no document are left out; without any, all domains are equally likely."""
+    """Log priors and, for each domain, log likelihoods by bucket. Labels that are null or have no document are left out, one given twice counts twice; without any, all domains are equally likely. Ids are compared as text."""
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text"))
     known = labels.select(F.col("doc_id").alias("__id"), domain(F.col("quality"), F.col("toxic")).alias("__k")).filter("__id IS NOT NULL")
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(label_rows)  # so many rows at most, so small enough to broadcast
-    own = docs.join(F.broadcast(sample), docs[id_col] == sample["__id"]).select("__k", buckets(text_or_empty(text_col)).alias("bs"))
+    own = texts.join(F.broadcast(sample), F.col("id") == F.col("__id").cast("string")).select("__k", buckets(F.col("text")).alias("bs"))
     counts = np.zeros((len(DOMAINS), BUCKETS))
     rows = np.zeros(len(DOMAINS))
     found = own.select("__k", F.explode(F.concat("bs", F.array(F.lit(-1)))).alias("b")).groupBy("__k", "b").count()
@@ -122,14 +123,14 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, most: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_rows: int = LABEL_ROWS) -> DataFrame:
     """One row for each input row: id, n_tokens (words), p_<domain>, rate, copies (rate rounded up or down by a hash of the id).
 
-    Nulls: a null text has no tokens and the prior posteriors; a null id is hashed as 0. Very long texts are classified
+    Nulls: a null text has no tokens and the prior posteriors; a null id adds nothing to the hash; ids may be of any type. Very long texts are classified
     whole. Ties don't arise. Repeated rows get equal rates and copies. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     model = fit_classifier(docs, labels, id_col, text_col, label_rows)
     members = stash(docs.select(F.col(id_col).alias("id"), posteriors(text_or_empty(text_col), model).alias("m")).select("id", "m.*"), "members")
     steps, start = fit_rates(members, targets, budget, most)
     own = members.withColumn("rate", rate(F.col("p"), steps, start, most))
-    draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit(0)), F.lit("copies")), F.lit(2**32)) / F.lit(float(2**32))
+    draw = F.pmod(F.xxhash64("id", F.lit("copies")), F.lit(2**32)) / F.lit(float(2**32))
     copies = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")
     return own.select(F.col("id").alias(id_col), "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", copies)
 
@@ -147,7 +148,7 @@ def thin(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS
     first = members.agg(F.sum(F.col("n_tokens") * F.get("p", F.lit(0)))).first()[0] or 0.0
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
     steps, start = fit_rates(members, targets, min(first / targets[DOMAINS[0]], float(total)), 1.0)
-    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "sha", F.lit("copies")), F.lit(2**32)) / F.lit(float(2**32))
+    draw = F.pmod(F.xxhash64("doc_id", "sha", F.lit("copies")), F.lit(2**32)) / F.lit(float(2**32))
     kept = members.filter(draw < rate(F.col("p"), steps, start, 1.0)).select(F.col("doc_id").alias("id"), "sha").distinct()
     return keep_rows(docs, [("id", F.col("doc_id")), ("sha", sha)], kept)
 

@@ -12,15 +12,17 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+from secrets import token_hex
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import documents, text_or_empty
+from lumenfold.llm.common import documents, fresh, text_or_empty
 
 ROUNDS = 8
-KEY, KEY_SETTING = "pseudonym-key-of-the-tests", "spark.pseudonyms.key"  # the query takes its key from the session's setting, the other is for tests
+KEY_SETTING = "spark.pseudonyms.key"  # where the query takes its key from
+_OWN: dict[str, str] = {}  # random keys made here, by application
 
 #: Fixed patterns, in the order in which they claim text.
 PATTERNS = {
@@ -159,11 +161,17 @@ def pseudonymise_documents(docs: DataFrame, key: str, text_col: str = "text") ->
     PATTERNS claims its text first. Repeated rows get equal results. An empty table gives an empty
     result. A value that maps to itself (one in as many as its format has) stays as it is.
     """
-    return docs.withColumn("__p", pseudonymised(text_or_empty(text_col), key)).withColumns({text_col: F.col("__p.text"), "pii_spans": F.col("__p.spans")}).drop("__p")
+    [done] = fresh(docs, "__p")
+    return docs.withColumn(done, pseudonymised(text_or_empty(text_col), key)).withColumns({text_col: F.col(f"{done}.text"), "pii_spans": F.col(f"{done}.spans")}).drop(done)
+
+
+def key_of(spark: SparkSession) -> str:
+    """The session's key. Where none is set, a random one: equal values stay linked within the application, and nobody can turn them back later."""
+    return spark.conf.get(KEY_SETTING, "") or _OWN.setdefault(spark.sparkContext.applicationId, token_hex(32))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise_documents(documents(spark, sf_dir).select("doc_id", "text"), spark.conf.get(KEY_SETTING, KEY))
+    out = pseudonymise_documents(documents(spark, sf_dir).select("doc_id", "text"), key_of(spark))
     count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_found"), *[count(k) for k in PATTERNS], "pii_spans")
 

@@ -1,23 +1,23 @@
 """Quality rules as a short-circuit cascade: cheap rules that reject much come first.
 
-Each rule is a Boolean column (true: the document fails). On a sample drawn from all partitions, each rule is run alone:
-how many documents it rejects is its selectivity, how long that takes its cost. Rules are ordered by rejection per cost,
-and a CASE evaluates them in that order, so a document pays for rules only up to the first that rejects it. The order
+Each rule is a Boolean column (true: the document fails), with a column that counts its work on a document: steps over
+characters, words or lines. On a sample drawn from all partitions, the share that a rule rejects is its selectivity, its
+mean work its cost; counts, unlike times, are the same in each run. Rules are ordered by rejection per cost, and a CASE evaluates them in that order, so a document pays for rules only up to the first that rejects it. The order
 can't change a verdict, which is the conjunction of all rules; only the reported rule (the first that rejects) depends
 on it.
 """
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import discard, documents, let, stash, text_or_empty, words_of
+from lumenfold.llm.common import documents, fresh, let, text_or_empty, words_of
 
-SAMPLE_ROWS, SEED, TIMED = 1000, 11, 2  # rows of the sample, about; its seed; how often a rule is timed. Verdicts don't depend on them
+SAMPLE_ROWS, SEED = 1000, 11  # rows of the sample, about, and its seed. Verdicts don't depend on them
+PASS, PATTERN, EACH, SORT = 1, 6, 8, 12  # work: a built-in pass over a character, a pattern's, a function's call for a word, a word's share of sorting
 
 
 def n_symbols(text: Column) -> Column:
@@ -68,22 +68,24 @@ def word_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         chars = F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w))
         return F.struct(F.size(ws).cast("long").alias("n_words"), chars.cast("long").alias("word_chars"), n_repeat_words(ws).cast("long").alias("n_repeat_words"))
 
-    own = docs.withColumn("__w", let(words_of(text), of))
-    counts = {name: F.col(f"__w.{name}") for name in ("n_words", "word_chars", "n_repeat_words")}
-    return own.withColumns(counts | {"n_symbols": n_symbols(text).cast("long"), "n_dup_lines": n_dup_lines(text).cast("long")}).drop("__w")
+    [found] = fresh(docs, "__w")
+    own = docs.withColumn(found, let(words_of(text), of))
+    counts = {name: F.col(f"{found}.{name}") for name in ("n_words", "word_chars", "n_repeat_words")}
+    return own.withColumns(counts | {"n_symbols": n_symbols(text).cast("long"), "n_dup_lines": n_dup_lines(text).cast("long")}).drop(found)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """fails is an expression over __text and __words."""
+    """fails and work are expressions over a text and its words."""
 
     name: str
     fails: Column
+    work: Column
 
 
 def base_rules(words: Column) -> list[Rule]:
     n = F.size(words)
-    return [Rule("too_few_words", n < 50), Rule("repeated_words", 100 * n_repeat_words(words) > 50 * n)]
+    return [Rule("too_few_words", n < 50, F.lit(1)), Rule("repeated_words", 100 * n_repeat_words(words) > 50 * n, (EACH + SORT) * n)]
 
 
 def added_rules(text: Column, words: Column) -> list[Rule]:
@@ -92,48 +94,26 @@ def added_rules(text: Column, words: Column) -> list[Rule]:
     lines = F.size(F.split(text, "\n", -1))
     word_chars = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
     return [
-        Rule("symbols", n_symbols(text) > F.lit(0.25) * chars),
-        Rule("duplicate_lines", (lines >= 8) & (n_dup_lines(text) > F.lit(0.6) * lines)),
-        Rule("word_length", (word_chars < F.lit(1.5) * n) | (word_chars > F.lit(25) * n)),
-        Rule("no_letters", F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) < F.lit(0.2) * chars),
+        Rule("symbols", n_symbols(text) > F.lit(0.25) * chars, PASS * chars),
+        Rule("duplicate_lines", (lines >= 8) & (n_dup_lines(text) > F.lit(0.6) * lines), PASS * chars + F.when(lines >= 8, PASS * chars + EACH * lines).otherwise(0)),
+        Rule("word_length", (word_chars < F.lit(1.5) * n) | (word_chars > F.lit(25) * n), EACH * n),
+        Rule("no_letters", F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) < F.lit(0.2) * chars, PATTERN * chars),
     ]
 
 
-def measured(sample: DataFrame, rules: list[Rule]) -> dict[str, tuple[float, float]]:
-    """{rule: (share rejected, seconds)}: each rule alone over the sample (__text, __words), the best of TIMED runs, less those of an empty run."""
-
-    def timed(fails: Column) -> tuple[int, float]:
-        best = None
-        for _ in range(TIMED):
-            began = time.perf_counter()
-            rejected = sample.agg(F.count_if(fails)).first()[0]
-            took = time.perf_counter() - began
-            best = took if best is None else min(best, took)
-        return rejected, best
-
-    n, idle = timed(F.col("__text").isNotNull())
-    out = {}
-    for r in rules:
-        rejected, took = timed(r.fails)
-        out[r.name] = rejected / max(n, 1), max(took - idle, 1e-3)
-    return out
-
-
 def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejection per measured cost, over a sample of about sample_rows documents of all partitions; ties by name.
+    """Rules by rejection per mean work, over a sample of about sample_rows documents of all partitions; ties by name.
 
-    docs: __text, __words. The sample is written, so that a rule's time is its own and not that of reading. On an empty
-    table, as given.
+    docs has the columns that the rules name. On an empty table or sample, as given.
     """
     n = docs.count()
     if not n:
         return rules
-    share = min(1.0, sample_rows / n)
-    drawn = docs.select("__text").sample(fraction=share, seed=SEED).limit(4 * sample_rows)  # a sample's size varies; by far less than this
-    sample = stash(drawn.withColumn("__words", words_of(F.col("__text"))).coalesce(1), "quality-sample")
-    found = measured(sample, rules)
-    discard(sample)
-    return sorted(rules, key=lambda r: (-found[r.name][0] / found[r.name][1], r.name))
+    drawn = docs.sample(fraction=min(1.0, sample_rows / n), seed=SEED).limit(4 * sample_rows)  # a sample's size varies; by far less than this
+    measures = [m for r in rules for m in (F.count_if(r.fails), F.sum(r.work))]
+    found = drawn.agg(*[m.alias(f"m{k}") for k, m in enumerate(measures)]).first()
+    gain = {r.name: (found[2 * k] or 0) / max(found[2 * k + 1] or 0, 1) for k, r in enumerate(rules)}
+    return sorted(rules, key=lambda r: (-gain[r.name], r.name))
 
 
 def first_failure(rules: list[Rule]) -> Column:
@@ -151,10 +131,11 @@ def judged(docs: DataFrame, text_col: str = "text", base: bool = True, sample_ro
     repeated rows: each row is judged alone, so equal texts get equal verdicts. An empty table gives an empty result. A
     column named rejected_by is replaced; others stay as they are, whatever their names.
     """
-    words = F.col("__words")
-    with_words = docs.withColumn("__text", text_or_empty(text_col)).withColumn("__words", words_of(F.col("__text")))
-    rules = (base_rules(words) if base else []) + added_rules(F.col("__text"), words)
-    return with_words.withColumn("rejected_by", first_failure(ordered(with_words, rules, sample_rows))).drop("__words", "__text")
+    text, words = fresh(docs, "__text", "__words")
+    with_words = docs.withColumn(text, text_or_empty(text_col)).withColumn(words, words_of(F.col(text)))
+    rules = (base_rules(F.col(words)) if base else []) + added_rules(F.col(text), F.col(words))
+    order = ordered(with_words.select(text, words), rules, sample_rows)
+    return with_words.withColumn("rejected_by", first_failure(order)).drop(words, text)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -14,9 +14,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
-from lumenfold.llm.common import documents, stash, text_or_empty
+from lumenfold.llm.common import documents, fresh, stash, text_or_empty
 
 OVERHEAD = 8  # bytes of a row besides its text
 PROBES, COUNTS = 64, 1 << 17  # probes in an interval, and counts in a round, at most
@@ -31,7 +32,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = docs.withColumns(
         {
             "__h": F.xxhash64(text),
-            "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)),
+            "__id": F.coalesce(F.col(id_col).cast("long") if isinstance(docs.schema[id_col].dataType, NumericType) else F.xxhash64(id_col), F.lit(LOWEST)),
             "__row": F.monotonically_increasing_id(),
             "size": (F.octet_length(text) + OVERHEAD).cast("long"),
         }
@@ -184,12 +185,14 @@ def shard_documents(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text
     """docs with size, shard and slot: shards of near-equal bytes, slots gapless from 0 in the order (text hash, id).
 
     tolerance: the share of a shard's bytes by which a boundary may be off; a row isn't split, so one longer than that
-    (a very long text) moves the boundary by up to its size. Ids are numbers. Nulls: a null text has size OVERHEAD, a
+    (a very long text) moves the boundary by up to its size. Ids are numbers, or of another type and then sorted by hash. Nulls: a null text has size OVERHEAD, a
     null id sorts first. Ties and repeated rows: rows that agree in text and id follow in the order in which they are
     stored, and may be dealt over several shards. A column of the input named size, shard or slot is replaced. An empty
     table gives an empty result; fewer rows than shards leave shards empty.
     """
-    rows = numbered(docs, id_col, text_col)
+    own = [c for c in docs.columns if c.startswith("__")]  # names that are also used here: other ones meanwhile
+    aside = dict(zip(own, fresh(docs, *[f"of{c}" for c in own]), strict=True))
+    rows = numbered(docs.withColumnsRenamed(aside), aside.get(id_col, id_col), aside.get(text_col, text_col))
     keys = rows.select(*KEY, "size")
     total = keys.agg(F.sum("size")).first()[0] or 0
     parts = max(1, -(-total // (n_shards * part_bytes)))
@@ -202,7 +205,7 @@ def shard_documents(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text
     order = Window.partitionBy("__range").orderBy(*KEY)
     placed = rows.drop("shard", "slot").withColumn("__range", range_index(splitters)).withColumn("__n", F.row_number().over(order))
     both = placed.join(F.broadcast(starts), "__range")  # a row a range
-    return both.withColumn("slot", (F.col("__start") + F.col("__n") - 1).cast("long")).drop(*KEY, "__range", "__n", "__start")
+    return both.withColumn("slot", (F.col("__start") + F.col("__n") - 1).cast("long")).drop(*KEY, "__range", "__n", "__start").withColumnsRenamed({b: a for a, b in aside.items()})
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

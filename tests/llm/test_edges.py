@@ -172,7 +172,7 @@ def test_lm_of_odd_rows(odd):
 
 def test_pseudonyms_against_a_slow_scan(spark, docs):
     """Every span found by claiming text character by character; all else stays; equal values stay linked and different ones apart."""
-    key = pseudonyms.KEY
+    key = pseudonyms.key_of(spark)
     got = {r.doc_id: r for r in pseudonyms.op8_pii(spark, DATA).collect()}
     seen: dict[tuple[str, str], str] = {}
     for r in docs.collect():
@@ -246,7 +246,7 @@ def test_quality_order_is_by_measured_gain(spark, docs):
     """A rule that rejects much and costs little comes before one that costs much and rejects none; verdicts don't depend on the order."""
     text, own = F.col("__text"), F.col("__words")
     table = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).withColumn("__words", quality.words_of(text))
-    cheap, dear = quality.Rule("many", F.length(text) > 10), quality.Rule("none", quality.n_repeat_words(own) < 0)
+    cheap, dear = quality.Rule("many", F.length(text) > 10, F.lit(1)), quality.Rule("none", quality.n_repeat_words(own) < 0, F.lit(20))
     assert [r.name for r in quality.ordered(table, [dear, cheap])] == ["many", "none"]
     assert quality.ordered(table.limit(0), [dear, cheap]) == [dear, cheap]
     rules = quality.base_rules(own) + quality.added_rules(text, own)
@@ -318,3 +318,40 @@ def test_near_copies_of_documents(spark, docs):
     pairs = [(i, j) for a, (i, s) in enumerate(sets) for j, t in sets[:a] if s != t and len(s & t) >= 0.8 * len(s | t)]
     kept = {r.doc_id for r in near_copies.drop_near_copies(docs).select("doc_id").collect()}
     assert pairs and not [p for p in pairs if set(p) <= kept]
+
+
+#: Names that operators give to columns of their own.
+INNER = ["__id", "__sha", "__n", "__kid", "__ksha", "__text", "__words", "__w", "__p", "__k", "__h", "__row", "__start", "__range", "__salt", "__key", "ids", "id", "sha", "n", "fp", "run", "rid", "node", "bs", "m"]
+
+
+def test_all_columns_stay_whatever_their_names_and_ids_may_be_text(spark, odd, tmp_path):
+    """Each operator that gives its input back, and each stage of the pipeline."""
+    named = odd.withColumns({n: F.lit(n) for n in INNER}).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    labels = spark.createDataFrame([("d1", 1, 0), ("d5", 1, 0), ("d6", 0, 0), ("d7", 0, 1)], "doc_id string, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    same = lambda out: {tuple(r[n] for n in INNER) for r in out.collect()} <= {tuple(INNER)}
+    for out, gone in ((quality.judged(named), set()), (quality.word_stats(named), set()), (sharding.shard_documents(named, 3), {"size"}), (pseudonyms.pseudonymise_documents(named, "k"), set()), (mixing.thin(named, labels), set())):
+        assert set(named.columns) <= set(out.columns) and same(out), out.columns
+    assert sharding.shard_documents(named, 3).count() == named.count() == 11
+    assert {r.doc_id for r in mixing.mix(named, labels).collect()} == {r.doc_id for r in named.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, named, str(tmp_path))
+        assert out.columns == named.columns and same(out), name
+    assert corpus_pipeline.STAGES[-1][1](spark, named.withColumn("text", F.lit("a b")), str(tmp_path)).count() == 11
+
+
+def test_rules_come_in_the_same_order_each_time(spark, docs):
+    text, words = F.col("text"), quality.words_of(quality.text_or_empty())
+    rules = quality.base_rules(words) + quality.added_rules(quality.text_or_empty(), words)
+    orders = {tuple(r.name for r in quality.ordered(docs.select("text"), rules)) for _ in range(3)}
+    assert len(orders) == 1 and sorted(orders.pop()) == sorted(r.name for r in rules)
+
+
+def test_a_session_without_a_key_has_a_random_one(spark):
+    own = pseudonyms.key_of(spark)
+    assert len(own) == 64 and pseudonyms.key_of(spark) == own
+    spark.conf.set(pseudonyms.KEY_SETTING, "given")
+    try:
+        assert pseudonyms.key_of(spark) == "given"
+    finally:
+        spark.conf.unset(pseudonyms.KEY_SETTING)
