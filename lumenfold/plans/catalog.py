@@ -17,7 +17,7 @@ from lumenfold.plans.cut import cut
 from lumenfold.sources import scans
 from lumenfold.sources import tables as t
 from lumenfold.sources.tables import SIDE, with_views
-from lumenfold.streaming import windows as stream
+from lumenfold.streaming import channels, reconstruction, sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -445,15 +445,60 @@ def _stream_sql(length: int, step: int) -> str:
         FROM s JOIN e ON e.chan = s.key AND k >= lo AND k < hi WHERE pass >= 0 GROUP BY 1, 2"""
 
 
+def _live(spark, d):
+    return sources.message_stream(t.messages(spark, d))
+
+
 @query(_stream_sql(4, 2))
 def stream_window(spark, d):
-    """Feeding passes and, from the end marker on, the drain."""
-    return rounded(stream.replayed(stream.count_windows(stream.message_stream(spark, d), 4, 2)), "total")
+    """Feeding passes and, from the end message on, the drain."""
+    return rounded(sources.replayed(channels.count_windows(_live(spark, d), 4, 2, raw=True)), "total")
 
 
 @query(_stream_sql(5, 3))
 def stream_window_general(spark, d):
-    return rounded(stream.replayed(stream.count_windows(stream.message_stream(spark, d), 5, 3)), "total")
+    return rounded(sources.replayed(channels.count_windows(_live(spark, d), 5, 3, raw=True)), "total")
+
+
+@query(
+    with_views("m", "").rstrip()
+    + _FIELDS
+    + f""", c AS (SELECT chan, seq, sum((itype IN (2, 4))::INT) OVER w AS flats, sum((itype IN (3, 5))::INT) OVER w AS darks, row_number() OVER w AS received, sum(greatest(gap, 0)) OVER w AS lost
+    FROM (SELECT *, coalesce(seq - lag(seq) OVER (PARTITION BY chan ORDER BY arrival) - 1, 0) AS gap FROM m) WINDOW w AS (PARTITION BY chan ORDER BY arrival ROWS UNBOUNDED PRECEDING))
+    SELECT chan, seq, round(flat, 4) AS flat, round(dark, 4) AS dark, {_DIGITS} AS x, flats::BIGINT AS flats, darks::BIGINT AS darks, received, lost::BIGINT AS lost FROM o JOIN c USING (chan, seq)"""
+)
+def live_normalise(spark, d):
+    """Fields, normalisation and counters kept as state, over several micro-batches."""
+    own = sources.replayed(channels.normalised(_live(spark, d)))
+    return rounded(own.select("chan", "seq", "flat", "dark", _seven_digits(F.col("out")).alias("x"), "flats", "darks", "received", "lost"), "flat", "dark", digits=4)
+
+
+def _live_windows_sql(length: int, step: int) -> str:
+    """Windows over normalised projections; the length of a pass is that of the last control message before the member that completes it."""
+    cut_, pulled = "greatest(lo, hi - len)", f"least({step}, n - hi)"
+    return (
+        with_views("m", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
+        + _FIELDS
+        + f""", e AS (SELECT chan, seq, x AS val, row_number() OVER (PARTITION BY chan ORDER BY arrival) - 1 AS k, arrival FROM o JOIN m USING (chan, seq)),
+        l AS (SELECT chan, arrival, (seq % 5 + 2)::INT AS len FROM m WHERE itype = 5),
+        z AS (SELECT chan, k, (SELECT arg_max(len, arrival) FROM l WHERE l.chan = e.chan AND l.arrival < e.arrival) AS len FROM e),
+        n AS (SELECT chan, count(*) AS n, (SELECT arg_max(len, arrival) FROM l WHERE l.chan = e.chan) AS final FROM e GROUP BY chan),
+        p AS (SELECT chan, n, p - 1 AS pass, coalesce(CASE WHEN p * {step} <= n THEN (SELECT len FROM z WHERE z.chan = n.chan AND z.k = p * {step} - 1) ELSE final END, {length}) AS len FROM n, range(1, 100000) r(p) WHERE p <= ceil(n / {step}) + 8),
+        s AS (SELECT chan, n, -1::BIGINT AS pass, 0::BIGINT AS lo, 0::BIGINT AS hi FROM n
+            UNION ALL SELECT s.chan, s.n, s.pass + 1, CASE WHEN s.n = hi OR hi - {cut_} >= len THEN least(hi, {cut_} + {step}) ELSE {cut_} END, hi + least({step}, s.n - hi)
+            FROM s JOIN p ON p.chan = s.chan AND p.pass = s.pass + 1 WHERE NOT (s.n = hi AND {cut_} + {step} >= hi))
+        SELECT chan, pass, n, first_seq, last_seq, {_DIGITS} AS total FROM (SELECT chan, pass, count(*)::INT AS n, arg_min(seq, k) AS first_seq, arg_max(seq, k) AS last_seq, sum(val) AS x
+            FROM s JOIN e USING (chan) WHERE k >= lo AND k < hi AND pass >= 0 GROUP BY 1, 2)"""
+    )
+
+
+@query(_live_windows_sql(4, 2))
+def live_windows(spark, d):
+    """Normalised projections through windows whose length control messages change, until the end messages drain them."""
+    m = t.messages(spark, d)
+    control = m.filter("itype = 5").select("arrival", F.lit(0).cast("bigint").alias("seq"), "chan", F.lit(sources.LENGTH).alias("itype"), (F.col("seq") % 5 + 2).cast("double").alias("val"))
+    own = sources.replayed(channels.count_windows(sources.message_stream(m.unionByName(control)), 4, 2))
+    return own.select("chan", "pass", "n", "first_seq", "last_seq", _seven_digits(F.col("total")).alias("total"))
 
 
 # ---- ray tracing and reconstruction
@@ -601,6 +646,13 @@ def sirt_windowed(spark, d):
     return rounded(raytrace.sirt_windowed(t.rays(spark, d), SIDE, 32, 4, emit_every=8), "val")
 
 
+@query()
+def sirt_live(spark, d):
+    """The same as a stream of frames: images and windows are state, and published as they come."""
+    frames = t.frames(spark, d).select("proj", t.angle(F.col("proj"), t.n_frames(spark, d)).alias("theta"), F.lit(None).cast("double").alias("center"), "px")
+    return rounded(reconstruction.reconstructed(frames, SIDE, SIDE, length=32, step=4, emit_every=8), "val")
+
+
 @query()
 def art_slices(spark, d):
     return rounded(art.art(t.rays(spark, d), SIDE), "val")
