@@ -343,18 +343,18 @@ o AS (SELECT chan, seq, flat, dark, CASE WHEN flat IS NULL OR dark IS NULL THEN
 
 
 def _seven_digits(x: Column) -> Column:
-    """Rounded to seven significant digits: values over a tiny flat - dark are large, and rounding errors with them."""
-    power = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))).cast("double"))
-    return F.when(x == 0, 0.0).otherwise(F.round(x / power, 6) * power)
+    """Rounded to six decimals, or seven significant digits if larger: values over a tiny flat - dark are large, and rounding errors with them."""
+    power = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10(F.abs(x))).cast("double"), F.lit(0.0)))
+    return F.when(x == 0, 0.0).otherwise(F.round(x / power, 6) * power + 0.0)
 
 
-_DIGITS = "CASE WHEN x = 0 THEN 0::DOUBLE ELSE round(x / pow(10::DOUBLE, floor(log10(abs(x)))), 6) * pow(10::DOUBLE, floor(log10(abs(x)))) END"
+_DIGITS = "CASE WHEN x = 0 THEN 0::DOUBLE ELSE round(x / pow(10::DOUBLE, greatest(floor(log10(abs(x))), 0)), 6) * pow(10::DOUBLE, greatest(floor(log10(abs(x))), 0)) + 0.0::DOUBLE END"
 
 
-@query(with_views("m", "").rstrip() + _FIELDS + f"SELECT chan, seq, round(flat, 4) AS flat, round(dark, 4) AS dark, {_DIGITS} AS x FROM o")
+@query(with_views("m", "").rstrip() + _FIELDS + f"SELECT chan, seq, round(flat, 9) AS flat, round(dark, 9) AS dark, {_DIGITS} AS x FROM o")
 def asof_normalise(spark, d):
     own = normalise.normalised(t.messages(spark, d))
-    return rounded(own.select("chan", "seq", "flat", "dark", _seven_digits(F.col("out")).alias("x")), "flat", "dark", digits=4)
+    return rounded(own.select("chan", "seq", "flat", "dark", _seven_digits(F.col("out")).alias("x")), "flat", "dark", digits=9)
 
 
 @query(with_views("m", "").rstrip() + _FIELDS + "SELECT chan, seq, round(CASE WHEN y < 0 THEN 0 ELSE y END, 4) AS x FROM (SELECT chan, seq, CASE WHEN x > 0 THEN -ln(x) ELSE 0 END AS y FROM o)")
@@ -465,12 +465,12 @@ def stream_window_general(spark, d):
     + _FIELDS
     + f""", c AS (SELECT chan, seq, sum((itype IN (2, 4))::INT) OVER w AS flats, sum((itype IN (3, 5))::INT) OVER w AS darks, row_number() OVER w AS received, sum(greatest(gap, 0)) OVER w AS lost
     FROM (SELECT *, coalesce(seq - lag(seq) OVER (PARTITION BY chan ORDER BY arrival) - 1, 0) AS gap FROM m) WINDOW w AS (PARTITION BY chan ORDER BY arrival ROWS UNBOUNDED PRECEDING))
-    SELECT chan, seq, round(flat, 4) AS flat, round(dark, 4) AS dark, {_DIGITS} AS x, flats::BIGINT AS flats, darks::BIGINT AS darks, received, lost::BIGINT AS lost FROM o JOIN c USING (chan, seq)"""
+    SELECT chan, seq, round(flat, 9) AS flat, round(dark, 9) AS dark, {_DIGITS} AS x, flats::BIGINT AS flats, darks::BIGINT AS darks, received, lost::BIGINT AS lost FROM o JOIN c USING (chan, seq)"""
 )
 def live_normalise(spark, d):
     """Fields, normalisation and counters kept as state, over several micro-batches."""
     own = sources.replayed(channels.normalised(_live(spark, d)))
-    return rounded(own.select("chan", "seq", "flat", "dark", _seven_digits(F.col("out")).alias("x"), "flats", "darks", "received", "lost"), "flat", "dark", digits=4)
+    return rounded(own.select("chan", "seq", "flat", "dark", _seven_digits(F.col("out")).alias("x"), "flats", "darks", "received", "lost"), "flat", "dark", digits=9)
 
 
 def _live_windows_sql(length: int, step: int) -> str:

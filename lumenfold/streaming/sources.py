@@ -17,8 +17,15 @@ FILES = 4  # of a part, which is what one micro-batch takes
 def acquire(messages: DataFrame, order: str, ends: DataFrame, folder: str, parts: int = 4) -> None:
     """messages written to a folder in `parts` of about equal counts, in order of the column `order` (a number or timestamp), then `ends`, the messages that end their channels.
 
-    A part has FILES files at most and all its rows come before the next part's; within it they may lie in any order.
+    A part has FILES files, empty rows where there is nothing else, so a micro-batch is a part: all its rows come before
+    the next part's. Within a part they may lie in any order.
     """
+    filler = messages.sparkSession.range(FILES).select(F.col("id").cast("int").alias("file"))
+
+    def write(part: DataFrame) -> None:
+        dealt = part.withColumn("file", F.pmod(F.monotonically_increasing_id(), F.lit(FILES)).cast("int"))
+        dealt.unionByName(filler, allowMissingColumns=True).repartition("file").write.mode("append").partitionBy("file").parquet(folder)
+
     time = dict(messages.dtypes)[order].startswith("timestamp")
     at = F.col(order).cast("timestamp").cast("double") if time else F.col(order).cast("double")
     steps = [k / parts for k in range(1, parts)]
@@ -27,13 +34,14 @@ def acquire(messages: DataFrame, order: str, ends: DataFrame, folder: str, parts
     for low, high in zip(edges, edges[1:], strict=False):
         own = messages if low is None else messages.filter(at > low)
         own = own if high is None else own.filter(at <= high)
-        own.repartition(FILES).write.mode("append").parquet(folder)
-    ends.repartition(FILES).write.mode("append").parquet(folder)
+        write(own)
+    write(ends)
 
 
 def opened(spark: SparkSession, folder: str, schema) -> DataFrame:
     """The folder as a stream, FILES files a micro-batch in order of their writing. Nothing is known of what is to come."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+    return stream.filter("itype IS NOT NULL").drop("file")
 
 
 def message_stream(messages: DataFrame, parts: int = 4) -> DataFrame:

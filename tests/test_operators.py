@@ -13,7 +13,6 @@ from lumenfold.functions import payload
 from lumenfold.operators import art, count_window, image_quality, prefix, raytrace, reorder
 from lumenfold.plans import catalog
 from lumenfold.sources import scans
-from lumenfold.streaming import windows
 
 N = 8
 
@@ -60,19 +59,6 @@ def test_length_changes_at_run_time():
     assert sizes_ == [1, 2, 3, 4, 4, 4, 2, 2, 2, 2] and [len(m) for _, m in own.close()] == [1]
 
 
-def test_stream_keeps_state_between_batches(spark, tmp_path):
-    """Three files, one a micro-batch; a length that changes; the drain at the end marker only."""
-    rows = [(1, k, k, float(k), k == 8, 2 if k == 6 else None) for k in range(9)] + [(2, k, 100 + k, 1.0, False, None) for k in range(5)]
-    schema = "chan long, arrival long, seq long, val double, fin boolean, length int"
-    for k in range(3):
-        spark.createDataFrame([r for r in rows if r[1] // 3 == k], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"batch={k}"))
-        time.sleep(1.1)  # files are read in order of their time
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    got = windows.replayed(windows.count_windows(source, 4, 2)).orderBy("chan", "pass").collect()
-    assert [(r["pass"], r.n, r.first_seq, r.last_seq) for r in got if r.chan == 1] == [(0, 2, 0, 1), (1, 4, 0, 3), (2, 4, 2, 5), (3, 2, 6, 7), (4, 1, 8, 8)]
-    assert [(r["pass"], r.n, r.first_seq) for r in got if r.chan == 2] == [(0, 2, 100), (1, 4, 100)]
-
-
 @pytest.mark.parametrize(("n", "want"), [(7, [0, 3, 6, 1, 2, 4, 5]), (8, [0, 4, 2, 6, 1, 3, 5, 7]), (10, [0, 5, 2, 4, 6, 8, 1, 3, 7, 9])])
 def test_halving(spark, n, want):
     got = spark.range(n).withColumn("level", reorder.halving_level(F.col("id"), n)).orderBy("level", "id")
