@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,8 @@ from lumenfold.functions import payload
 from lumenfold.functions import scalars as sc
 from lumenfold.plans import quality_sql
 from lumenfold.operators import art, center, count_window, image_quality, normalise, raytrace, reduction, reorder, stream_checks, stripes
-from lumenfold.plans.cut import cut
-from lumenfold.sources import scans
+from lumenfold.plans.cut import cut, shared_dir
+from lumenfold.sources import arrays, scans
 from lumenfold.sources import tables as t
 from lumenfold.sources.tables import SIDE, with_views
 from lumenfold.streaming import channels, reconstruction, sources
@@ -362,6 +363,27 @@ def preprocess_chain(spark, d):
     return rounded(normalise.preprocessed(t.messages(spark, d)).select("chan", "seq", F.col("out").alias("x")), "x", digits=4)
 
 
+_KINDS = {0: 2, 1: 3, 5: 4, 6: 5}  # of frames, by their number modulo 11; all others are projections
+
+
+@query(
+    f"""WITH m AS (SELECT vec_id AS arrival, vec_id AS seq, e AS chan, {"CASE vec_id % 11 " + " ".join(f"WHEN {k} THEN {v}" for k, v in _KINDS.items()) + " ELSE 1 END"} AS itype, val
+    FROM (SELECT vec_id, unnest(range(64)) AS e, unnest(embedding::DOUBLE[]) AS val FROM embeddings))"""
+    + _FIELDS
+    + """, y AS (SELECT seq, chan // 2 AS pair, avg(x) AS x FROM o GROUP BY 1, 2)
+    SELECT o.seq AS proj, o.chan::INT AS pix, round(CASE WHEN y.x > 0 AND y.x < 1 THEN -ln(y.x) ELSE 0 END, 4) + 0.0::DOUBLE AS x FROM o JOIN y ON y.seq = o.seq AND y.pair = o.chan // 2"""
+)
+def preprocess_images(spark, d):
+    """The whole chain on frames, pixel by pixel: fields as of arrival, stripes of each projection (one Haar level leaves pairs their mean), -log, clean-up."""
+    kind = F.lit(1)
+    for k, v in _KINDS.items():
+        kind = F.when(F.col("proj") % 11 == k, v).otherwise(kind)
+    m = t.frames(spark, d).select(F.col("proj").alias("arrival"), F.col("proj").alias("seq"), F.posexplode("px").alias("chan", "val"), kind.alias("itype"))
+    out = normalise.normalised(m).groupBy(F.col("seq").alias("proj")).agg(F.transform(F.sort_array(F.collect_list(F.struct("chan", "out"))), lambda c: c["out"]).alias("px"))
+    clean = stripes.remove_stripes_of_frames(out, SIDE, levels=1, kind="haar")
+    return clean.select("proj", F.posexplode("px").alias("pix", "x")).withColumn("x", F.round(sc.remove_invalids(sc.minus_log(F.col("x"))), 4))
+
+
 SCAN = 32  # projections of a scan, where a query needs scans
 _HAAR = f""", s AS (SELECT proj, proj // {SCAN} AS scan, (proj % {SCAN}) // 2 AS k, col // 2 AS c, CASE WHEN col % 2 = 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS side, slice, col, val FROM r),
 n AS (SELECT scan, count(DISTINCT k) AS m FROM s GROUP BY scan),
@@ -679,6 +701,47 @@ def volume_message(spark, d):
     return own.select("pass", "seq", "center", "itype", "dims.z", "dims.y", "dims.x", F.octet_length("tdata").alias("n_bytes"), F.round(total, 3).alias("total"))
 
 
+@query(with_views("f", "SELECT proj // 8 AS pass, (proj % 8 // 2)::INT AS seq, 0::TINYINT AS itype, count(*)::INT AS z, 8 AS y, 8 AS x, (count(*) * 256)::INT AS n_bytes, round(sum(list_sum(px)), 3) AS total FROM f GROUP BY 1, 2"))
+def volume_blocks(spark, d):
+    """Volumes as messages of two slices each."""
+    own = scans.volume_messages(_image(spark, d).withColumnRenamed("vol", "pass"), SIDE, 2).withColumn("px", payload.decoded(F.col("tdata"), "float32").cast("array<double>"))
+    total = F.aggregate("px", F.lit(0.0), lambda s, v: s + v)
+    return own.select("pass", "seq", "itype", "dims.z", "dims.y", "dims.x", F.octet_length("tdata").alias("n_bytes"), F.round(total, 3).alias("total"))
+
+
+# ---- array files and stored images
+
+
+def _stored(spark, name: str) -> str:
+    """A path of its own in the shared folder, as tasks that write arrays name it."""
+    return f"{shared_dir(spark).removeprefix('file://')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(with_views("r", "SELECT proj, slice, col, val::FLOAT AS val, round((proj * 0.5::DOUBLE)::FLOAT, 3) AS theta FROM r WHERE slice >= 2 AND slice < 5 AND proj >= 7"))
+def array_block(spark, d):
+    """All frames as one array file, written by slices at their offsets; of it a block of slices and projections."""
+    n, path = t.n_frames(spark, d), _stored(spark, "array")
+    rows = t.frames(spark, d).select("proj", F.posexplode(F.expr(f"transform(sequence(0, {SIDE - 1}), s -> slice(px, s * {SIDE} + 1, {SIDE}))")).alias("slice", "px"))
+    arrays.write_array(rows.select("proj", "slice", (F.col("proj") * 0.5).cast("float").alias("theta"), F.col("px").cast("array<float>").alias("px")), path, n, SIDE, SIDE)
+    own = arrays.read_arrays(spark, path).filter((F.col("slice") >= 2) & (F.col("slice") < 5) & (F.col("proj") >= 7))
+    return own.select("proj", "slice", F.posexplode("px").alias("col", "val"), F.round("theta", 3).alias("theta"))
+
+
+@query(with_views("f", "SELECT proj::BIGINT AS slice, (k - 1)::INT AS pix, px[k]::FLOAT::DOUBLE AS val FROM (SELECT *, unnest(range(1, 65)) AS k FROM f) WHERE proj >= 3 AND proj < 3 + 40"))
+def checkpoint_slices(spark, d):
+    """Images stored as the solver stores them, and the slices that a restart takes."""
+    image = t.frames(spark, d).select(F.col("proj").alias("slice"), F.posexplode("px").alias("pix", "val"))
+    folder = scans.write_iterations(image, f"{shared_dir(spark)}/{uuid.uuid4().hex}", 1, restarted=True)
+    return scans.read_checkpoint(spark, folder, 3, 40)
+
+
+@query("SELECT vec_id AS proj, round(radians(vec_id * 0.3::DOUBLE), 9) AS theta FROM embeddings")
+def stored_angles(spark, d):
+    """Angles read from a column of the scan."""
+    own = t.read(spark, d, "embeddings").select(F.col("vec_id").alias("proj"), F.radians(F.col("vec_id") * 0.3).alias("angle"))
+    return scans.read_theta(own, "angle").select("proj", F.round("theta", 9).alias("theta"))
+
+
 # ---- image quality, reductions, payloads
 
 _MM = ", s AS (SELECT pair, list_transform(a, lambda v: (v - list_min(a)) / (list_max(a) - list_min(a))) AS a, list_transform(b, lambda v: (v - list_min(b)) / (list_max(b) - list_min(b))) AS b FROM p), px AS (SELECT pair, unnest(a) AS a, unnest(b) AS b FROM s) "

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,16 +111,20 @@ def read_checkpoint(spark: SparkSession, folder: str, first: int = 0, n: int | N
     return image if n is None else image.filter(F.col("slice") < first + n)
 
 
-def volume_messages(image: DataFrame, n: int) -> DataFrame:
-    """A reconstruction (pass, slice, pix, val) as the messages that publish it: one a pass, float32 pixels, the kind that ends a scan.
+def volume_messages(image: DataFrame, n: int, slices: int | None = None) -> DataFrame:
+    """A reconstruction (pass, slice, pix, val) as the messages that publish it, float32 pixels, the kind that ends a scan.
 
-    A volume is one message as its subscribers expect it, so a task holds one.
+    slices: how many slices a message has; messages of a pass are numbered by seq, and a task holds one. Without it a
+    volume is one message, as its subscribers expect it, which is for volumes that fit into a task.
     """
+    if slices is not None:
+        image = image.withColumn("seq", F.floor(F.col("slice") / slices).cast("int"))
+    by = ["pass"] if slices is None else ["pass", "seq"]
     cells = F.sort_array(F.collect_list(F.struct("slice", "pix", F.col("val").cast("float").alias("val"))))
-    whole = image.groupBy("pass").agg(cells.alias("c"), F.countDistinct("slice").cast("int").alias("z"))
+    whole = image.groupBy(*by).agg(cells.alias("c"), F.countDistinct("slice").cast("int").alias("z"))
     dims = F.struct(F.col("z"), F.lit(n).alias("y"), F.lit(n).alias("x")).alias("dims")
     zero = lambda name, kind: F.lit(0).cast(kind).alias(name)
-    return whole.select("pass", zero("seq", "int"), dims, zero("rotation", "float"), zero("center", "float"), zero("unique_id", "int"), F.lit(END).cast("tinyint").alias("itype"), encoded(F.col("c.val")).alias("tdata"))
+    return whole.select("pass", zero("seq", "int") if slices is None else "seq", dims, zero("rotation", "float"), zero("center", "float"), zero("unique_id", "int"), F.lit(END).cast("tinyint").alias("itype"), encoded(F.col("c.val")).alias("tdata"))
 
 
 def extract_sinogram(frames: DataFrame, width: int, row: int = 0) -> DataFrame:
@@ -143,7 +149,9 @@ def write_acquisitions(frames: DataFrame, folder: str, height: int, width: int)
 
     def write(rows: Iterator) -> None:
         for r in rows:
-            with open(f"{folder}/{r.scan}.data", "wb") as out:
+            own = f"{folder}/.{r.scan}-{uuid.uuid4().hex}"
+            with open(own, "wb") as out:
                 out.write(bytes(r.content))
+            os.replace(own, f"{folder}/{r.scan}.data")  # a task that fails leaves no half of a scan
 
     acquisition_contents(frames, height, width).foreachPartition(write)
