@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 import uuid
 from collections.abc import Callable
@@ -13,12 +14,12 @@ from pyspark.sql import functions as F
 from lumenfold.functions import payload
 from lumenfold.functions import scalars as sc
 from lumenfold.plans import quality_sql
-from lumenfold.operators import art, center, count_window, image_quality, normalise, raytrace, reduction, reorder, stream_checks, stripes
+from lumenfold.operators import art, center, count_window, image_quality, normalise, raytrace, reduction, reorder, stream_checks, stripes, tiles
 from lumenfold.plans.cut import cut, shared_dir
 from lumenfold.sources import arrays, scans
 from lumenfold.sources import tables as t
 from lumenfold.sources.tables import SIDE, with_views
-from lumenfold.streaming import channels, reconstruction, sources
+from lumenfold.streaming import channels, finished, reconstruction, sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -467,19 +468,19 @@ def _stream_sql(length: int, step: int) -> str:
         FROM s JOIN e ON e.chan = s.key AND k >= lo AND k < hi WHERE pass >= 0 GROUP BY 1, 2"""
 
 
-def _live(spark, d):
-    return sources.message_stream(t.messages(spark, d))
+def _live(spark, d, parts: int = 4):
+    return sources.message_stream(t.messages(spark, d), parts)
 
 
 @query(_stream_sql(4, 2))
 def stream_window(spark, d):
     """Feeding passes and, from the end message on, the drain."""
-    return rounded(sources.replayed(channels.count_windows(_live(spark, d), 4, 2, raw=True)), "total")
+    return rounded(sources.replayed(channels.count_windows(_live(spark, d, 2), 4, 2, raw=True)), "total")
 
 
 @query(_stream_sql(5, 3))
 def stream_window_general(spark, d):
-    return rounded(sources.replayed(channels.count_windows(_live(spark, d), 5, 3, raw=True)), "total")
+    return rounded(sources.replayed(channels.count_windows(_live(spark, d, 2), 5, 3, raw=True)), "total")
 
 
 @query(
@@ -637,11 +638,20 @@ def sirt_one_pass(spark, d):
     return rounded(raytrace.sirt(t.rays(spark, d), SIDE), "val")
 
 
-@query(_R + _PASS1 + ", f1 AS (SELECT proj, slice, col, sum(val * leng) AS sim FROM sys JOIN i1 USING (pix) GROUP BY 1, 2, 3), u2 AS (SELECT r.proj, r.slice, r.col, (val - coalesce(sim, 0)) / nrm AS upd FROM r JOIN nrm ON r.proj = nrm.proj AND r.col = nrm.col LEFT JOIN f1 ON f1.proj = r.proj AND f1.slice = r.slice AND f1.col = r.col), i2 AS (SELECT slice, pix, coalesce(sum(leng * upd) / nullif(sum(leng), 0), 0) AS change FROM sys JOIN u2 ON sys.proj = u2.proj AND sys.col = u2.col GROUP BY 1, 2) SELECT slice, pix, round(coalesce(val, 0) + coalesce(change, 0), 6) AS val FROM i1 FULL JOIN i2 USING (slice, pix)")
+_TWO = _R + _PASS1 + ", f1 AS (SELECT proj, slice, col, sum(val * leng) AS sim FROM sys JOIN i1 USING (pix) GROUP BY 1, 2, 3), u2 AS (SELECT r.proj, r.slice, r.col, (val - coalesce(sim, 0)) / nrm AS upd FROM r JOIN nrm ON r.proj = nrm.proj AND r.col = nrm.col LEFT JOIN f1 ON f1.proj = r.proj AND f1.slice = r.slice AND f1.col = r.col), i2 AS (SELECT slice, pix, coalesce(sum(leng * upd) / nullif(sum(leng), 0), 0) AS change FROM sys JOIN u2 ON sys.proj = u2.proj AND sys.col = u2.col GROUP BY 1, 2) SELECT slice, pix, round(coalesce(val, 0) + coalesce(change, 0), 6) AS val FROM i1 FULL JOIN i2 USING (slice, pix)"
+
+
+@query(_TWO)
 def sirt_two_iter(spark, d):
     return rounded(raytrace.sirt(t.rays(spark, d), SIDE, 2), "val")
 
 
+@query(_TWO)
+def sirt_tiled(spark, d):
+    """The same on dense tiles: partial images are exchanged, not segments."""
+    return rounded(tiles.sirt(t.rays(spark, d), SIDE, 2), "val")
+
+
 _CENTERED = "SELECT DISTINCT proj, theta, col, CASE WHEN proj % 4 = 0 THEN 0 ELSE 3.5::DOUBLE + (proj % 4) * 0.25 END AS c FROM r"
 _MOVED = "(4 - CASE WHEN c > 0 THEN c ELSE 5 END + 1e-6::DOUBLE)"
 
@@ -727,6 +737,20 @@ def array_block(spark, d):
     return own.select("proj", "slice", F.posexplode("px").alias("col", "val"), F.round("theta", 3).alias("theta"))
 
 
+@query(with_views("r", "SELECT proj // 3 AS proj, slice, col, val::FLOAT AS val FROM r WHERE proj % 3 < 2"))
+def finished_files(spark, d):
+    """Three array files, one after the other, in a folder that is watched: the newest is held back."""
+    n, folder = t.n_frames(spark, d), _stored(spark, "watched")
+    rows = t.frames(spark, d).select("proj", F.posexplode(F.expr(f"transform(sequence(0, {SIDE - 1}), s -> slice(px, s * {SIDE} + 1, {SIDE}))")).alias("slice", "px"))
+    own = rows.select("proj", "slice", F.lit(0.0).cast("float").alias("theta"), F.col("px").cast("array<float>").alias("px"))
+    os.makedirs(folder)
+    for k in range(3):
+        part = own.filter(F.col("proj") % 3 == k).withColumn("proj", F.floor(F.col("proj") / 3).cast("long"))
+        arrays.write_array(part, f"{folder}/{k}.data", (n - k + 2) // 3, SIDE, SIDE)
+    out = sources.replayed(finished.finished_arrays(spark, folder))
+    return out.select("proj", "slice", F.posexplode("px").alias("col", "val"))
+
+
 @query(with_views("f", "SELECT proj::BIGINT AS slice, (k - 1)::INT AS pix, px[k]::FLOAT::DOUBLE AS val FROM (SELECT *, unnest(range(1, 65)) AS k FROM f) WHERE proj >= 3 AND proj < 3 + 40"))
 def checkpoint_slices(spark, d):
     """Images stored as the solver stores them, and the slices that a restart takes."""

@@ -53,15 +53,22 @@ class Block(InputPartition):
     bottom: int
 
 
+def local_or_remote(path: str) -> tuple[pafs.FileSystem, str]:
+    """A path's file system, any that pyarrow knows, and its name there."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.removeprefix("file:")
+    return pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
 def opened(path: str) -> pa.NativeFile:
-    """A file of any file system that pyarrow knows, for reads at offsets."""
-    system, name = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+    """A file for reads at offsets."""
+    system, name = local_or_remote(path)
     return system.open_input_file(name)
 
 
 def files(path: str) -> list[str]:
     """The file itself, or those of a folder, by name; hidden ones are none."""
-    system, name = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+    system, name = local_or_remote(path)
     info = system.get_file_info(name)
     if info.type == pafs.FileType.File:
         return [path]

@@ -15,7 +15,7 @@ FILES = 4  # of a part, which is what one micro-batch takes
 
 
 def acquire(messages: DataFrame, order: str, ends: DataFrame, folder: str, parts: int = 4) -> None:
-    """messages written to a folder in `parts` of about equal counts, in order of the column `order` (a number or timestamp), then `ends`, the messages that end their channels.
+    """messages written to a folder in `parts` of about equal counts, in order of the column `order` (a number or timestamp), the last with `ends`, the messages that end their channels.
 
     A part has FILES files, empty rows where there is nothing else, so a micro-batch is a part: all its rows come before
     the next part's. Within a part they may lie in any order.
@@ -33,9 +33,8 @@ def acquire(messages: DataFrame, order: str, ends: DataFrame, folder: str, parts
     edges = [None, *cuts, None]
     for low, high in zip(edges, edges[1:], strict=False):
         own = messages if low is None else messages.filter(at > low)
-        own = own if high is None else own.filter(at <= high)
+        own = own.unionByName(ends) if high is None else own.filter(at <= high)
         write(own)
-    write(ends)
 
 
 def opened(spark: SparkSession, folder: str, schema) -> DataFrame:

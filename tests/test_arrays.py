@@ -9,6 +9,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from lumenfold.sources import arrays
+from lumenfold.streaming import finished, sources
 
 
 def made(path, n=7, height=5, width=4):
@@ -108,3 +109,28 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
         assert os.listdir(tmp_path) == []
     arrays.write_array(rows, str(tmp_path / "out.data"), 7, 5, 4)
     assert arrays.read_arrays(spark, str(tmp_path / "out.data")).count() == 35
+
+
+def test_a_watched_folder_holds_the_newest_file_back(spark, tmp_path):
+    """A file under writing is never opened, a restart repeats nothing, and files of one time go by name."""
+    folder, top = tmp_path / "in", str(tmp_path / "run")
+    folder.mkdir()
+
+    def put(name, second, n=2):
+        made(folder / name, n, 3, 4)
+        os.utime(folder / name, (second, second))
+
+    def seen():
+        out = sources.run_to_end(finished.finished_arrays(spark, str(folder), 20), top)
+        return sorted((r.path.split("/")[-1], r["count"]) for r in out.groupBy("path").count().collect())
+
+    assert seen() == []
+    put("b.data", 1000)
+    put("a.data", 1000)
+    (folder / "c.data").write_bytes(b"half a file")
+    os.utime(folder / "c.data", (2000, 2000))
+    assert seen() == [("a.data", 6), ("b.data", 6)]
+    assert seen() == [("a.data", 6), ("b.data", 6)]
+    put("c.data", 2001, 5)
+    put("d.data", 3000)
+    assert seen() == [("a.data", 6), ("b.data", 6), ("c.data", 15)]
