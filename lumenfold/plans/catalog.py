@@ -15,7 +15,7 @@ from lumenfold.functions import payload
 from lumenfold.functions import scalars as sc
 from lumenfold.plans import quality_sql
 from lumenfold.operators import art, center, count_window, image_quality, normalise, raytrace, reduction, reorder, stream_checks, stripes, tiles
-from lumenfold.plans.cut import cut, shared_dir
+from lumenfold.plans.cut import cut, noted, shared_dir
 from lumenfold.sources import arrays, scans
 from lumenfold.sources import tables as t
 from lumenfold.sources.tables import SIDE, with_views
@@ -724,7 +724,7 @@ def volume_blocks(spark, d):
 
 def _stored(spark, name: str) -> str:
     """A path of its own in the shared folder, as tasks that write arrays name it."""
-    return f"{shared_dir(spark).removeprefix('file://')}/{name}-{uuid.uuid4().hex}"
+    return noted(spark, f"{shared_dir(spark).removeprefix('file://')}/{name}-{uuid.uuid4().hex}")
 
 
 @query(with_views("r", "SELECT proj, slice, col, val::FLOAT AS val, round((proj * 0.5::DOUBLE)::FLOAT, 3) AS theta FROM r WHERE slice >= 2 AND slice < 5 AND proj >= 7"))
@@ -755,7 +755,7 @@ def finished_files(spark, d):
 def checkpoint_slices(spark, d):
     """Images stored as the solver stores them, and the slices that a restart takes."""
     image = t.frames(spark, d).select(F.col("proj").alias("slice"), F.posexplode("px").alias("pix", "val"))
-    folder = scans.write_iterations(image, f"{shared_dir(spark)}/{uuid.uuid4().hex}", 1, restarted=True)
+    folder = scans.write_iterations(image, noted(spark, f"{shared_dir(spark)}/checkpoint-{uuid.uuid4().hex}"), 1, restarted=True)
     return scans.read_checkpoint(spark, folder, 3, 40)
 
 

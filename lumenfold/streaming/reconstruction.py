@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lumenfold.operators.count_window import CountWindow
 from lumenfold.operators.raytrace import SlidingImage
-from lumenfold.plans.cut import shared_dir
+from lumenfold.plans.cut import noted, shared_dir
 from lumenfold.sources.scans import END
 from lumenfold.streaming.sources import LENGTH, acquire, keep_state_on_disk, opened
 
@@ -117,6 +117,6 @@ def frame_stream(frames: DataFrame, folder: str, parts: int = 4) -> DataFrame:
 
 def reconstructed(frames: DataFrame, n: int, slices: int, parts: int = 4, **how) -> DataFrame:
     """(pass, slice, pix, val): frames sent as a stream, reconstructed on the way, published, and read back."""
-    top = f"{shared_dir(frames.sparkSession)}/live-{uuid.uuid4().hex}"
+    top = noted(frames.sparkSession, f"{shared_dir(frames.sparkSession)}/live-{uuid.uuid4().hex}")
     publish(images(frame_stream(frames, f"{top}/frames", parts), n, slices, **how), top)
     return published(frames.sparkSession, top)

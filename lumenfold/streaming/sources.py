@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.plans.cut import shared_dir
+from lumenfold.plans.cut import noted, shared_dir
 from lumenfold.sources.scans import END
 
 LENGTH = 6  # kind of message that sets a channel's window length, its value
@@ -46,7 +46,7 @@ def opened(spark: SparkSession, folder: str, schema) -> DataFrame:
 def message_stream(messages: DataFrame, parts: int = 4) -> DataFrame:
     """Messages (chan, arrival, seq, itype, val) as an acquisition sends them: in order of arrival, then an end message for each channel."""
     spark = messages.sparkSession
-    folder = f"{shared_dir(spark)}/messages-{uuid.uuid4().hex}"
+    folder = noted(spark, f"{shared_dir(spark)}/messages-{uuid.uuid4().hex}")
     own = messages.select("chan", "arrival", "seq", "itype", "val")
     ends = own.groupBy("chan").agg(F.max("arrival").alias("arrival")).select("chan", "arrival", F.lit(0).cast("bigint").alias("seq"), F.lit(END).alias("itype"), F.lit(None).cast("double").alias("val"))
     acquire(own, "arrival", ends, folder, parts)
@@ -67,4 +67,4 @@ def run_to_end(out: DataFrame, top: str) -> DataFrame:
 
 def replayed(out: DataFrame) -> DataFrame:
     """What a stream gives once all its input is there, by way of a sink in the shared folder."""
-    return run_to_end(out, f"{shared_dir(out.sparkSession)}/stream-{uuid.uuid4().hex}")
+    return run_to_end(out, noted(out.sparkSession, f"{shared_dir(out.sparkSession)}/stream-{uuid.uuid4().hex}"))
