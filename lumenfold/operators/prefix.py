@@ -47,6 +47,20 @@ def changes(column: pa.Array) -> np.ndarray:
     return np.concatenate(([False], other.to_numpy(zero_copy_only=False)))
 
 
+def in_order(values: np.ndarray, start: np.ndarray, before: float) -> np.ndarray:
+    """Sums that begin anew at each start, added one value after the other as SQL adds them, the first to `before`.
+
+    Not compensated, as pandas' are: where a value equals a mean of others, the last bit decides whether a difference is zero.
+    """
+    out = values.astype(float)
+    if len(out) and not start[0]:
+        out[0] += before
+    cuts = [0, *np.flatnonzero(start).tolist(), len(out)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        out[a:b] = np.add.accumulate(out[a:b])
+    return out
+
+
 class RangeScan:
     """The scan of one range, batch by batch. A sum or last value is open until a key or reset in this range determines it alone."""
 
@@ -72,8 +86,11 @@ class RangeScan:
         start = new if reset is None else new | pc.fill_null(batch.column(reset), False).to_numpy(zero_copy_only=False)
         part = np.cumsum(start)
         values = pc.fill_null(batch.column(value), 0).to_numpy(zero_copy_only=False)
-        out = pd.Series(values).groupby(part).cumsum().to_numpy()
-        out = np.where(part == 0, out + self.sum[name], out)
+        if values.dtype.kind == "f":
+            out = in_order(values, start, self.sum[name])
+        else:
+            out = pd.Series(values).groupby(part).cumsum().to_numpy()
+            out = np.where(part == 0, out + self.sum[name], out)
         still = (part == 0) & self.open[name]
         self.sum[name], self.open[name] = out[-1], bool(still[-1])
         return pa.array(out), still
