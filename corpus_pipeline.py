@@ -26,8 +26,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five words, similarity of 0.8), that with the smallest id and text hash; null ids come last. Null texts count as empty."""
-    return drop_near_copies(docs)
+    """One document of each component of near copies (op4's fingerprints within four bits, or five-word similarity of 0.8), that with the smallest id and text hash; null ids come last. Null texts count as empty."""
+    return drop_near_copies(docs, fingerprints=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8; and, if asked for, documents that SimHash links.
 
-Each different set of shingles is a class. Classes meet when they agree in one of BANDS bands of ROWS MinHash values
+Fingerprints within simhash.MOST bits (simhash.links, by pivot distance tables) are links as they are. At a similarity of 0.8
+fingerprints differ by about ten bits, so many pairs lie beyond; the rest is found by bands. Each different set of shingles is a class. Classes meet when they agree in one of BANDS bands of ROWS MinHash values
 (two sets at 0.8 miss all bands with a chance of (1 - 0.8**4)**20 = 3e-5, more similar ones with less). Those that meet
 are held against each other by the sets themselves, so that no link is below the similarity. Only a spanning forest
 of a group's links is written; groups that agree in all members count once. Groups above `chunk` classes are cut into
@@ -20,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
+from lumenfold.llm import simhash
 from lumenfold.llm.common import keep_rows, stash, text_or_empty
-from lumenfold.llm.simhash import components
+from lumenfold.llm.simhash import components, salted, spread
 
 SHINGLE, SIMILAR, BANDS, ROWS, SEED, CHUNK = 5, 0.8, 20, 4, 42, 1024
 PIECE = 20_000  # shingles hashed at a time
@@ -51,10 +53,11 @@ def bands(own: np.ndarray) -> np.ndarray:
     return (least.reshape(BANDS, ROWS) * MIX).sum(1, dtype=np.uint64).view(np.int64)
 
 
-@F.pandas_udf(StructType().add("key", BinaryType()).add("bands", ArrayType(LongType())))
+@F.pandas_udf(StructType().add("key", BinaryType()).add("bands", ArrayType(LongType())).add("fp", LongType()))
 def sketch_udf(texts: pd.Series) -> pd.DataFrame:
     sets = [shingles(bytes(x)) for x in texts]
-    return pd.DataFrame({"key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "bands": [bands(s) for s in sets]})
+    fps = np.array([simhash.fingerprint(bytes(x)) for x in texts], dtype=np.uint64).view(np.int64)
+    return pd.DataFrame({"key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "bands": [bands(s) for s in sets], "fp": fps})
 
 
 @F.pandas_udf(BinaryType())
@@ -130,16 +133,30 @@ def links(docs: DataFrame, classes: DataFrame, similar: float = SIMILAR, chunk:
     return ready.mapInPandas(_links(similar), "a binary, b binary").distinct()
 
 
-def drop_near_copies(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
-    """docs with one document of each component of near copies; all columns stay.
+def fingerprint_links(marked: DataFrame) -> DataFrame:
+    """(a, b) over the keys of marked (key, fp; different rows): each to the least key of its component of fingerprints."""
+    fps = stash(marked.select("fp").distinct(), "near-fingerprints")
+    found = components(simhash.links(fps)).select(F.col("node").alias("fp"), "root")
+    coded = stash(salted(marked, "key").join(spread(found), ["fp", "__salt"], "left").select("key", F.coalesce("root", "fp").alias("code")), "near-codes")
+    least = coded.groupBy("code").agg(F.min("key").alias("a"), F.max("key").alias("last")).filter(F.col("a") != F.col("last"))
+    both = salted(coded, "key").join(spread(least), ["code", "__salt"])
+    return both.filter(F.col("key") != F.col("a")).select("a", F.col("key").alias("b")).distinct()
+
+
+def drop_near_copies(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK, fingerprints: bool = False) -> DataFrame:
+    """docs with one document of each component of near copies, linked by similarity, and by fingerprints if asked for; all columns stay.
 
     Very long texts are taken whole. The one that stays has the smallest (id, SHA-256 of the text), null ids last. A null text counts as empty. Rows with
     the same id, or without one, stay as long as their texts are no near copies. An empty table gives an empty result.
     """
     sketched = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("t")).select("id", F.unhex(F.sha2("t", 256)).alias("sha"), sketch_udf(F.col("t").cast("binary")).alias("s"))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("best")
-    classes = stash(sketched.select("id", "sha", "s.*").groupBy("key").agg(best, F.first("bands").alias("bands")), "near-classes")
-    found = components(links(docs, classes, similar, chunk))
+    marked = stash(sketched.select("id", "sha", "s.*").groupBy("key", "fp").agg(best, F.first("bands").alias("bands")), "near-marked")
+    classes = stash(marked.groupBy("key").agg(F.min("best").alias("best"), F.first("bands").alias("bands")), "near-classes")
+    linked = links(docs, classes, similar, chunk)
+    if fingerprints:
+        linked = fingerprint_links(marked.select("key", "fp")).unionByName(linked)
+    found = components(linked)
     rooted = classes.select("key", "best").join(found.select(F.col("node").alias("key"), "root"), "key", "left")
     kept = rooted.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("best").alias("best")).select("best.id", "best.sha")
     return keep_rows(docs, [("id", F.col("doc_id")), ("sha", F.unhex(F.sha2(text_or_empty(), 256)))], kept)

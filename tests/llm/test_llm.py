@@ -121,6 +121,22 @@ def test_near_copies(spark):
         assert sorted(r.doc_id for r in near_copies.drop_near_copies(df, chunk=chunk).collect()) == sorted(set(label.tolist()))
 
 
+def test_near_copies_by_fingerprint(spark):
+    """What SimHash links goes, also where five-word similarity is below 0.8: a run of three words, with a few of them changed."""
+    run = ["alpha", "beta", "gamma"] * 300
+    texts = [list(run), list(run)]
+    for k in range(0, 300, 60):
+        texts[1][k] = f"x{k}"
+    a, b = (" ".join(t) for t in texts)
+    assert (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() <= simhash.MOST
+    one, two = (set(near_copies.shingles(t.encode()).tolist()) for t in (a, b))
+    assert len(one & two) < 0.8 * len(one | two)
+    df = spark.createDataFrame([(1, a), (2, b), (3, "another text of six words")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(df, fingerprints=True).collect()) == [1, 3]
+    assert near_copies.drop_near_copies(df).count() == 3
+    assert [r.doc_id for r in corpus_pipeline.near_copies(spark, df, DATA).orderBy("doc_id").collect()] == [1, 3]
+
+
 def test_bpe(docs, odd, empty):
     own, path = bpe.encode_documents(odd).toPandas(), bpe.default_vocabulary()
     ours, theirs = bpe.Codec(path), Tokenizer.from_file(path)
