@@ -57,9 +57,10 @@ def segments(rays: DataFrame, n: int, mov: float | Column = NUDGE, margin: float
     return each.select("proj", "theta", "col", "seg", pix.alias("pix"), F.sqrt(dx * dx + dy * dy).alias("leng")).filter(F.col("pix") < n * n)
 
 
-def traced(theta: float, col: np.ndarray, n: int, mov: float, margin: float | None = None, by_column: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The same for the rays of one projection: (pix, leng), a row a ray; places without a segment have length 0."""
+def traced(theta: float | np.ndarray, col: np.ndarray, n: int, mov: float | np.ndarray, margin: float | None = None, by_column: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The same for rays of one theta and mov, or of one each: (pix, leng), a row a ray; places without a segment have length 0."""
     half, grid = n / 2, np.arange(n + 1) - n / 2
+    theta, mov = (np.reshape(v, (-1, 1)) for v in (theta, mov))
     yi = (1 - n) / 2 + mov + col[:, None]
     sin, cos = np.sin(theta), np.cos(theta)
     sx, sy, slope = -2.0 * n * cos - yi * sin, -2.0 * n * sin + yi * cos, sin / cos

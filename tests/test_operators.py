@@ -165,6 +165,20 @@ def test_art_as_a_loop(spark):
     assert raytrace.by_slice(rays, once).count() == 7 * 2 * N + 2 * N * N
 
 
+def test_composed_chunks_are_the_fold(spark):
+    """Chunks of projections as maps, composed over two levels, against one fold a slice: missing rays, a start image, slices without rays."""
+    _, rays = scan(spark, np.linspace(0.05, 3.0, 23))
+    rays = rays.filter("(proj + 2 * col + slice) % 5 <> 0")
+    start = spark.createDataFrame([(s, p, 0.1 * p - s) for s in (0, 7) for p in range(N * N)], "slice int, pix int, val double")
+    table = lambda df: {(r["slice"], r.pix): r.val for r in df.collect()}
+    for image in (None, start):
+        want = table(art.art(rays, N, 2, image, dense=0))
+        assert table(art.art(rays, N, 2, image)) == pytest.approx(want, abs=1e-9)
+        own = art.maps(rays, N, art.shift(N, N / 2), projections=4, together=3).cache()
+        assert own.filter("slice = 0").count() == 2
+        assert table(art.applied(own, art.applied(own, image, N), N)) == pytest.approx(want, abs=1e-9)
+
+
 @pytest.mark.parametrize(("given", "length", "step"), [(0.0, 4, 2), (0.0, 3, 2), (3.6, 5, 3)])
 def test_sirt_windows_as_a_loop(spark, given, length, step):
     """Windows that slide, drain and carry the image on, each about the center of its last projection, against a loop."""
