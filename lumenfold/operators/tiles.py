@@ -18,6 +18,7 @@ from lumenfold.plans.cut import stash
 PROJECTIONS = 64  # of a tile
 GROUPS = 16  # that a slice's tiles are dealt over: as many tasks can work on one slice
 PIXELS = 4096  # of a block of partial sums
+CELLS = 1 << 18  # crossings traced at a time
 
 
 def tiles(rays: DataFrame, n: int, projections: int = PROJECTIONS, groups: int = GROUPS) -> DataFrame:
@@ -38,11 +39,14 @@ def tiles(rays: DataFrame, n: int, projections: int = PROJECTIONS, groups: int =
 
 def contribution(theta: np.ndarray, center: np.ndarray, px: np.ndarray, image: np.ndarray, n: int, fixed: int) -> tuple[np.ndarray, np.ndarray]:
     """Weighted updates and weights by pixel, of one tile against an image; fixed: a center for all projections unless 0."""
-    num, den, columns = np.zeros(n * n), np.zeros(n * n), np.arange(n)
-    for angle, own, values in zip(theta, center, px.reshape(-1, n), strict=True):
-        own = fixed or (n / 2 if np.isnan(own) else own)
-        pix, leng = traced(angle, columns, n, n / 2 - (own if own > 0 else n / 2 + 1) + NUDGE)
-        norm = (leng * leng).sum(1)
+    num, den, columns, rows = np.zeros(n * n), np.zeros(n * n), np.arange(n), px.reshape(-1, n)
+    own = np.full(len(theta), float(fixed)) if fixed else np.where(np.isnan(center), n / 2, center)
+    mov = n / 2 - np.where(own > 0, own, n / 2 + 1) + NUDGE
+    together = max(1, CELLS // (2 * n * (n + 1)))
+    for k in range(0, len(theta), together):
+        values = rows[k : k + together]
+        pix, leng = traced(np.repeat(theta[k : k + together], n), np.tile(columns, len(values)), n, np.repeat(mov[k : k + together], n))
+        values, norm = values.ravel(), (leng * leng).sum(1)
         seen = (norm > 0) & ~np.isnan(values)
         pix, leng = pix[seen], leng[seen]
         update = (values[seen] - (image[pix] * leng).sum(1)) / norm[seen]

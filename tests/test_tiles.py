@@ -59,3 +59,20 @@ def test_missing_and_empty(spark):
     got = image(tiles.sirt(own, N))
     assert all(got[k] == pytest.approx(want.get(k) or 0.0, abs=1e-6) for k in got)
     assert tiles.sirt(own.filter("false"), N, 2).count() == 0
+
+
+@pytest.mark.parametrize("fixed", [0, 3])
+def test_a_tile_is_traced_in_few_calls(monkeypatch, fixed):
+    """Rays of all its projections at once, with the sums of one projection after the other."""
+    rnd, calls = np.random.default_rng(4), []
+    theta, center, px = 0.01 + np.arange(30) * 0.1, np.where(np.arange(30) % 3, 2.5, np.nan), rnd.random(30 * N)
+    trace = tiles.traced
+    monkeypatch.setattr(tiles, "traced", lambda *x: calls.append(1) or trace(*x))
+    whole = tiles.contribution(theta, center, px, rnd.random(N * N), N, fixed)
+    assert len(calls) == 1
+    rnd = np.random.default_rng(4)
+    rnd.random(30 * N)
+    image = rnd.random(N * N)
+    single = [tiles.contribution(theta[k : k + 1], center[k : k + 1], px[k * N : (k + 1) * N], image, N, fixed) for k in range(30)]
+    for k in range(2):
+        assert whole[k] == pytest.approx(np.sum([s[k] for s in single], 0), abs=1e-9)
