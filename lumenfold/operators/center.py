@@ -13,6 +13,7 @@ from lumenfold.plans.cut import stash
 
 BINS = 64  # fixed value: of the histogram
 TOGETHER = 4  # candidates of a slice that one row of work has
+PIXELS = 1 << 16  # of all projections that are projected back at a time
 LEAST = 1e-12  # fixed value: added to each bin's share
 
 
@@ -31,9 +32,16 @@ def back_projected(filtered: np.ndarray, theta: np.ndarray, center: float) -> np
     n = filtered.shape[1]
     at = np.arange(n) - (n - 1) / 2
     out = np.zeros((n, n))
-    for row, angle in zip(filtered, theta.tolist(), strict=True):
+    together = max(1, PIXELS // (n * n))
+    for k in range(0, len(theta), together):
+        own, angle = filtered[k : k + together], theta[k : k + together, None, None]
         column = center + np.cos(angle) * at[None, :] + np.sin(angle) * at[:, None]
-        out += np.interp(column, np.arange(n), row, 0.0, 0.0)
+        left = np.clip(column.astype(np.int64), 0, n - 1)
+        place = left + np.arange(len(own))[:, None, None] * n
+        steps = np.append(np.diff(own, axis=1), np.zeros((len(own), 1)), axis=1)
+        seen = steps.take(place) * (column - left) + own.take(place)
+        np.add.reduce(np.where((column >= 0) & (column <= n - 1), seen, 0.0), 0, out=seen[0])
+        out += seen[0]
     return out * np.pi / len(theta)
 
 
@@ -80,21 +88,30 @@ def sinograms(rays: DataFrame, by: list[str], value: str = "val") -> DataFrame:
     return rays.select(*by, "proj", "theta", "col", value).groupBy(*by).applyInPandas(one, f"{kinds}, theta array<double>, px array<double>, width int")
 
 
-def scored(sinos: DataFrame, candidates: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., center, score) of all candidates (by..., centers array) in one job: rows of work are a sinogram with TOGETHER of its candidates."""
+def each_scored(by: list[str]):
+    """Scores batches (by..., theta, px, width, part): rows (by..., center, score)."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = {name: [] for name in [*by, "center", "score"]}
             for r in batch.itertuples(index=False):
                 centers = list(r.part)
                 sinogram = np.array(r.px).reshape(-1, r.width)
-                found = scores(sinogram, np.array(r.theta), centers, (r.width - 1) / 2)
-                yield pd.DataFrame({name: [getattr(r, name)] * len(centers) for name in by} | {"center": centers, "score": found})
+                out["center"] += centers
+                out["score"] += scores(sinogram, np.array(r.theta), centers, (r.width - 1) / 2)
+                for name in by:
+                    out[name] += [getattr(r, name)] * len(centers)
+            yield pd.DataFrame(out)  # one a batch: making a frame costs as much as scoring a small sinogram
+
+    return each
 
+
+def scored(sinos: DataFrame, candidates: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., center, score) of all candidates (by..., centers array) in one job: rows of work are a sinogram with TOGETHER of its candidates."""
     parts = F.expr(f"transform(sequence(0, cast((size(centers) - 1) div {TOGETHER} as int)), k -> slice(centers, k * {TOGETHER} + 1, {TOGETHER}))")
     work = candidates.select(*by, F.posexplode(parts).alias("k", "part")).join(sinos, by).repartition(*by, "k")
     kinds = ", ".join(f"`{name}` {sinos.schema[name].dataType.simpleString()}" for name in by)
-    return work.select(*by, "theta", "px", "width", "part").mapInPandas(each, f"{kinds}, center double, score double")
+    return work.select(*by, "theta", "px", "width", "part").mapInPandas(each_scored(by), f"{kinds}, center double, score double")
 
 
 def find_centers(rays: DataFrame, by: list[str], reach: float, step: float = 2.0, tolerance: float = 0.5, around: float | None = None, value: str = "val") -> DataFrame:

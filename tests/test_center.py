@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 from lumenfold.operators import center
 from lumenfold.plans import catalog
@@ -83,3 +85,13 @@ def test_odd_rays(spark):
     found = {r["slice"]: r for r in center.find_centers(spark.createDataFrame(rows, schema), ["slice"], 1.0, 1.0).collect()}
     assert found.keys() == {0, 1} and all(math.isfinite(r.score) for r in found.values())
     assert center.find_centers(spark.createDataFrame([], schema), ["slice"], 1.0).count() == 0
+
+
+def test_a_batch_of_sinograms_is_one_frame(spark):
+    """Frames made while scoring: one a batch of rows, not one a row."""
+    rays = spark.range(40 * 6).selectExpr("id div 6 AS slice", "id % 6 AS proj", "(id % 6) * 0.5D AS theta", "explode(sequence(0, 4)) AS col").withColumn("val", (F.col("slice") + F.col("col") * F.col("proj")).cast("double"))
+    sinos = center.sinograms(rays, ["slice"]).coalesce(1).cache()
+    batch = sinos.toPandas().assign(part=[np.array([1.5, 2.0])] * 40)
+    got = list(center.each_scored(["slice"])(iter([batch])))
+    assert len(got) == 1 and len(got[0]) == 80
+    assert got[0].columns.tolist() == ["slice", "center", "score"]
