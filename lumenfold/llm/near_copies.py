@@ -5,7 +5,8 @@ fingerprints differ by about ten bits, so many pairs lie beyond; the rest is fou
 (two sets at 0.8 miss all bands with a chance of (1 - 0.8**4)**20 = 3e-5, more similar ones with less). Those that meet
 are held against each other by the sets themselves, so that no link is below the similarity. Only a spanning forest
 of a group's links is written; groups that agree in all members count once. Groups above `chunk` classes are cut into
-chunks, each pair of chunks a group of its own, so none of their pairs is left out.
+chunks, each linked for itself first; then chunks meet across the components that were found (simhash.across), so no
+link between two components is left out.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from lumenfold.llm import simhash
 from lumenfold.llm.common import keep_rows, stash, text_or_empty
-from lumenfold.llm.simhash import components, salted, spread
+from lumenfold.llm.simhash import across, components, salted, spread
 
 SHINGLE, SIMILAR, BANDS, ROWS, SEED, CHUNK = 5, 0.8, 20, 4, 42, 1024
 PIECE = 20_000  # shingles hashed at a time
@@ -65,14 +66,16 @@ def shingles_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([shingles(bytes(x)).tobytes() for x in texts], dtype=object)
 
 
-def forest(sides: np.ndarray, sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
+def forest(sides: np.ndarray, sets: list[np.ndarray], similar: float = SIMILAR, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that connect all sets of one group that are connected; of two sides other than -1, only pairs across are held against each other.
 
+    known: a number for the component of each set, where some are connected already.
+
     Each set is held against the later ones that are not in its component yet, all at once.
     """
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    root, out = np.arange(len(sets)), []
+    root, out = np.arange(len(sets)) if known is None else known.copy(), []
     for i in range(len(sets) - 1):
         other = root != root[i]
         if not other.any():
@@ -99,7 +102,7 @@ def _links(similar: float):
 
         def linked() -> pd.DataFrame:
             own = pd.concat(held, ignore_index=True)
-            pairs = forest(own.side.to_numpy(), [np.frombuffer(s, np.uint64) for s in own["set"]], similar)
+            pairs = forest(own.side.to_numpy(), [np.frombuffer(s, np.uint64) for s in own["set"]], similar, pd.factorize(own.root)[0])
             return pd.DataFrame({"a": [own.key[i] for i, _ in pairs], "b": [own.key[j] for _, j in pairs]})
 
         last = None
@@ -121,16 +124,23 @@ def links(docs: DataFrame, classes: DataFrame, similar: float = SIMILAR, chunk:
     members = classes.select("key", F.posexplode("bands").alias("k", "v")).select("key", F.xxhash64("k", "v").alias("g"))  # a collision only adds rows to be held against each other
     marks = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
     groups = members.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *marks).filter("n > 1").groupBy("n", "m0", "m1").agg(F.min("g").alias("g")).select("g", F.ceil(F.col("n") / chunk).cast("int").alias("n"))
-    own = stash(members.join(groups, "g").withColumn("own", F.pmod(F.xxhash64("key", F.lit(2)), F.col("n")).cast("int")), "near-members")
-    # chunk i meets chunk j in part min * n + max; in a part of two chunks, only pairs across are held against each other
-    meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct((F.least("own", j) * F.col("n").cast("long") + F.greatest("own", j)).alias("part"), F.when(j == F.col("own"), F.lit(-1)).otherwise(F.col("own")).alias("side")))
-    dealt = own.select("g", "key", F.inline(meets))
+    own = stash(members.join(groups, "g").withColumn("part", F.pmod(F.xxhash64("key", F.lit(2)), F.col("n"))), "near-members")
     wanted = classes.join(own.select("key").distinct(), "key", "left_semi").select("key", F.col("best.id").alias("own_id"), F.col("best.sha").alias("own_sha"))
     texts = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("t")).withColumn("sha", F.unhex(F.sha2("t", 256)))
     found = texts.join(wanted, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("sha") == F.col("own_sha"))).select("key", "t")
     sets = stash(found.groupBy("key").agg(F.first("t").alias("t")).select("key", shingles_udf(F.col("t").cast("binary")).alias("set")), "near-sets")
-    ready = dealt.join(sets, "key").select("g", "part", "side", "key", "set").repartition("g", "part").sortWithinPartitions("g", "part")
-    return ready.mapInPandas(_links(similar), "a binary, b binary").distinct()
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        # in order of keys, so that groups with the same members in them mostly link these to the same one
+        ready = dealt.join(sets, "key").select("g", "part", "side", "key", "root", "set").repartition("g", "part").sortWithinPartitions("g", "part", "key")
+        return ready.mapInPandas(_links(similar), "a binary, b binary")
+
+    alone = linked(own.select("g", "part", F.lit(-1).cast("long").alias("side"), "key", F.col("key").alias("root"))).distinct()
+    large = own.filter("n > 1").select("g", "key")
+    if large.isEmpty():
+        return alone
+    alone = stash(alone, "near-links")
+    return alone.unionByName(linked(across(large, alone, "g", "key", chunk))).distinct()
 
 
 def fingerprint_links(marked: DataFrame) -> DataFrame:

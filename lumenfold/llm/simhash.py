@@ -10,7 +10,8 @@ blocks, at least blocks - most agree in any pair within `most` bits, and one exc
 brings them together (every link is found, none is sampled). Within a block group, rows are sorted by the first pivot's
 distance and held only against those near in it, pivot tables discard pairs, and only a spanning forest of the links is
 written, so a dense group of g fingerprints writes at most g - 1 rows. Groups above `chunk` fingerprints are cut into
-chunks, each pair of chunks a group of its own.
+chunks, each linked for itself first; then chunks meet only across the components that were found (across()), so that a
+group of one component, however large, costs as much as it has rows.
 """
 
 from __future__ import annotations
@@ -62,9 +63,11 @@ def pivot_table(fps: np.ndarray, n: int = PIVOTS) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
 
 
-def forest(groups: np.ndarray, sides: np.ndarray, fps: np.ndarray, most: int, tally: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forest(groups: np.ndarray, sides: np.ndarray, fps: np.ndarray, most: int, tally: dict[str, int] | None = None, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (fingerprint, smallest fingerprint reached) within each group; fps are unsigned, groups sorted or not.
 
+    known: the component of each row, where some are connected already; no link within one is written.
+
     Sorted by group and first pivot distance, each row is held against the k-th after it, for k = 1, 2, ..., as long
     as that is in its group and within `most` on the first pivot; then all pivots, then the bits. tally: counts the
     pairs that reach the pivot table ("met") and those that it leaves ("left").
@@ -73,7 +76,10 @@ def forest(groups: np.ndarray, sides: np.ndarray, fps: np.ndarray, most: int, ta
     order = np.lexsort((table[:, 0], groups))
     groups, sides, fps, table = groups[order], sides[order], fps[order], table[order]
     parent = np.arange(len(fps))
-    root = parent.copy()
+    if known is not None:
+        _, first, of = np.unique(np.stack([groups, known[order]]), axis=1, return_index=True, return_inverse=True)
+        parent = first[of.reshape(-1)]
+    root, own = parent.copy(), parent == np.arange(len(fps))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -102,14 +108,14 @@ def forest(groups: np.ndarray, sides: np.ndarray, fps: np.ndarray, most: int, ta
             while not (parent[parent] == parent).all():
                 parent = parent[parent]
             root = parent.copy()
-    linked = np.flatnonzero(root != np.arange(len(fps)))
+    linked = np.flatnonzero(own & (root != np.arange(len(fps))))
     return fps[linked], fps[root[linked]]
 
 
 def link_groups(most: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by group; a group that a batch may have cut waits for the next batch."""
-        held = pd.DataFrame({"block": [], "part": [], "side": [], "fp": []}, dtype=np.int64)
+        held = pd.DataFrame({"block": [], "part": [], "side": [], "fp": [], "root": []}, dtype=np.int64)
         for frame in itertools.chain(frames, [None]):
             own = held if frame is None else pd.concat([held, frame], ignore_index=True)
             if not len(own):
@@ -119,7 +125,7 @@ def link_groups(most: int):
             own = own if frame is None else own[~last]
             if len(own):
                 groups = own.groupby(["block", "part"], sort=False).ngroup().to_numpy()
-                a, b = forest(groups, own.side.to_numpy(), own.fp.to_numpy().astype(np.uint64), most)
+                a, b = forest(groups, own.side.to_numpy(), own.fp.to_numpy().astype(np.uint64), most, known=own.root.to_numpy())
                 yield pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64)})
 
     return run
@@ -142,20 +148,47 @@ def links(fps: DataFrame, most: int = MOST, chunk: int = CHUNK, blocks: int | No
     signed = [m - 2**64 if m >= 2**63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])  # a collision only adds rows to be held against each other
     rows = fps.select("fp", F.explode(keys).alias("block"))
-    big = rows.groupBy("block").count().filter(F.col("count") > chunk).select("block", F.ceil(F.col("count") / chunk).cast("int").alias("n"))
-    cut = rows.join(big, "block", "left").withColumn("own", F.when(F.col("n").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("fp", F.lit(1)), F.col("n")).cast("int")))
-    # chunk i meets chunk j in part min * n + max; in a part of two chunks, only pairs across are held against each other
-    alone = F.struct(F.lit(-1).cast("long").alias("part"), F.lit(-1).cast("long").alias("side"))
+    big = stash(rows.groupBy("block").count().filter(F.col("count") > chunk).select("block", F.ceil(F.col("count") / chunk).cast("int").alias("n")), "large-blocks")
+    cut = rows.join(big, "block", "left").withColumn("part", F.when(F.col("n").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("fp", F.lit(1)), F.col("n"))).cast("long"))
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        sorted_groups = dealt.select("block", "part", "side", "fp", "root").repartition("block", "part").sortWithinPartitions("block", "part")
+        return sorted_groups.mapInPandas(link_groups(most), "a bigint, b bigint")
+
+    alone = linked(cut.select("block", "part", F.lit(-1).cast("long").alias("side"), "fp", F.col("fp").alias("root"))).distinct()
+    if big.isEmpty():
+        return alone
+    alone = stash(alone, "links")
+    return alone.unionByName(linked(across(rows.join(big, "block", "left_semi"), alone, "block", "fp", chunk))).distinct()
+
 
-    def met(j: Column) -> Column:
-        part = F.least("own", j) * F.col("n").cast("long") + F.greatest("own", j)
-        side = F.when(j == F.col("own"), F.lit(-1)).otherwise(F.col("own")).cast("long")
-        return F.struct(part.alias("part"), side.alias("side"))
+def across(members: DataFrame, edges: DataFrame, group: str, key: str, chunk: int) -> DataFrame:
+    """Members (group, key) of large groups, dealt out to meet those of other components of edges (a, b): group, key, root, part, side.
 
-    meets = F.when(F.col("n").isNull(), F.array(alone)).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1), met))
-    dealt = cut.select("block", "fp", F.inline(meets)).select("block", "part", "side", "fp")
-    sorted_groups = dealt.repartition("block", "part").sortWithinPartitions("block", "part")
-    return sorted_groups.mapInPandas(link_groups(most), "a bigint, b bigint").distinct()
+    Within a component nothing is left to link, so a group of one component is done. Elsewhere all but the largest
+    component's members meet each other and its members, in chunks, each pair of chunks a part; of a part with two
+    sides, only pairs across are to be held against each other. Rows grow with the square only of what lies outside
+    the largest component, as all pairs of it have to be held against each other.
+    """
+    found = components(edges).withColumnRenamed("node", key)
+    rooted = stash(members.select(group, key).join(found, key, "left").withColumn("root", F.coalesce("root", key)), "rooted")
+    sizes = rooted.groupBy(group, "root").agg(F.count(F.lit(1)).alias("n"))
+    tops = sizes.groupBy(group).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).filter("top.n < n")
+    chunks = [F.ceil(n / chunk).cast("long").alias(a) for a, n in (("mine", F.col("top.n")), ("others", F.col("n") - F.col("top.n")))]
+    met = salted(rooted, key).join(spread(tops.select(group, F.col("top.root").alias("top"), *chunks)), [group, "__salt"])
+    own = met.withColumn("own", F.pmod(F.xxhash64(key, F.lit(3)), F.when(F.col("root") == F.col("top"), F.col("mine")).otherwise(F.col("others"))))
+
+    def each(n: str, part, side) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda j: F.struct(part(j).alias("part"), side(j).cast("long").alias("side")))
+
+    # chunks i and j outside the largest component meet in part min * others + max, chunk i of it and j outside beyond these
+    n, beyond = F.col("others"), F.col("others") * F.col("others")
+    of_top = each("others", lambda j: beyond + F.col("own") * n + j, lambda j: F.lit(0))
+    outside = F.concat(
+        each("others", lambda j: F.least("own", j) * n + F.greatest("own", j), lambda j: F.when(j == F.col("own"), F.lit(-1)).otherwise(F.col("own"))),
+        each("mine", lambda i: beyond + i * n + F.col("own"), lambda i: F.lit(1)),
+    )
+    return own.select(group, key, "root", F.inline(F.when(F.col("root") == F.col("top"), of_top).otherwise(outside)))
 
 
 def salted(rows: DataFrame, by: str) -> DataFrame:
@@ -168,27 +201,44 @@ def spread(table: DataFrame) -> DataFrame:
     return table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+def followed(up: DataFrame) -> DataFrame:
+    """up (node, root), in which roots are nodes, with roots followed to those that are their own; the distance doubles each round."""
+    while True:
+        far = spread(up.select(F.col("node").alias("root"), F.col("root").alias("far")))
+        new = stash(salted(up, "node").join(far, ["root", "__salt"]).select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), "pointers")
+        discard(up)
+        if new.filter("moved").isEmpty():
+            return new.drop("moved")
+        up = new.select("node", "root")
+        up.stash_path = new.stash_path
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in edges (a, b): root is the smallest node reached.
 
-    Minimum labels, with labels followed to their labels each round; each round is written, and the one before deleted.
-    Joins on a neighbour or a root are salted, as one may have a third of all nodes.
+    Each node points to its smallest neighbour, if that is smaller; pointers are followed to their ends, and edges are
+    then drawn between the ends, once each. So a round leaves half of the nodes that have edges, or fewer, and the edges
+    that lie within what has been joined are gone: the first round takes about as much as all others. Each round is
+    written. Joins on an end are salted, as one may have a third of all nodes.
     """
-    both = stash(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    first = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
-    labels = written = stash(first, "labels")
+    ordered = lambda rows: rows.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    live, labels = stash(ordered(edges), "edges"), None
     while True:
-        met = salted(both, "a").join(spread(labels.withColumnRenamed("node", "b")), ["b", "__salt"])
-        lowest = met.groupBy("a").agg(F.min("root").alias("m")).select(F.col("a").alias("node"), "m")
-        lower = labels.join(lowest, "node").select("node", "root", F.least("root", "m").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        new = F.least("next", F.coalesce("far", "next"))
-        followed = salted(lower, "node").join(spread(jump), ["next", "__salt"], "left")
-        following = stash(followed.select("node", new.alias("root"), (F.col("root") != new).alias("moved")), "labels")
-        moved = following.filter("moved").limit(1).count()
-        discard(written)
-        labels, written = following.select("node", "root"), following
-        if not moved:
+        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+        up = followed(stash(least, "pointers"))
+        if labels is None:
+            labels = up
+        else:
+            to = spread(up.select(F.col("node").alias("root"), F.col("root").alias("far")))
+            labels = stash(salted(labels, "node").join(to, ["root", "__salt"], "left").select("node", F.coalesce("far", "root").alias("root")), "labels")
+        ends = spread(up)
+        first = salted(live, "b").join(ends.select(F.col("node").alias("a"), F.col("root").alias("p"), "__salt"), ["a", "__salt"]).drop("__salt")
+        second = salted(first, "a").join(ends.select(F.col("node").alias("b"), F.col("root").alias("q"), "__salt"), ["b", "__salt"])
+        rest = stash(ordered(second.select(F.col("p").alias("a"), F.col("q").alias("b"))), "edges")
+        discard(live)
+        live = rest
+        if live.isEmpty():
             return labels
 
 

@@ -96,6 +96,51 @@ def test_components_of_a_star_and_a_chain(spark):
     assert got == {**{k: 3 for k in [3, *range(5, 300), 1000]}, **{2000 + k: 2000 for k in range(41)}}
 
 
+def test_dense_groups_cut_into_chunks_write_few_links(spark):
+    """Of one component in chunks, rows grow with its members, not with pairs of chunks; components that lie in several chunks are still linked."""
+    rng = np.random.default_rng(11)
+    fps = sorted({(1 << int(i)) | (1 << int(j)) for i, j in rng.integers(0, 62, (900, 2))})
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    links = simhash.links(df, chunk=20)
+    assert len(fps) > 600 and links.count() < 15 * len(fps)
+    assert {r.root for r in simhash.components(links).collect()} == {fps[0]}
+    members, edges = spark.createDataFrame([(0, x) for x in range(1000)], "g long, key long"), spark.createDataFrame([(0, x) for x in range(1, 990)], "a long, b long")
+    dealt = simhash.across(members, edges, "g", "key", 50).collect()
+    assert len(dealt) == 990 + 10 * (1 + 20)
+    meet = {}
+    for r in dealt:
+        meet.setdefault(r.part, []).append(r)
+    pairs = {(x.key, y.key) for own in meet.values() for x in own for y in own if x.side != y.side or x.side < 0}
+    assert all((x, y) in pairs for x in range(990, 1000) for y in range(1000) if x != y)
+    assert not simhash.across(members.filter("key < 990"), edges, "g", "key", 50).count()
+
+
+def test_components_draw_edges_anew_each_round(spark, monkeypatch):
+    """What has been joined drops out: all rounds together write no more edges than twice the first."""
+    rng, written = np.random.default_rng(2), []
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 4000, (6000, 2))] + [(7, int(b)) for b in range(4000, 6000)]
+    stash = simhash.stash
+
+    def noted(df, tag):
+        out = stash(df, tag)
+        if tag == "edges":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stash", noted)
+    got = dict(simhash.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    label = {x: x for e in edges for x in e}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            moved |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    assert got == label
+    assert len(written) > 1 and sum(written) < 2 * written[0]
+
+
 def test_pivots_discard_pairs_without_losing_links():
     """Of random pairs that meet, pivots leave next to none; all links stay."""
     rng = np.random.default_rng(3)
