@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenfold.llm import bpe, exact_dedup, mixing, quality
 from lumenfold.llm.common import documents, stash
@@ -37,8 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and ids of every document; a null text has no ids."""
-    ids = bpe.encode_documents(docs.select("doc_id", "source", "text"))
-    return ids.select("doc_id", "source", "n_tokens", bpe.unpacked(ids.ids).alias("ids"))
+    ids = docs.select("doc_id", "source", bpe.listed(docs.text).alias("ids"))
+    return ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

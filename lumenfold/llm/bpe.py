@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,14 +206,28 @@ def decoded(ids: Column, path: str | None = None) -> Column:
     return decode(ids)
 
 
-def unpacked(ids: Column) -> Column:
-    """Packed ids as array<int>."""
+def id_lists(texts: pa.Array, own: Codec) -> Iterator[pa.Array]:
+    """The ids of texts, a list each, for runs of about TOGETHER characters: neither all strings nor all ids of a batch are held at once."""
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))])
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(size, size[low] + TOGETHER, "right")) - 1)
+        packed = own.encode_all([x or "" for x in texts[low:high].to_pylist()])
+        ends = np.cumsum([0] + [len(x) // 4 for x in packed], dtype=np.int32)
+        yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        low = high
 
-    @F.pandas_udf("array<int>")
-    def unpack(ids: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(bytes(x or b""), "<u4").astype("int32") for x in ids], dtype=object)
 
-    return unpack(ids)
+def listed(text: Column, path: str | None = None) -> Column:
+    """The ids of a text, array<int>; none for null. Made in one pass, where ids that are packed first would be made again for each column of them."""
+    path = path or default_vocabulary()
+
+    @F.arrow_udf("array<int>")
+    def encode_lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield from id_lists(batch, codec(path))
+
+    return encode_lists(text)
 
 
 def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:

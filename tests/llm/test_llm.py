@@ -331,6 +331,21 @@ def test_stages_keep_null_and_repeated_ids(spark, docs, odd):
     assert min(sum(i is None for i in got), sum(i == 1 for i in got)) > 0.5 * sum(i not in (None, 1) for i in got) > 5
 
 
+def test_encoding_makes_ids_once(spark, docs, odd):
+    """One pass over the texts, whose ids leave a worker run by run."""
+    import pyarrow as pa
+
+    plan = corpus_pipeline.encode(spark, docs, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and "pythonUDF0#" in plan and "pythonUDF1#" not in plan
+    own, texts = bpe.Codec(bpe.default_vocabulary()), [None, "", "one two", *["many words " * 10_000] * 12, "x" * (bpe.TOGETHER + 1), "end", None]
+    runs = list(bpe.id_lists(pa.array(texts, pa.string()), own))
+    assert max(sum(len(x or "") for x in texts[a : a + len(r)]) for a, r in zip(np.cumsum([0] + [len(r) for r in runs]), runs, strict=False) if len(r) > 1) <= bpe.TOGETHER
+    assert len(runs) > 3 and [x for r in runs for x in r.to_pylist()] == [np.frombuffer(own.encode(x or ""), "<u4").tolist() for x in texts]
+    assert list(bpe.id_lists(pa.array([], pa.string()), own)) == []
+    got = corpus_pipeline.encode(spark, odd, DATA).toPandas()
+    assert len(got) == odd.count() and got.n_tokens.tolist() == got.ids.map(len).tolist()
+
+
 def test_pipeline(spark, docs):
     ids = docs
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
