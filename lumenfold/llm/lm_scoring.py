@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,8 @@ CLASSES = RADIX * RADIX
 BUCKETS, OWN = 4096, 4032  # embedding rows, and those that one frequent id has for itself
 HEAVY, FAN_IN, LEAST, BATCH, RATE, SEED, SMOOTH = 4_000_000, 16, 16, 64, 0.1, 5, 20.0
 ROUNDS, SLICE = 4, 1_000_000  # averaged rounds of training; ids of a copy in a round
-KEPT = 600_000  # words that a worker keeps, and counts before it passes the counts on
+AT_ONCE = 8  # batches whose windows are cut together
+KEPT = 1_200_000  # words that a worker keeps, and counts before it passes the counts on
 ROWS = 250  # documents that a worker unpacks at a time
 END = 50_256  # the id after the vocabulary's; starts and ends a text
 
@@ -51,18 +53,6 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-class Places(dict):
-    """A number for each word, in order of first use; words new since the last encoding are listed."""
-
-    def __init__(self) -> None:
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self.fresh.append(word)
-        place = self[word] = len(self)
-        return place
-
-
 def grown(a: np.ndarray, need: int) -> np.ndarray:
     """a with room for so many: twice its size, zeros, if it has to grow."""
     if need <= len(a):
@@ -83,8 +73,8 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.places, self.flat = Places(), np.empty(0, "<u2")
-        self.start, self.length, self.h, self.n = (np.empty(0, np.int64) for _ in range(4))
+        self.flat, self.slots = np.empty(0, "<u2"), np.full(1 << 16, -1, np.int32)
+        self.start, self.length, self.h, self.n, self.own = (np.empty(0, np.int64) for _ in range(5))
         self.words = self.used = 0
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
@@ -92,21 +82,83 @@ class Words:
         there = np.flatnonzero(self.n)
         found = self.h[there], self.n[there]
         self.n[:] = 0
-        if len(self.places) > KEPT:
+        if self.full():
             self.forget()
         return found
 
     def full(self) -> bool:
-        return len(self.places) > KEPT
+        return self.words > KEPT
 
     def ids(self, texts: list[list[bytes]], counted: list[bool]) -> list[bytes]:
         """The packed ids of texts given as words; words of those to be counted are."""
-        sizes = np.array([len(x) for x in texts], np.int64)
-        at = np.fromiter(map(self.places.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(sizes.sum()))
-        if self.places.fresh:
-            self.add(self.places.fresh)
-            self.places.fresh = []
-        self.n += np.bincount(at[np.repeat(np.array(counted, bool), sizes)], minlength=len(self.n))
+        line = pa.array(list(itertools.chain.from_iterable(texts)), pa.binary()).dictionary_encode()
+        return self.packed(self.numbers(line.dictionary).take(line.indices.to_numpy()), np.array([len(x) for x in texts], np.int64), counted)
+
+    def ids_of(self, texts: pa.Array, counted: list[bool]) -> list[bytes]:
+        """The same of a column of texts, lower-cased and cut at white space (in ASCII, both) by Arrow, which also finds equal words."""
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+        coded = cut.flatten().dictionary_encode()
+        at = self.numbers(coded.dictionary).take(coded.indices.to_numpy())
+        sizes = np.diff(cut.offsets.to_numpy()).astype(np.int64)
+        empty = at < 0  # before white space that begins a text, and after what ends it
+        if empty.any():
+            sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
+            at = at[~empty]
+        return self.packed(at, sizes, counted)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of distinct words, -1 for one without bytes; new ones are encoded. Words are told apart by hashes of their bytes."""
+        out = np.full(len(words), -1)
+        if not len(words):
+            return out
+        _, ends, data = words.buffers()
+        ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data, ends = memoryview(data or b"")[ends[0] : ends[-1]], ends - ends[0]
+        there = np.flatnonzero(np.diff(ends))
+        if not len(there):
+            return out
+        own = hashes_of(np.frombuffer(data, np.uint8), ends[there])
+        found = self.found(own)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = np.arange(self.words, self.words + len(new))
+            low, high = ends[there[new]].tolist(), ends[there[new] + 1].tolist()
+            self.add([bytes(data[a:b]) for a, b in zip(low, high, strict=True)])
+            self.keep(own[new], found[new])
+        out[there] = found
+        return out
+
+    def found(self, own: np.ndarray) -> np.ndarray:
+        """The number of the word with each hash, or -1: from its slot on, up to a free one."""
+        out, left, last = np.full(len(own), -1), np.arange(len(own)), len(self.slots) - 1
+        slot = own & last
+        while len(left):
+            number = self.slots.take(slot)
+            taken = number >= 0
+            left, slot, number = left[taken], slot[taken], number[taken]
+            same = self.own.take(number) == own[left]
+            out[left[same]] = number[same]
+            left, slot = left[~same], (slot[~same] + 1) & last
+        return out
+
+    def keep(self, own: np.ndarray, number: np.ndarray) -> None:
+        """Takes slots for new words; at most half of all are taken."""
+        self.own = grown(self.own, self.words)
+        self.own[number] = own
+        if 2 * self.words > len(self.slots):
+            self.slots = np.full(4 << int(self.words).bit_length(), -1, np.int32)
+            own, number = self.own[: self.words], np.arange(self.words)
+        last = len(self.slots) - 1
+        slot = own & last
+        while len(number):
+            free = self.slots.take(slot) < 0
+            self.slots[slot[free]] = number[free]
+            left = self.slots.take(slot) != number  # one of several that want a slot gets it
+            number, slot = number[left], (slot[left] + 1) & last
+
+    def packed(self, at: np.ndarray, sizes: np.ndarray, counted: list[bool]) -> list[bytes]:
+        """at: the numbers of all words, those of the first text first."""
+        np.add.at(self.n, at[np.repeat(np.array(counted, bool), sizes)], 1)
         length = self.length.take(at)
         ends = np.cumsum(length)
         packed = self.flat.take(np.repeat(self.start.take(at) - ends + length, length) + np.arange(length.sum())).tobytes()
@@ -159,17 +211,22 @@ def word_hashes(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     at = np.flatnonzero(first.take(ids))
     if not len(at):
         return np.empty(0, np.int64), at
-    length = np.diff(np.concatenate([at, [len(ids)]]))
-    place = np.arange(len(ids)) - np.repeat(at, length)
+    return hashes_of(ids, at), at
+
+
+def hashes_of(line: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of what stands in a line of numbers from each place in `at` up to the next."""
+    length = np.diff(np.concatenate([at, [len(line)]]))
+    place = np.arange(len(line)) - np.repeat(at, length)
     table = powers(1 << int(length.max()).bit_length())
-    h = np.add.reduceat(OF_ID.take(ids) * table.take(place), at)
+    h = np.add.reduceat(OF_ID.take(line) * table.take(place), at)
     h ^= h >> np.uint64(31)
     h *= PLACE
-    return (h ^ (h >> np.uint64(29))).view(np.int64), at
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    return (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
 
 
 ENCODED = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("h", pa.int64()), ("token", pa.int32()), ("c", pa.int64())])
@@ -179,7 +236,7 @@ def encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows with their subword ids; and, as rows without ids, word counts (by hash h) and subword counts (by token) of the training rows."""
         own, tokens = words_of(path), np.zeros(END + 1, np.int64)
-        own.forget()
+        own.counts()  # a task that didn't end may have left some; words are kept from task to task
 
         def padded(n: int, **columns: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in ENCODED], schema=ENCODED)
@@ -188,9 +245,9 @@ def encoded(path: str):
             h, c = own.counts()
             return padded(len(h), h=pa.array(h), c=pa.array(c))
 
-        for b in slices(batches):
+        for b in slices(batches, 2 * ROWS):
             counted = [not x for x in b.column("held_out").to_pylist()]
-            ids = own.ids([text.as_py().lower().split() for text in b.column("text")], counted)
+            ids = own.ids_of(b.column("text"), counted)
             learnt = [x for x, c in zip(ids, counted, strict=True) if c]
             tokens += np.bincount(np.frombuffer(b"".join(learnt), "u2"), minlength=END + 1)
             tokens[END] += len(learnt)
@@ -281,26 +338,47 @@ SCALE = 1 / math.sqrt(DIM)
 
 
 class Network:
-    """Forward and backward passes over batches of windows. Arrays are kept from batch to batch: fresh memory costs as much as the arithmetic."""
+    """Forward and backward passes over batches of windows. Arrays are kept from batch to batch: fresh memory costs as much as the arithmetic.
+
+    A score x Q (x K)' is x (Q K') x', and what is attended to, (a (x V)) O, is a (x (V O)). So places are multiplied by
+    these two products, which are made once a batch, and their gradients give those of the four factors.
+    """
 
-    def __init__(self, v: Vocabulary, flat: np.ndarray) -> None:
+    def __init__(self, v: Vocabulary, flat: np.ndarray, fixed: bool = False) -> None:
+        """fixed: the weights don't change, so that what ids and places give is looked up instead of multiplied out."""
         self.v, self.flat, self.w, self.kind = v, flat, views(flat), flat.dtype
         self.slopes = np.zeros_like(flat)
         self.g = views(self.slopes)
         self.starts = np.arange(BATCH * CONTEXT) * RADIX
         self.rooms: dict[str, np.ndarray] = {}
+        self.cut: dict[tuple, np.ndarray] = {}  # the rooms' beginnings, by name and shape
         self.past = np.tril(np.ones((CONTEXT, CONTEXT), self.kind))
-        self.ones, self.eye = np.ones(max(CONTEXT, RADIX, DIM), self.kind), np.eye(RADIX, dtype=self.kind)
-        self.scales = np.repeat(np.array([SCALE, 1, 1], self.kind), DIM)
+        self.ones, self.eye = np.ones(max(CONTEXT, RADIX, DIM, BATCH), self.kind), np.eye(RADIX, dtype=self.kind)
+        self.cells, self.touched = np.arange(REST).reshape(BUCKETS, DIM), np.empty(0, np.int64)
+        self.marks = np.zeros(BUCKETS, bool)
+        self.none = np.zeros(BATCH * CONTEXT * HIDDEN, self.kind)
+        self.fixed = [np.concatenate([self.w[k], self.w[k] @ self.into()], 1) for k in ("emb", "pos")] if fixed else None
 
     def room(self, name: str, *shape: int, kind: np.dtype | None = None) -> np.ndarray:
-        n = math.prod(shape)
-        if name not in self.rooms or self.rooms[name].size < n:
-            self.rooms[name] = np.empty(n, kind or self.kind)
-        return self.rooms[name][:n].reshape(shape)
+        found = self.cut.get((name, shape))
+        if found is None:
+            n = math.prod(shape)
+            if name not in self.rooms or self.rooms[name].size < n:
+                self.rooms[name] = np.empty(n, kind or self.kind)
+                self.cut = {k: x for k, x in self.cut.items() if k[0] != name}
+            found = self.cut[name, shape] = self.rooms[name][:n].reshape(shape)
+        return found
 
     def taken(self, table: np.ndarray, at: np.ndarray, name: str) -> np.ndarray:
-        return np.take(table, at, 0, out=self.room(name, len(at), table.shape[1], kind=table.dtype), mode="clip")
+        return table.take(at, 0, out=self.room(name, len(at), table.shape[1], kind=table.dtype), mode="clip")
+
+    def into(self) -> np.ndarray:
+        """(DIM, 2 * DIM): Q K', scaled, and V O."""
+        q, k, val = self.factors()
+        return np.concatenate([SCALE * (q @ k.T), val @ self.w["o"]], 1)
+
+    def factors(self) -> list[np.ndarray]:
+        return [self.w["qkv"][:, i * DIM : (i + 1) * DIM] for i in range(3)]
 
     def times(self, a: np.ndarray, b: np.ndarray, name: str) -> np.ndarray:
         return np.matmul(a, b, out=self.room(name, *a.shape[:-1], b.shape[-1]))
@@ -319,24 +397,33 @@ class Network:
         w, v, (n, t) = self.w, self.v, inputs.shape
         target = targets[:, skip:].reshape(-1)
         self.rows, before, digit, rest = v.row.take(inputs.reshape(-1)), v.code.take(inputs[:, skip:].reshape(-1)), v.digit.take(target), v.rest.take(target)
-        x = self.x = self.taken(w["emb"], self.rows, "x")
-        cube = x.reshape(n, t, DIM)
-        cube += w["pos"]
-        self.into, self.twice = w["qkv"] * self.scales, 2 * w["back"].T  # what the batch's passes share
-        qkv = self.times(x, self.into, "qkv").reshape(n, t, 3 * DIM)
-        self.q, self.k, self.val = (qkv[:, :, i * DIM : (i + 1) * DIM] for i in range(3))
+        self.twice = 2 * w["back"]
+        if self.fixed:
+            own = self.taken(self.fixed[0], self.rows, "x").reshape(n, t, 3 * DIM)
+            own += self.fixed[1]
+            cube, self.q, self.val = own[:, :, :DIM], own[:, :, DIM : 2 * DIM], own[:, :, 2 * DIM :]
+        else:
+            x = self.x = self.taken(w["emb"], self.rows, "x")
+            cube = x.reshape(n, t, DIM)
+            cube += w["pos"]
+            self.mix = self.into()
+            mixed = self.times(x, self.mix, "mixed").reshape(n, t, 2 * DIM)
+            self.q, self.val = mixed[:, :, :DIM], mixed[:, :, DIM:]
         turned = self.room("turned", n, DIM, t)
-        turned[:] = self.k.transpose(0, 2, 1)
+        turned[:] = cube.transpose(0, 2, 1)
         a = self.a = self.exponentials(self.times(self.q[:, skip:], turned, "a"))
         a *= self.past[skip:]
         self.low = a.reshape(-1, t) @ self.ones[:t]
         av = self.av = self.times(a, self.val, "av").reshape(-1, DIM)
         av /= self.low[:, None]
-        z = self.z = self.times(av, w["o"], "z")
-        z.reshape(n, t - skip, DIM)[:] += cube[:, skip:]
+        z = self.z = self.room("z", *av.shape)
+        np.add(av.reshape(n, t - skip, DIM), cube[:, skip:], out=z.reshape(n, t - skip, DIM))
         hidden = self.hidden = self.times(z, w["in"], "hidden")
-        hidden += np.abs(hidden, out=self.room("size", *hidden.shape))  # twice the positive part
-        top = self.top = self.times(hidden, w["back"], "top")
+        if self.fixed:
+            np.maximum(hidden, self.none[: hidden.size].reshape(hidden.shape), out=hidden)
+        else:
+            hidden *= np.greater(hidden, 0, out=self.room("positive", *hidden.shape), casting="unsafe")
+        top = self.top = self.times(hidden, self.twice, "top")
         top += z
         self.digit, self.gate = digit, self.taken(w["gate"], digit, "gate")
         gated = np.multiply(top, self.gate, out=self.room("gated", *top.shape))
@@ -367,39 +454,40 @@ class Network:
         dtop = down[0]
         dtop += down[1]
         np.matmul(self.hidden.T, dtop, out=g["back"])
-        dhidden = self.times(dtop, self.twice, "dhidden")
-        dhidden *= np.greater(self.hidden, 0, out=self.room("size", *dhidden.shape), casting="unsafe")
+        g["back"] *= 2
+        dhidden = self.times(dtop, self.twice.T, "dhidden")
+        dhidden *= self.room("positive", *dhidden.shape)
         np.matmul(self.z.T, dhidden, out=g["in"])
         dz = self.times(dhidden, w["in"].T, "dz")
         dz += dtop
-        np.matmul(self.av.T, dz, out=g["o"])
-        dav = self.times(dz, w["o"].T, "dav")
-        # with low the sum of a: av = (a @ val) / low, so da = (dav . val - dav . av) / low
-        mean = np.multiply(dav, self.av, out=through) @ self.ones[:DIM]
-        dav /= self.low[:, None]
-        mean /= self.low
-        dav = dav.reshape(n, t, DIM)
-        turned = self.room("turned", n, DIM, t)
-        turned[:] = self.val.transpose(0, 2, 1)
-        ds = self.times(dav, turned, "ds")
-        ds -= mean.reshape(n, t, 1)
+        # with low the sum of a: av = (a @ val) / low, so da = (dz . val - dz . av) / low
+        wide, turned = self.room("wide", n, t, DIM + 1), self.room("wide_turned", n, DIM + 1, t)
+        np.multiply(dz, self.av, out=through)
+        np.divide((through @ self.ones[:DIM]).reshape(n, t), -self.low.reshape(n, t), out=wide[:, :, DIM])
+        dav = np.divide(dz.reshape(n, t, DIM), self.low.reshape(n, t, 1), out=wide[:, :, :DIM])
+        turned[:, :DIM], turned[:, DIM] = self.val.transpose(0, 2, 1), 1
+        ds = self.times(wide, turned, "ds")
         ds *= self.a
-        d = self.room("d", n, t, 3 * DIM)
-        d[:, :, :DIM] = self.times(ds, self.k, "part")
-        d[:, :, DIM : 2 * DIM] = self.times(ds.transpose(0, 2, 1), self.q, "part")
-        d[:, :, 2 * DIM :] = self.times(self.a.transpose(0, 2, 1), dav, "part")
-        d = d.reshape(-1, 3 * DIM)
-        np.matmul(self.x.T, d, out=g["qkv"])
-        g["qkv"] *= self.scales
-        dx = self.times(d, self.into.T, "dx")
+        d = self.room("d", n, t, 2 * DIM)
+        np.matmul(ds, self.x.reshape(n, t, DIM), out=d[:, :, :DIM])
+        np.matmul(self.a.transpose(0, 2, 1), dav, out=d[:, :, DIM:])
+        d = d.reshape(-1, 2 * DIM)
+        q, k, val = self.factors()
+        both = self.x.T @ d
+        by_score, by_value = SCALE * both[:, :DIM], both[:, DIM:]
+        np.concatenate([by_score @ k, by_score.T @ q, by_value @ w["o"].T], 1, out=g["qkv"])
+        np.matmul(val.T, by_value, out=g["o"])
+        dx = self.times(d, self.mix.T, "dx")
         dx += dz
-        dx.reshape(n, t, DIM).sum(0, out=g["pos"])
-        order = np.argsort(self.rows.astype(np.uint16), kind="stable")
-        rows = self.rows.take(order)
-        last = np.concatenate([np.flatnonzero(rows[1:] != rows[:-1]), [len(rows) - 1]])
-        sums = np.cumsum(self.taken(dx, order, "sorted"), axis=0, out=self.room("sums", *dx.shape)).take(last, 0)
-        sums[1:] -= sums[:-1].copy()
-        self.touched, self.pulls = rows.take(last), sums
+        dx += self.times(ds.transpose(0, 2, 1), self.q, "part").reshape(dx.shape)
+        np.matmul(self.ones[:n], dx.reshape(n, -1), out=g["pos"].reshape(-1))
+        pulls = g["emb"]
+        pulls[self.touched] = 0  # of the batch before
+        self.marks[self.rows] = True
+        self.touched = np.flatnonzero(self.marks)
+        self.marks[self.touched] = False
+        np.add.at(pulls.reshape(-1), self.taken(self.cells, self.rows, "cells").reshape(-1), dx.reshape(-1))
+        self.pulls = pulls.take(self.touched, 0)
 
     def step(self, squares: np.ndarray, weight: np.ndarray) -> None:
         """One step of Adagrad, on all weights but the embeddings of ids that the batch lacks."""
@@ -433,13 +521,15 @@ def windows(texts: list[np.ndarray], stride: int) -> Iterator[tuple[np.ndarray,
         order = np.argsort(start > 0, kind="stable")
         row, start = row[order], start[order]
     firsts = int((start == 0).sum()) if stride < CONTEXT else len(row)
-    for k in [*range(0, firsts, BATCH), *range(firsts, len(row), BATCH)]:
-        upto = k + BATCH if k >= firsts else min(k + BATCH, firsts)
-        own, first = row[k:upto], start[k:upto, None]
-        at, last = first + step, n[own, None]
-        fresh = (at < last) & ((step >= CONTEXT - stride) | (first == 0))
-        at = np.minimum(at, last - 1) + before[own, None]
-        yield line.take(at), line.take(at + 1), fresh, own
+    for low, high in ((0, firsts), (firsts, len(row))):
+        for j in range(low, high, BATCH * AT_ONCE):
+            own, first = row[j : min(j + BATCH * AT_ONCE, high)], start[j : min(j + BATCH * AT_ONCE, high), None]
+            at, last = first + step, n[own, None]
+            fresh = (at < last) & ((step >= CONTEXT - stride) | (first == 0))
+            at = np.minimum(at, last - 1) + before[own, None]
+            inputs, targets = line.take(at), line.take(at + 1)
+            for k in range(0, len(own), BATCH):
+                yield inputs[k : k + BATCH], targets[k : k + BATCH], fresh[k : k + BATCH], own[k : k + BATCH]
 
 
 WEIGHTS = "place bigint, n bigint, weights binary"
@@ -536,11 +626,37 @@ def neighbours(v: Vocabulary):
     return run
 
 
+class Looked:
+    """Values by hash. Hashes are sorted, and found by their first bits: about as many beginnings as hashes, so few steps from there."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        own = hashes.view(np.uint64)
+        order = np.argsort(own)
+        self.shift = np.uint64(64 - max(len(own).bit_length(), 1))
+        begins = np.bincount((own >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift)))
+        self.begin = np.concatenate([[0], np.cumsum(begins)]).astype(np.int32)
+        self.hashes, self.values = np.append(hashes[order], 0), np.append(values[order], 0.0)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash in `values`; the last place, whose value is 0, for those that aren't there."""
+        first = (h.view(np.uint64) >> self.shift).astype(np.int64)
+        at, end = self.begin.take(first).astype(np.int64), self.begin.take(first + 1)
+        out = np.where((self.hashes.take(at) == h) & (at < end), at, len(self.values) - 1)
+        left = np.flatnonzero((out == len(self.values) - 1) & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            found = self.hashes.take(at[left]) == h[left]
+            out[left[found]] = at[left[found]]
+            left = left[~found]
+            left = left[at[left] + 1 < end[left]]
+        return out
+
+
 def scored(path: str, v: Vocabulary, weights: np.ndarray, hashes: np.ndarray, values: np.ndarray):
     """hashes, in order, and values: the words that are looked up here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, network = words_of(path).first, Network(v, weights)
+        first, network, looked = words_of(path).first, Network(v, weights, fixed=True), Looked(hashes, values)
         for b in slices(batches):
             texts = texts_of(b)
             score = np.zeros(len(texts))
@@ -551,11 +667,9 @@ def scored(path: str, v: Vocabulary, weights: np.ndarray, hashes: np.ndarray, va
                 score += np.bincount(row, (logp * fresh[:, skip:]).sum(1, dtype=float), len(texts))
             h, at = word_hashes(np.concatenate(texts), first)
             row = np.searchsorted(np.cumsum([len(x) for x in texts]), at, side="right")
-            distinct, where = np.unique(h, return_inverse=True)
-            near = np.minimum(np.searchsorted(hashes, distinct), max(len(hashes) - 1, 0))
-            there = hashes[near] == distinct if len(hashes) else np.zeros(len(distinct), bool)
-            value = np.where(there, values[near], 0.0) if len(hashes) else np.zeros(len(distinct))
-            base, found = np.bincount(row, value[where], len(texts)), there[where]
+            at = looked(h)
+            there = at < len(hashes)
+            base, found = np.bincount(row, looked.values.take(at), len(texts)), there
             count = lambda r: np.bincount(r, minlength=len(texts)).astype(np.int64)
             offsets = np.concatenate([[0], np.cumsum(count(row[~found]))]).astype(np.int32)
             columns = {"id": b.column("id"), "held_out": b.column("held_out"), "n_tokens": pa.array(count(row) + 1), "base": pa.array(base), "known": pa.array(count(row[found]))}

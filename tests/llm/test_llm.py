@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -307,6 +308,55 @@ def test_words_by_their_ids():
     assert at.tolist() == sorted(at.tolist()) and lm_scoring.word_hashes(line[:0], own.first)[0].size == 0
 
 
+def test_words_are_encoded_once_a_worker():
+    """Words of one task aren't encoded again in the next, and a column gives the ids that its texts split by Python give."""
+    texts = [b" Two words\x0bTWO\x0c", b"", b" \t ", b"\xc2\xa0a\x1cb\x85 \xc3\x89\xc3\xa9 \x00", b"two\xff\nwords\r\n", "日本語 x".encode() * 40, bytes(range(1, 128))] * 3
+    counted = [k % 3 > 0 for k in range(len(texts))]
+    one, other = lm_scoring.Words(lm_scoring.default_ranks()), lm_scoring.Words(lm_scoring.default_ranks())
+    column = pa.array([b"before", *texts], pa.binary())[1:]
+    assert one.ids_of(column, counted) == other.ids([x.lower().split() for x in texts], counted)
+    assert sorted(zip(*(x.tolist() for x in one.counts()))) == sorted(zip(*(x.tolist() for x in other.counts())))
+
+    lm_scoring.words_of.cache_clear()
+    path, batch = lm_scoring.default_ranks(), pa.RecordBatch.from_arrays([pa.array(range(21)), column, pa.array([False] * 21)], ["id", "text", "held_out"])
+    first = list(lm_scoring.encoded(path)(iter([batch])))
+    lm_scoring.words_of(path).add = None  # nothing is left to be encoded
+    assert list(lm_scoring.encoded(path)(iter([batch]))) == first
+    lm_scoring.words_of.cache_clear()
+
+
+def test_many_words_find_their_slots():
+    """More words than slots at first, several to a slot: each keeps its number."""
+    own, n = lm_scoring.Words(lm_scoring.default_ranks()), 50_000
+    words = pa.array([b"w%d" % k for k in range(n)], pa.binary())
+    for k in range(0, n, 10_000):
+        assert own.numbers(words[k : k + 10_000]).tolist() == [*range(k, k + 10_000)]
+    assert own.numbers(words.take(pa.array(range(n - 1, -1, -1)))).tolist() == [*range(n - 1, -1, -1)]
+
+
+def test_looked_up_values():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 3000):
+        hashes = np.unique(rng.integers(-(2**63), 2**63, n))
+        if n > 5:
+            hashes = np.unique(np.concatenate([hashes, np.arange(40), [-1, -(2**63), 2**63 - 1]]))  # many with the same first bits
+        values, asked = rng.random(len(hashes)), np.concatenate([hashes, rng.integers(-(2**63), 2**63, 50), [0, -1, 39, 40]])
+        want, looked = dict(zip(hashes.tolist(), values.tolist())), lm_scoring.Looked(hashes, values)
+        at = looked(asked)
+        assert (at < len(hashes)).tolist() == [h in want for h in asked.tolist()]
+        assert looked.values.take(at).tolist() == [want.get(h, 0.0) for h in asked.tolist()]
+
+
+def test_lm_of_fixed_weights():
+    """Scoring by looked up products gives what learning's forward pass gives."""
+    rng, shape = np.random.default_rng(4), (5, lm_scoring.CONTEXT)
+    known, w = vocabulary(rng), lm_scoring.start_weights("f8")
+    inputs, targets = rng.integers(0, lm_scoring.END, shape), rng.integers(0, lm_scoring.END, shape)
+    for skip in (0, 8):
+        one, other = (lm_scoring.Network(known, w, fixed=f).forward(inputs, targets, skip=skip) for f in (True, False))
+        assert one == pytest.approx(other, rel=1e-9)
+
+
 def test_mixing(spark, docs, odd, empty):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     got = mixing.mix(docs, labels).toPandas()
